@@ -18,10 +18,23 @@ def stream_through(spark: SparkSession, source: str, transform: Callable[[DataFr
     exactly-once.
     """
     schema = spark.read.format(fmt).load(source).schema
-    stream = spark.readStream.schema(schema).format(fmt).load(source)
+    reader = spark.readStream.schema(schema).format(fmt)
+    if source.rstrip("/").endswith(f".{fmt}") and not _is_dir(spark, source):
+        # a file stream source watches a folder: watch the parent, this file only
+        folder, name = source.rstrip("/").rsplit("/", 1)
+        stream = reader.option("pathGlobFilter", name).load(folder)
+    else:
+        stream = reader.load(source)
     query = (transform(stream).writeStream.format("parquet")
              .option("path", f"{sink}/data")
              .option("checkpointLocation", f"{sink}/_checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.parquet(f"{sink}/data")
+
+
+def _is_dir(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
