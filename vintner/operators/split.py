@@ -41,7 +41,7 @@ def split_hash(key: str, seed: int = SPLIT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), col_of(key).cast("string")))
 
 
-def test_threshold(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
+def split_threshold(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
                    seed: int = SPLIT_SEED, exact_limit: int = 200_000):
     """Return ``(hash, key)`` of the last test row, or ``None`` if the test set
     is empty. Runs a few small aggregation jobs; no row leaves the cluster
@@ -84,7 +84,7 @@ def exact_split(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
     """L1: add boolean ``flag``; exactly ``ceil(test_fraction * n)`` rows are
     true. ``key`` must be unique. Cache ``df`` first if it is expensive: the
     threshold search reads it once more."""
-    thr = test_threshold(df, key, test_fraction, seed)
+    thr = split_threshold(df, key, test_fraction, seed)
     if thr is None:
         return df.withColumn(flag, F.lit(False))
     h = split_hash(key, seed)

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from vintner.operators.publish import publish
 from vintner.operators.score import score
 from vintner.operators.split import SPLIT_SEED, TEST_FRACTION, exact_split
 from vintner.plans.baskets import KEY, LABEL, SPLIT_FEATURES, read_baskets
+from vintner.session import materialize
 
 
 @dataclass
@@ -43,18 +43,17 @@ class FlowResult:
 
 
 def run_flow_full(spark: SparkSession, p: FlowParams) -> FlowResult:
-    # L3: cache the typed, stamped frame (not the raw input); it is read by the
-    # split search, the fit, the evaluation and the scoring write
-    typed = with_status(read_baskets(spark, p.sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        flagged = exact_split(typed, p.key, p.test_fraction, p.seed)
-        model = fit_elastic_net(flagged.where(~F.col("is_test")), p.features, p.label,
-                                p.alpha, p.l1_ratio)
-        row = regression_metrics(score(flagged.where(F.col("is_test")), model), p.label).first()
-        published = publish(score(flagged.drop("is_test"), model), p.db, p.table,
-                            location=p.location)
-    finally:
-        typed.unpersist()
+    # L3: keep the typed, stamped frame (not the raw input) for the split
+    # search, the fit, the evaluation and the scoring write. It is written to
+    # the shared checkpoint folder rather than cached in executor memory, so
+    # losing an executor costs a re-read of files, not a re-aggregation.
+    typed = materialize(with_status(read_baskets(spark, p.sf_dir)), "flow-typed")
+    flagged = exact_split(typed, p.key, p.test_fraction, p.seed)
+    model = fit_elastic_net(flagged.where(~F.col("is_test")), p.features, p.label,
+                            p.alpha, p.l1_ratio)
+    row = regression_metrics(score(flagged.where(F.col("is_test")), model), p.label).first()
+    published = publish(score(flagged.drop("is_test"), model), p.db, p.table,
+                        location=p.location)
     return FlowResult(published, model, row.asDict() if row else {})
 
 

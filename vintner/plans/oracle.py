@@ -60,10 +60,10 @@ def cd_ctes(src: str, feats: list[str], label: str, alpha: float = ALPHA,
 {prefix}coef AS (SELECT {ws}, {intercept} AS b FROM {prefix}cd, {prefix}st WHERE it = {sweeps})"""
 
 
-def coef_rows(feats: list[str], prefix: str = "") -> str:
-    parts = [f"SELECT '{f}' AS term, round(w{i}, {DIGITS}) + 0.0 AS estimate FROM {prefix}coef"
+def coef_rows(feats: list[str], prefix: str = "", digits: int = DIGITS) -> str:
+    parts = [f"SELECT '{f}' AS term, round(w{i}, {digits}) + 0.0 AS estimate FROM {prefix}coef"
              for i, f in enumerate(feats)]
-    parts.append(f"SELECT '(intercept)' AS term, round(b, {DIGITS}) + 0.0 AS estimate FROM {prefix}coef")
+    parts.append(f"SELECT '(intercept)' AS term, round(b, {digits}) + 0.0 AS estimate FROM {prefix}coef")
     return "\nUNION ALL\n".join(parts)
 
 
