@@ -39,6 +39,28 @@ def regression_metrics(df: DataFrame, label: str, prediction: str = "prediction"
     return out
 
 
+def regression_metrics_by_sets(df: DataFrame, label: str, dimensions: Sequence[str],
+                               prediction: str = "prediction", digits: int | None = None) -> DataFrame:
+    """A4 for several segmentations in one pass: ``GROUPING SETS`` expands each
+    row once per dimension inside the same aggregation (one scan, one shuffle).
+    Output: ``dimension, segment, n, rmse, mae, r2``."""
+    dims = list(dimensions)
+    out = df.groupingSets([[col_of(d)] for d in dims], *[col_of(d) for d in dims]).agg(
+        F.grouping_id().alias("_gid"), *metric_columns(label, prediction))
+    # grouping_id sets bit (len-1-i) when dimension i is NOT grouped
+    n = len(dims)
+    dim = F.lit(None).cast("string")
+    seg = F.lit(None).cast("string")
+    for i, d in enumerate(dims):
+        only_i = F.col("_gid") == F.lit(((1 << n) - 1) ^ (1 << (n - 1 - i)))
+        dim = F.when(only_i, F.lit(d)).otherwise(dim)
+        seg = F.when(only_i, col_of(d).cast("string")).otherwise(seg)
+    cols = [dim.alias("dimension"), seg.alias("segment"), F.col("n")]
+    for m in ("rmse", "mae", "r2"):
+        cols.append(F.round(m, digits).alias(m) if digits is not None else F.col(m))
+    return out.select(*cols)
+
+
 def frame_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows only in ``left`` and only in ``right`` (with multiplicity), as
     one row ``(only_left, only_right)``. ``exceptAll`` runs on the cluster; the

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from vintner.functions.names import sanitize_identifier_col, strip_spaces_col
 from vintner.functions.payload import json_record, parse_predictions, split_request
 from vintner.operators import clean, registry as reg, runs
-from vintner.operators.fit import (coefficients_frame, fit_elastic_net, fit_spark_ml, load_model,
+from vintner.operators.fit import (ALPHA, L1_RATIO, coefficients_frame, fit_elastic_net, fit_spark_ml, load_model,
                                    load_spark_ml, save_model, save_spark_ml)
-from vintner.operators.metrics import frame_difference, regression_metrics
+from vintner.operators.metrics import (frame_difference, regression_metrics,
+                                      regression_metrics_by_sets)
 from vintner.operators.publish import publish, publish_many
 from vintner.operators.score import linear_predict_fn, score, score_with_udf
 from vintner.operators.split import exact_split, first_row, hash_split
@@ -119,15 +120,18 @@ def q_eval_metrics(spark, sf_dir):
     return regression_metrics(_test_scored(spark, sf_dir), LABEL, digits=DIGITS)
 
 
-def _segment_metrics(spark, sf_dir, segment_col: str):
+def _segment_metrics(spark, sf_dir, segment_cols: list[str]):
+    """Test-set metrics per value of each ``orders`` column in
+    ``segment_cols``: one join, one grouping-sets aggregation."""
     orders = read_table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias(KEY), F.col(segment_col).alias("segment"))
+        F.col("o_orderkey").alias(KEY), *segment_cols)
     scored = _test_scored(spark, sf_dir).join(orders, KEY)
-    return regression_metrics(scored, LABEL, by=["segment"], digits=DIGITS)
+    return regression_metrics_by_sets(scored, LABEL, segment_cols, digits=DIGITS)
 
 
 def q_eval_by_segment(spark, sf_dir):
-    return _segment_metrics(spark, sf_dir, "o_orderpriority")
+    return (_segment_metrics(spark, sf_dir, ["o_orderpriority"])
+            .select("segment", "n", "rmse", "mae", "r2"))
 
 
 def q_frame_equality(spark, sf_dir):
@@ -230,11 +234,14 @@ def _requests(spark, sf_dir):
 
 
 def _registry(spark, sf_dir):
+    """Two registration batches; the registry is a stored table between and
+    after them, as it is in use (and then no plan replays another's lineage)."""
     req = _requests(spark, sf_dir)
-    first = reg.register_models(None, req.where(F.col("ts") < F.lit(fx.SECOND_BATCH_FROM).cast("timestamp")),
-                                order="event_id")
-    return reg.register_models(first, req.where(F.col("ts") >= F.lit(fx.SECOND_BATCH_FROM).cast("timestamp")),
-                               order="event_id")
+    cut = F.lit(fx.SECOND_BATCH_FROM).cast("timestamp")
+    first = materialize(reg.register_models(None, req.where(F.col("ts") < cut), order="event_id"),
+                        "registry-v1")
+    return materialize(reg.register_models(first, req.where(F.col("ts") >= cut), order="event_id"),
+                       "registry-v2")
 
 
 def _staged(spark, sf_dir):
@@ -265,14 +272,18 @@ def q_result_record(spark, sf_dir):
 
 
 def _run_log(spark, sf_dir):
-    params = {"alpha": 0.75, "l1_ratio": 0.25}
-    logs = []
-    for exp, seg in sql.RUN_EXPERIMENTS.items():
-        m = _segment_metrics(spark, sf_dir, seg).withColumn(
-            "run_id", F.concat(F.lit("run-"), F.lower(F.replace("segment", F.lit(" "), F.lit("-")))))
-        logs.append(reg.log_runs(m, exp, params, ["rmse", "mae", "r2"],
-                                 ts=F.lit(fx.RUN_TS).cast("timestamp")))
-    return logs[0].unionByName(logs[1])
+    """One run per (experiment, segment): experiments are segmentations of the
+    test set, all evaluated in one aggregation."""
+    experiment_of = {seg: exp for exp, seg in sql.RUN_EXPERIMENTS.items()}
+    exp_col = F.lit(None).cast("string")
+    for seg, exp in experiment_of.items():
+        exp_col = F.when(F.col("dimension") == seg, F.lit(exp)).otherwise(exp_col)
+    m = _segment_metrics(spark, sf_dir, list(experiment_of)).select(
+        exp_col.alias("experiment"),
+        F.concat(F.lit("run-"), F.lower(F.replace("segment", F.lit(" "), F.lit("-")))).alias("run_id"),
+        "rmse", "mae", "r2")
+    return reg.log_runs(m, F.col("experiment"), {"alpha": ALPHA, "l1_ratio": L1_RATIO},
+                        ["rmse", "mae", "r2"], ts=F.lit(fx.RUN_TS).cast("timestamp"))
 
 
 def q_run_log_tall(spark, sf_dir):
