@@ -83,6 +83,24 @@ def publish_many(df: DataFrame, db: str, tables: Sequence[str], fmt: str = "parq
     return out
 
 
+def append_table(df: DataFrame, db: str, table: str, fmt: str = "parquet",
+                 location: str | None = None) -> DataFrame:
+    """Append rows to a catalog table, creating database and table if needed
+    (run logs and other ledgers)."""
+    spark = df.sparkSession
+    create_database(spark, db)
+    writer = df.write.format(fmt).mode("append")
+    if location is not None:
+        writer = writer.option("path", location)
+    writer.saveAsTable(qualified(db, table))
+    return spark.table(qualified(db, table))
+
+
+def table_or_none(spark: SparkSession, db: str, table: str) -> DataFrame | None:
+    name = qualified(db, table)
+    return spark.table(name) if spark.catalog.tableExists(f"{sanitize_identifier(db)}.{table}") else None
+
+
 def preview(df: DataFrame, n: int = 20) -> DataFrame:
     """K6: the first ``n`` rows, for display."""
     return df.limit(n)

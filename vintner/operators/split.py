@@ -112,3 +112,21 @@ def first_row(df: DataFrame, key: str) -> DataFrame:
     """L2: the row with the smallest key. ``orderBy + limit`` plans as a
     top-1 per partition merged on one task: no full sort."""
     return df.orderBy(col_of(key)).limit(1)
+
+
+def with_row_key(df: DataFrame, key: str = "_row_key") -> DataFrame:
+    """A unique key for a table that has none (a landed CSV): a SHA-256 of the
+    row's content plus the copy number among identical rows.
+
+    Copies of a row are numbered with the skew-safe sequence (a group of
+    copies may be huge); which physical copy gets which number does not
+    matter, they are identical, so the split built on this key selects the
+    same multiset of rows on every run and every partitioning.
+    """
+    from vintner.operators.ranking import sequence_within_groups  # local: avoid a cycle
+
+    content = F.sha2(F.to_json(F.struct(*[col_of(c) for c in df.columns])), 256)
+    tagged = df.withColumn("_content", content).withColumn("_mono", F.monotonically_increasing_id())
+    numbered = sequence_within_groups(tagged, ["_content"], "_mono", "_copy")
+    return (numbered.withColumn(key, F.concat_ws(":", "_content", F.col("_copy").cast("string")))
+            .drop("_content", "_mono", "_copy"))
