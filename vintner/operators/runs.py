@@ -53,4 +53,10 @@ def updated_within(log: DataFrame, now: dt.datetime | str, before: dt.timedelta
     Parquet log the bounds are pushed into the scan."""
     if isinstance(now, str):
         now = dt.datetime.fromisoformat(now)
-    return log.where(F.col(ts).between(F.lit(now - before), F.lit(now + after)))
+    # bounds take the column's own type: wall-clock for TIMESTAMP_NTZ, the
+    # session time zone for TIMESTAMP, never the Python process's zone
+    dtype = log.schema[ts].dataType
+
+    def bound(t: dt.datetime) -> Column:
+        return F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(dtype)
+    return log.where(F.col(ts).between(bound(now - before), bound(now + after)))

@@ -237,7 +237,7 @@ def _registry(spark, sf_dir):
     """Two registration batches; the registry is a stored table between and
     after them, as it is in use (and then no plan replays another's lineage)."""
     req = _requests(spark, sf_dir)
-    cut = F.lit(fx.SECOND_BATCH_FROM).cast("timestamp")
+    cut = F.lit(fx.SECOND_BATCH_FROM).cast("timestamp_ntz")
     first = materialize(reg.register_models(None, req.where(F.col("ts") < cut), order="event_id"),
                         "registry-v1")
     return materialize(reg.register_models(first, req.where(F.col("ts") >= cut), order="event_id"),
@@ -283,7 +283,7 @@ def _run_log(spark, sf_dir):
         F.concat(F.lit("run-"), F.lower(F.replace("segment", F.lit(" "), F.lit("-")))).alias("run_id"),
         "rmse", "mae", "r2")
     return reg.log_runs(m, F.col("experiment"), {"alpha": ALPHA, "l1_ratio": L1_RATIO},
-                        ["rmse", "mae", "r2"], ts=F.lit(fx.RUN_TS).cast("timestamp"))
+                        ["rmse", "mae", "r2"], ts=F.lit(fx.RUN_TS).cast("timestamp_ntz"))
 
 
 def q_run_log_tall(spark, sf_dir):

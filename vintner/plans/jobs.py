@@ -33,6 +33,7 @@ from vintner.operators.metrics import regression_metrics
 from vintner.operators.publish import append_table, publish, publish_many, table_or_none
 from vintner.operators.score import score
 from vintner.operators.split import SPLIT_SEED, TEST_FRACTION, train_test, with_row_key
+from vintner.session import materialize
 from vintner.sources.csv import read_csv_strings, read_sniffed_csv
 
 ROW_KEY = "_row_key"
@@ -80,7 +81,10 @@ def train_job(spark: SparkSession, p: TrainParams) -> dict:
     now = p.now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     typed = publish(clean_table(_read(spark, p.csv_path, p.sniff), p.label), db, p.table)
     features = [c for c in typed.columns if c != p.label]
-    train, test = train_test(with_row_key(typed, ROW_KEY), ROW_KEY, p.test_fraction, p.seed)
+    # the content key costs a shuffle: write the keyed table once, then the
+    # split search, both halves, the fit and the metrics read files
+    keyed = materialize(with_row_key(typed, ROW_KEY), "train-keyed")
+    train, test = train_test(keyed, ROW_KEY, p.test_fraction, p.seed)
     model = fit_elastic_net(train, features, p.label, p.alpha, p.l1_ratio)
     metrics = regression_metrics(score(test, model), p.label).first().asDict()
 
