@@ -388,6 +388,8 @@ e AS (SELECT k FROM flagged WHERE is_test), h AS (SELECT k FROM hflagged WHERE i
 SELECT (SELECT count(*) FROM (SELECT k FROM e EXCEPT ALL SELECT k FROM h)) AS only_left,
        (SELECT count(*) FROM (SELECT k FROM h EXCEPT ALL SELECT k FROM e)) AS only_right""",
         "payload_roundtrip": f"WITH {S.BASKETS} SELECT k, q, c, d FROM baskets",
+        "request_payload": f"WITH {S.BASKETS} SELECT k, CAST(to_json({{'columns': ['q', 'c', 'd'], "
+                           f"'index': [0], 'data': [[q, c, d]]}}) AS VARCHAR) AS request FROM baskets",
         "cast_and_clean": S.cast_and_clean_sql(),
         "bad_value_counts": S.bad_value_counts_sql(),
         "land_once": S.cast_and_clean_sql(),
