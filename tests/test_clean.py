@@ -71,3 +71,14 @@ def test_bad_value_counts(spark):
     raw = spark.createDataFrame([("1", "x"), ("", "2"), (None, "3")], "`a b` string, c string")
     got = {r["column_name"]: r["bad_values"] for r in clean.bad_value_counts(raw).collect()}
     assert got == {"a_b": 1, "c": 1}
+
+
+def test_guarded_cast_equals_try_cast(spark):
+    from pyspark.sql import functions as F
+    from vintner.functions.casting import to_float
+    texts = ["1", " 2.5 ", "-3e2", "1.5f", "0x1p3", "NaN", "nan", " -Infinity", "+inf", "INF\t",
+             "infinity", "abc", "", " ", "1,5", "12abc", "--1", ".", "e5", "\x01inf", "Na N", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(to_float(F.col("t"), is_text=True).alias("g"), F.col("t").try_cast("float").alias("r"))
+    for r in got.collect():
+        assert (r.g == r.r) or (r.g is None and r.r is None) or (r.g != r.g and r.r != r.r)

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vintner.functions.casting import to_float, to_int
 from vintner.functions.names import clean_name, col_of, quote
@@ -32,7 +33,9 @@ def cast_features(df: DataFrame, strict: bool = False) -> DataFrame:
     """Every column to float32 and spaces in names to underscores, in one
     ``select`` (a single Project, fused into the scan's codegen stage)."""
     names = clean_names(df.columns)
-    return df.select(*[to_float(col_of(c), strict).alias(n) for c, n in zip(df.columns, names)])
+    text = _text_columns(df)
+    return df.select(*[to_float(col_of(c), strict, c in text).alias(n)
+                       for c, n in zip(df.columns, names)])
 
 
 def cast_label(df: DataFrame, label: str = LABEL, strict: bool = False) -> DataFrame:
@@ -65,8 +68,13 @@ def bad_value_counts(df: DataFrame) -> DataFrame:
     wide row is unpivoted to ``(column_name, bad_values)``.
     """
     names = clean_names(df.columns)
+    text = _text_columns(df)
     wide = df.agg(*[
-        F.count_if(col_of(c).isNotNull() & to_float(col_of(c)).isNull()).alias(n)
+        F.count_if(col_of(c).isNotNull() & to_float(col_of(c), is_text=c in text).isNull()).alias(n)
         for c, n in zip(df.columns, names)
     ])
     return wide.unpivot([], [quote(n) for n in names], "column_name", "bad_values")
+
+
+def _text_columns(df: DataFrame) -> set[str]:
+    return {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
