@@ -66,3 +66,13 @@ def test_hash_split_rule(spark):
 def test_first_row(spark):
     df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "k int, v string")
     assert first_row(df, "k").collect()[0].v == "a"
+
+
+def test_null_key_and_bad_fraction_refused(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "k long")
+    with pytest.raises(ValueError, match="null"):
+        exact_split(df, "k")
+    with pytest.raises(ValueError, match="null"):
+        exact_split(df, "k", 0.0)
+    with pytest.raises(ValueError, match="test_fraction"):
+        exact_split(df.dropna(), "k", 1.5)

@@ -46,6 +46,8 @@ def split_threshold(df: DataFrame, key: str, test_fraction: float = TEST_FRACTIO
     """Return ``(hash, key)`` of the last test row, or ``None`` if the test set
     is empty. Runs a few small aggregation jobs; no row leaves the cluster
     except the final bounded candidate set's single answer."""
+    if not 0.0 <= test_fraction <= 1.0:
+        raise ValueError(f"test_fraction must lie in [0, 1], got {test_fraction}")
     keyed = df.select(col_of(key).alias(_KEY), split_hash(key, seed).alias(_HASH))
     keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -59,11 +61,24 @@ def split_threshold(df: DataFrame, key: str, test_fraction: float = TEST_FRACTIO
             # ceil(f * n), with n the total of the same (at most 4,096) counts
             target = (F.ceil(F.lit(float(test_fraction)) * F.sum("count").over(Window.partitionBy()))
                       if rank is None else F.lit(rank))
-            hit = (counts.select("b", "count", F.sum("count").over(ordered).alias("cum"),
+            if depth == 0:
+                # a null key would hash to null and fall out of both halves:
+                # count such rows in the same job and refuse them
+                counts = counts.select(
+                    "b", "count",
+                    F.sum(F.when(F.col("b").isNull(), F.col("count"))).over(Window.partitionBy())
+                    .alias("nulls")).where(F.col("b").isNotNull())
+            else:
+                counts = counts.withColumn("nulls", F.lit(None).cast("long"))
+            hit = (counts.select("b", "count", "nulls", F.sum("count").over(ordered).alias("cum"),
                                  target.alias("target"))
                    .where((F.col("cum") >= F.col("target")) & (F.col("target") > 0))
                    .orderBy("b").first())
+            if hit is not None and hit["nulls"]:
+                raise ValueError(f"split key {key!r} has {hit['nulls']} null values")
             if hit is None:
+                if depth == 0 and keyed.where(F.col(_KEY).isNull()).limit(1).count():
+                    raise ValueError(f"split key {key!r} has null values")
                 return None
             rank = int(hit["target"])
             below = hit["cum"] - hit["count"]
