@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from vintner.operators.fit import load_model
 from vintner.operators.split import exact_split, with_row_key
