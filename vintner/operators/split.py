@@ -21,7 +21,6 @@ raises an error.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,61 +41,61 @@ def split_hash(key: str, seed: int = SPLIT_SEED) -> Column:
 def split_threshold(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
                    seed: int = SPLIT_SEED, exact_limit: int = 200_000):
     """Return ``(hash, key)`` of the last test row, or ``None`` if the test set
-    is empty. Runs a few small aggregation jobs; no row leaves the cluster
-    except the final bounded candidate set's single answer."""
+    is empty. Runs one small aggregation job per level plus one bounded
+    selection; only the answer row reaches the driver."""
     if not 0.0 <= test_fraction <= 1.0:
         raise ValueError(f"test_fraction must lie in [0, 1], got {test_fraction}")
+    # Not cached: each level re-reads the key column and recomputes md5, which
+    # is cheaper than holding (key, 32-char hash) for every row. Callers write
+    # expensive inputs (aggregations, keyed CSVs) to files first.
     keyed = df.select(col_of(key).alias(_KEY), split_hash(key, seed).alias(_HASH))
-    keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        prefix, rank = "", None
-        while True:
-            depth = len(prefix)
-            cand = keyed if depth == 0 else keyed.where(F.substring(_HASH, 1, depth) == prefix)
-            counts = cand.groupBy(F.substring(_HASH, depth + 1, _DIGITS).alias("b")).count()
-            ordered = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            # rank of the threshold row inside this prefix; at level 1 it is
-            # ceil(f * n), with n the total of the same (at most 4,096) counts
-            target = (F.ceil(F.lit(float(test_fraction)) * F.sum("count").over(Window.partitionBy()))
-                      if rank is None else F.lit(rank))
-            if depth == 0:
-                # a null key would hash to null and fall out of both halves:
-                # count such rows in the same job and refuse them
-                counts = counts.select(
-                    "b", "count",
-                    F.sum(F.when(F.col("b").isNull(), F.col("count"))).over(Window.partitionBy())
-                    .alias("nulls")).where(F.col("b").isNotNull())
-            else:
-                counts = counts.withColumn("nulls", F.lit(None).cast("long"))
-            hit = (counts.select("b", "count", "nulls", F.sum("count").over(ordered).alias("cum"),
-                                 target.alias("target"))
-                   .where((F.col("cum") >= F.col("target")) & (F.col("target") > 0))
-                   .orderBy("b").first())
-            if hit is not None and hit["nulls"]:
-                raise ValueError(f"split key {key!r} has {hit['nulls']} null values")
-            if hit is None:
-                if depth == 0 and keyed.where(F.col(_KEY).isNull()).limit(1).count():
-                    raise ValueError(f"split key {key!r} has null values")
-                return None
-            rank = int(hit["target"])
-            below = hit["cum"] - hit["count"]
-            prefix, rank = prefix + hit["b"], rank - below
-            if hit["count"] <= exact_limit or len(prefix) >= 32:
-                break
-        if hit["count"] > exact_limit:
-            raise ValueError(f"split key {key!r} is not unique: {hit['count']} rows share one hash")
-        row = (keyed.where(F.substring(_HASH, 1, len(prefix)) == prefix)
-               .orderBy(_HASH, _KEY).offset(rank - 1).limit(1).first())
-        return row[_HASH], row[_KEY]
-    finally:
-        keyed.unpersist()
+    prefix, rank = "", None
+    while True:
+        depth = len(prefix)
+        cand = keyed if depth == 0 else keyed.where(F.substring(_HASH, 1, depth) == prefix)
+        counts = cand.groupBy(F.substring(_HASH, depth + 1, _DIGITS).alias("b")).count()
+        ordered = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # rank of the threshold row inside this prefix; at level 1 it is
+        # ceil(f * n), with n the total of the same (at most 4,096) counts
+        target = (F.ceil(F.lit(float(test_fraction)) * F.sum("count").over(Window.partitionBy()))
+                  if rank is None else F.lit(rank))
+        if depth == 0:
+            # a null key would hash to null and fall out of both halves:
+            # count such rows in the same job and refuse them
+            counts = counts.select(
+                "b", "count",
+                F.sum(F.when(F.col("b").isNull(), F.col("count"))).over(Window.partitionBy())
+                .alias("nulls")).where(F.col("b").isNotNull())
+        else:
+            counts = counts.withColumn("nulls", F.lit(None).cast("long"))
+        hit = (counts.select("b", "count", "nulls", F.sum("count").over(ordered).alias("cum"),
+                             target.alias("target"))
+               .where((F.col("cum") >= F.col("target")) & (F.col("target") > 0))
+               .orderBy("b").first())
+        if hit is not None and hit["nulls"]:
+            raise ValueError(f"split key {key!r} has {hit['nulls']} null values")
+        if hit is None:
+            if depth == 0 and keyed.where(F.col(_KEY).isNull()).limit(1).count():
+                raise ValueError(f"split key {key!r} has null values")
+            return None
+        rank = int(hit["target"])
+        below = hit["cum"] - hit["count"]
+        prefix, rank = prefix + hit["b"], rank - below
+        if hit["count"] <= exact_limit or len(prefix) >= 32:
+            break
+    if hit["count"] > exact_limit:
+        raise ValueError(f"split key {key!r} is not unique: {hit['count']} rows share one hash")
+    row = (keyed.where(F.substring(_HASH, 1, len(prefix)) == prefix)
+           .orderBy(_HASH, _KEY).offset(rank - 1).limit(1).first())
+    return row[_HASH], row[_KEY]
 
 
 def exact_split(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
                 seed: int = SPLIT_SEED, flag: str = "is_test") -> DataFrame:
     """L1: add boolean ``flag``; exactly ``ceil(test_fraction * n)`` rows are
-    true. ``key`` must be unique. Cache ``df`` first if it is expensive: the
-    threshold search reads it once more."""
+    true. ``key`` must be unique and non-null. Write ``df`` to files first
+    (``session.materialize``) if it is expensive to compute: the threshold
+    search reads it once per level."""
     thr = split_threshold(df, key, test_fraction, seed)
     if thr is None:
         return df.withColumn(flag, F.lit(False))
