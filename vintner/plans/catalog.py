@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintner.functions.names import sanitize_identifier_col, strip_spaces_col
-from vintner.functions.payload import json_record, parse_predictions, split_request
+from vintner.functions.payload import json_record, metric_line, parse_predictions, split_request
 from vintner.operators import clean, registry as reg, runs
 from vintner.operators.fit import (ALPHA, L1_RATIO, coefficients_frame, fit_elastic_net, fit_spark_ml, load_model,
                                    load_spark_ml, save_model, save_spark_ml)
@@ -120,6 +120,18 @@ def q_eval_metrics(spark, sf_dir):
     return regression_metrics(_test_scored(spark, sf_dir), LABEL, digits=DIGITS)
 
 
+def q_metrics_report(spark, sf_dir):
+    """X10 + X5: the run summary as report lines, one row per line."""
+    m = regression_metrics(_test_scored(spark, sf_dir), LABEL)
+    header = F.format_string("Elasticnet model (alpha=%f, l1_ratio=%f):", F.lit(ALPHA), F.lit(L1_RATIO))
+    lines = F.array(
+        F.struct(F.lit(0).alias("line_no"), header.alias("line")),
+        F.struct(F.lit(1).alias("line_no"), metric_line("RMSE", F.col("rmse")).alias("line")),
+        F.struct(F.lit(2).alias("line_no"), metric_line("MAE", F.col("mae")).alias("line")),
+        F.struct(F.lit(3).alias("line_no"), metric_line("R2", F.col("r2")).alias("line")))
+    return m.select(F.inline(lines))
+
+
 def _segment_metrics(spark, sf_dir, segment_cols: list[str]):
     """Test-set metrics per value of each ``orders`` column in
     ``segment_cols``: one join, one grouping-sets aggregation."""
@@ -331,6 +343,7 @@ QUERIES: dict[str, Query] = {
     "score_udf": q_score_udf,
     "eval_metrics": q_eval_metrics,
     "eval_by_segment": q_eval_by_segment,
+    "metrics_report": q_metrics_report,
     "frame_equality": q_frame_equality,
     "request_payload": q_request_payload,
     "payload_roundtrip": q_payload_roundtrip,
@@ -383,6 +396,7 @@ UNION ALL SELECT '(intercept)' AS term, round(my - mq * w0, {DIGITS}) + 0.0 AS e
         "eval_metrics": S.with_recursive(S.BASKETS, S.FLAGGED, S.TRAIN_MODEL)
         + f"\nSELECT {S.metrics_select(S.prediction_sql(S.SPLIT_FEATS, 'f'))} FROM flagged f, coef WHERE f.is_test",
         "eval_by_segment": S.segment_metrics_sql("o_orderpriority"),
+        "metrics_report": S.metrics_report_sql(),
         "frame_equality": f"""WITH {S.BASKETS}, {S.FLAGGED}, {S.HASH_FLAGGED},
 e AS (SELECT k FROM flagged WHERE is_test), h AS (SELECT k FROM hflagged WHERE is_test)
 SELECT (SELECT count(*) FROM (SELECT k FROM e EXCEPT ALL SELECT k FROM h)) AS only_left,

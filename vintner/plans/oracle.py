@@ -102,6 +102,18 @@ def metrics_select(pred: str, label: str = "y") -> str:
             f"ELSE 1 - {res} / {tot} END, {DIGITS}) AS r2")
 
 
+def metrics_report_sql() -> str:
+    pred = "(" + prediction_sql(SPLIT_FEATS, "f") + ")"
+    return (with_recursive(BASKETS, FLAGGED, TRAIN_MODEL) + f"""
+, m AS (SELECT sqrt(avg((f.y - {pred}) * (f.y - {pred}))) AS rmse, avg(abs(f.y - {pred})) AS mae,
+               1 - sum((f.y - {pred}) * (f.y - {pred})) / (var_pop(f.y) * count(f.y)) AS r2
+        FROM flagged f, coef WHERE f.is_test)
+SELECT 0 AS line_no, printf('Elasticnet model (alpha=%f, l1_ratio=%f):', {ALPHA!r}, {L1_RATIO!r}) AS line FROM m
+UNION ALL SELECT 1, printf('  RMSE: %f', rmse) FROM m
+UNION ALL SELECT 2, printf('  MAE: %f', mae) FROM m
+UNION ALL SELECT 3, printf('  R2: %f', r2) FROM m""")
+
+
 def segment_metrics_sql(segment_col: str) -> str:
     return (with_recursive(BASKETS, FLAGGED, TRAIN_MODEL) + f"""
 , scored AS (SELECT {prediction_sql(SPLIT_FEATS, 'f')} AS prediction, f.y, o.{segment_col} AS segment
