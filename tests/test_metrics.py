@@ -37,3 +37,12 @@ def test_frame_equality(spark):
     r = frame_difference(a, b).first()
     assert (r.only_left, r.only_right) == (1, 1)
     assert frames_equal(a, a.select("v", "k")) and not frames_equal(a, b)
+
+
+def test_frame_difference_nulls_and_hot_copies(spark):
+    a = spark.createDataFrame([(None, "x")] * 5 + [(1, None)], "k int, v string")
+    b = spark.createDataFrame([(None, "x")] * 2 + [(1, None), (2, "z")], "k int, v string")
+    r = frame_difference(a, b).first()
+    assert (r.only_left, r.only_right) == (3, 1)
+    empty = frame_difference(a.limit(0), b.limit(0)).first()
+    assert (empty.only_left, empty.only_right) == (0, 0)

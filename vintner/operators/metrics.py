@@ -63,13 +63,20 @@ def regression_metrics_by_sets(df: DataFrame, label: str, dimensions: Sequence[s
 
 def frame_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows only in ``left`` and only in ``right`` (with multiplicity), as
-    one row ``(only_left, only_right)``. ``exceptAll`` runs on the cluster; the
-    frames never reach the driver."""
-    right = right.select(*left.columns)
-    sides = (left.exceptAll(right).select(F.lit(1).alias("side"))
-             .unionByName(right.exceptAll(left).select(F.lit(2).alias("side"))))
-    return sides.agg(F.count_if(F.col("side") == 1).alias("only_left"),
-                     F.count_if(F.col("side") == 2).alias("only_right"))
+    one row ``(only_left, only_right)``.
+
+    Both frames are tagged, unioned and grouped by every column (grouping
+    treats nulls as equal), counting copies per side. That is partial
+    aggregation and one shuffle, so a row repeated a billion times costs a
+    counter, not a billion generated rows in one task (as ``exceptAll`` would).
+    """
+    cols = [col_of(c) for c in left.columns]
+    tagged = (left.select(*cols, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
+              .unionByName(right.select(*cols, F.lit(0).alias("_l"), F.lit(1).alias("_r"))))
+    per_row = tagged.groupBy(*cols).agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
+    return per_row.agg(
+        F.coalesce(F.sum(F.greatest(F.col("_nl") - F.col("_nr"), F.lit(0))), F.lit(0)).alias("only_left"),
+        F.coalesce(F.sum(F.greatest(F.col("_nr") - F.col("_nl"), F.lit(0))), F.lit(0)).alias("only_right"))
 
 
 def frames_equal(left: DataFrame, right: DataFrame) -> bool:
