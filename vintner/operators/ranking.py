@@ -29,10 +29,24 @@ from vintner.functions.names import col_of
 _R = "_rank_range"
 
 
+def default_ranges(df: DataFrame) -> int:
+    """Enough ranges that a hot group spreads over as many tasks as the
+    cluster's largest shuffles: twice ``spark.sql.shuffle.partitions`` (which
+    a cluster sizes for its data), at least 256, at most 65,536."""
+    try:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        parts = 200
+    return max(256, min(65_536, 2 * parts))
+
+
 def range_column(df: DataFrame, order: str, ranges: int = 256,
-                 rel_error: float = 0.001) -> DataFrame:
+                 rel_error: float | None = None) -> DataFrame:
     """Add ``_rank_range``: a non-decreasing function of ``order`` taking at
-    most ``ranges`` values, from approximate quantiles of ``order``."""
+    most ``ranges`` values, from approximate quantiles of ``order`` (the
+    rank error is kept below a quarter of a range)."""
+    if rel_error is None:
+        rel_error = min(0.001, 0.25 / ranges)
     tmp = "_rank_order_double"
     with_d = df.withColumn(tmp, col_of(order).cast("double"))
     probs = [i / ranges for i in range(1, ranges)]
@@ -47,7 +61,7 @@ def range_column(df: DataFrame, order: str, ranges: int = 256,
 
 def sequence_within_groups(df: DataFrame, groups: Sequence[str], order: str,
                            output: str = "seq", base: DataFrame | None = None,
-                           ranges: int = 256) -> DataFrame:
+                           ranges: int | None = None) -> DataFrame:
     """Add ``output`` = 1-based position of the row in its group by ``order``.
 
     ``base`` optionally gives a starting value per group (columns ``groups`` +
@@ -55,7 +69,7 @@ def sequence_within_groups(df: DataFrame, groups: Sequence[str], order: str,
     per-range table, not to the rows.
     """
     g = [col_of(c) for c in groups]
-    ranged = range_column(df, order, ranges)
+    ranged = range_column(df, order, ranges or default_ranges(df))
     counts = ranged.groupBy(*g, _R).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*g).orderBy(_R).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*g, _R, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
