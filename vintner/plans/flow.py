@@ -16,16 +16,17 @@ from vintner.operators.publish import publish
 from vintner.operators.score import score
 from vintner.operators.split import SPLIT_SEED, TEST_FRACTION, exact_split
 from vintner.plans.baskets import KEY, LABEL, SPLIT_FEATURES, read_baskets
+from vintner.plans.jobs import DEFAULT_DB, DEFAULT_STAGE, OUTPUT_TABLE
 from vintner.session import materialize
 
 
 @dataclass
 class FlowParams:
     sf_dir: str
-    db: str = "wine"
-    table: str = "mlops_wine_quality_regression"
+    db: str = DEFAULT_DB
+    table: str = OUTPUT_TABLE
     location: str | None = None
-    stage: str = "staging"
+    stage: str = DEFAULT_STAGE
     features: list[str] = field(default_factory=lambda: list(SPLIT_FEATURES))
     key: str = KEY
     label: str = LABEL

@@ -38,6 +38,13 @@ from vintner.sources.csv import read_csv_strings, read_sniffed_csv
 
 ROW_KEY = "_row_key"
 
+# Default database, input table and output table of the
+# training and batch-scoring jobs, and the stage a new version moves to.
+DEFAULT_DB = "wine"
+INPUT_TABLE = "mlops_wine_quality_input"
+OUTPUT_TABLE = "mlops_wine_quality_regression"
+DEFAULT_STAGE = "staging"
+
 
 @dataclass
 class TrainParams:
@@ -45,11 +52,11 @@ class TrainParams:
     experiment: str
     model_name: str
     model_root: str                      # shared storage for model artifacts
-    db: str = "wine"
-    table: str = "mlops_wine_quality_input"
+    db: str = DEFAULT_DB
+    table: str = INPUT_TABLE
     registry_table: str = "model_registry"
     runs_table: str = "runs"
-    stage: str = "staging"
+    stage: str = DEFAULT_STAGE
     label: str = LABEL
     alpha: float = ALPHA
     l1_ratio: float = L1_RATIO
@@ -64,9 +71,9 @@ class ScoreParams:
     csv_path: str
     model_name: str | None = None
     model_path: str | None = None        # explicit model; else latest in ``stage``
-    stage: str = "staging"
-    db: str = "wine"
-    tables: Sequence[str] = field(default_factory=lambda: ["mlops_wine_quality_regression"])
+    stage: str = DEFAULT_STAGE
+    db: str = DEFAULT_DB
+    tables: Sequence[str] = field(default_factory=lambda: [OUTPUT_TABLE])
     registry_table: str = "model_registry"
     label: str = LABEL
     sniff: bool = False
