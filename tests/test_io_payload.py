@@ -66,3 +66,16 @@ def test_json_record(spark):
     df = spark.createDataFrame([("wine-model", 3)], "name string, version int")
     rec = df.select(json_record(model_name=F.col("name"), version=F.col("version"))).first()[0]
     assert json.loads(rec) == {"model_name": "wine-model", "version": 3}
+
+
+def test_sniff_tab_and_pipe(spark, tmp_dir):
+    tab = write_text(tmp_dir + "/tab.csv", "a\tb\tc\n1\t2\t3\n4\t5\t6\n")
+    pipe = write_text(tmp_dir + "/pipe.csv", "a|b\n1,5|2\n3|4\n")
+    assert sniff_delimiter(spark, tab) == "\t"
+    assert sniff_delimiter(spark, pipe) == "|"
+    assert read_sniffed_csv(spark, tab).columns == ["a", "b", "c"]
+
+
+def test_public_api_imports():
+    import vintner
+    assert all(hasattr(vintner, n) for n in vintner.__all__)
