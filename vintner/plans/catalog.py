@@ -1,6 +1,6 @@
 """The registered queries: one per operator family of the inventory, each a
-function ``(spark, sf_dir) -> DataFrame`` over the driver tables, and its SQL
-oracle (``oracles()``) where one can be written."""
+function ``(spark, sf_dir) -> DataFrame`` over the driver tables, and its
+DuckDB SQL oracle (``oracles()``)."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from vintner.functions.names import sanitize_identifier_col, strip_spaces_col
 from vintner.functions.payload import json_record, metric_line, parse_predictions, split_request
 from vintner.operators import clean, registry as reg, runs
-from vintner.operators.fit import (ALPHA, L1_RATIO, coefficients_frame, fit_elastic_net, fit_spark_ml, load_model,
-                                   load_spark_ml, save_model, save_spark_ml)
+from vintner.operators.fit import (ALPHA, L1_RATIO, coefficients_frame, fit_elastic_net,
+                                   fit_spark_ml, load_model, load_spark_ml, save_model,
+                                   save_spark_ml)
 from vintner.operators.metrics import (frame_difference, regression_metrics,
                                       regression_metrics_by_sets)
 from vintner.operators.publish import publish, publish_many
@@ -51,13 +52,11 @@ def _train_model(flagged: DataFrame):
     return fit_elastic_net(flagged.where(~F.col("is_test")), SPLIT_FEATURES, LABEL)
 
 
-def _scored(spark, sf_dir, stamped: bool = False) -> DataFrame:
+def _scored(spark, sf_dir) -> DataFrame:
+    """Fit on the training part, score every basket, prediction first."""
     flagged = _flagged(spark, sf_dir)
     model = _train_model(flagged)
-    base = flagged.drop("is_test")
-    if stamped:
-        base = clean.with_status(base)
-    out = score(base, model)
+    out = score(flagged.drop("is_test"), model)
     return out.withColumn("prediction", F.round("prediction", PRED_DIGITS))
 
 
@@ -86,8 +85,8 @@ def q_fit_elastic_net(spark, sf_dir):
 
 
 def q_model_roundtrip(spark, sf_dir):
-    """pyspark.ml fit, saved and loaded again (K9, S6), and the JSON model
-    table of the exact fit saved and loaded; returns the pyspark.ml terms."""
+    """K9 + S6: the pyspark.ml fit saved and loaded in its own format, then
+    saved and loaded again as a JSON model table; returns its terms."""
     baskets = _baskets(spark, sf_dir)
     ml_model, lm = fit_spark_ml(baskets, ALL_FEATURES, LABEL)
     loaded = load_spark_ml(save_spark_ml(ml_model, scratch_path(spark, "ml-model")))
