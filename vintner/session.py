@@ -47,7 +47,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder.
     """
     global _LOCAL_SCRATCH
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no SparkContext
+        sc = None
+    if sc is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            return configured
+        if _LOCAL_SCRATCH is None:
+            _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="vintner-ckpt-")
+        return _LOCAL_SCRATCH
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -62,10 +72,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str, unique: bool = True) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
+    """A path for a written intermediate table: under the shared checkpoint
+    folder, in one sub-folder per application (so an application's scratch
+    can be removed in one go once it has finished)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        app = "session"
     leaf = f"{name}-{uuid.uuid4().hex[:12]}" if unique else name
-    return f"{base}/vintner/{leaf}"
+    return f"{base}/vintner/{app}/{leaf}"
 
 
 def table_path(sf_dir: str, name: str) -> str:
