@@ -48,14 +48,14 @@ def _flagged(spark, sf_dir):
     return exact_split(materialize(read_baskets(spark, sf_dir), "baskets"), KEY)
 
 
-def _train_model(flagged: DataFrame):
+def _fit_on_train(flagged: DataFrame):
     return fit_elastic_net(flagged.where(~F.col("is_test")), SPLIT_FEATURES, LABEL)
 
 
 def _scored(spark, sf_dir) -> DataFrame:
     """Fit on the training part, score every basket, prediction first."""
     flagged = _flagged(spark, sf_dir)
-    model = _train_model(flagged)
+    model = _fit_on_train(flagged)
     out = score(flagged.drop("is_test"), model)
     return out.withColumn("prediction", F.round("prediction", PRED_DIGITS))
 
@@ -104,14 +104,14 @@ def q_score_baskets(spark, sf_dir):
 
 def q_score_udf(spark, sf_dir):
     flagged = _flagged(spark, sf_dir)
-    model = _train_model(flagged)
+    model = _fit_on_train(flagged)
     out = score_with_udf(flagged.drop("is_test"), model.features, linear_predict_fn(model))
     return out.withColumn("prediction", F.round("prediction", PRED_DIGITS))
 
 
 def _test_scored(spark, sf_dir):
     flagged = _flagged(spark, sf_dir)
-    model = _train_model(flagged)
+    model = _fit_on_train(flagged)
     return score(flagged.where(F.col("is_test")), model)
 
 
