@@ -19,22 +19,26 @@ ALL_FEATURES = ["q", "c", "d"]
 SPLIT_FEATURES = ["q", "c"]
 
 
+def cents(c: str):
+    """A 2-decimal money column as a whole number of cents (``bigint``)."""
+    return F.floor(F.col(c) * 100 + 0.5)
+
+
 def basket_features(lineitem: DataFrame) -> DataFrame:
     """Group lines by order. Partial aggregation runs on every map task first,
     so an order with a huge number of lines is reduced before the shuffle.
 
-    Money is summed as ``decimal(8,2)`` (2-decimal prices below one million):
-    the sum is exact whatever the order in which 1,000 executors add it up, so
-    reruns give identical doubles, and Spark sums such narrow decimals as longs.
-    A wider price raises instead of being rounded away.
+    Money is summed as whole cents in a ``bigint``: the sum is exact whatever
+    the order in which 1,000 executors add it up (reruns give identical
+    doubles), it is a plain long sum for the hash aggregate, and it has no
+    decimal range to overflow, with ANSI mode on or off.
     """
     n = F.count(F.lit(1)).cast("double")
     return (lineitem.groupBy(F.col("l_orderkey").alias(KEY))
             .agg(F.sum("l_quantity").alias("q"),
                  n.alias("c"),
-                 (F.sum(F.col("l_discount").cast("decimal(3,2)")).cast("double") / n).alias("d"),
-                 (F.sum(F.col("l_extendedprice").cast("decimal(8,2)")).cast("double") / 1000)
-                 .alias(LABEL)))
+                 (F.sum(cents("l_discount")).cast("double") / 100 / n).alias("d"),
+                 (F.sum(cents("l_extendedprice")).cast("double") / 100000).alias(LABEL)))
 
 
 def read_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ CD_SWEEPS = 500
 
 BASKETS = """baskets AS (
   SELECT l_orderkey AS k, SUM(l_quantity) AS q, CAST(COUNT(*) AS DOUBLE) AS c,
-         CAST(SUM(CAST(l_discount AS DECIMAL(3,2))) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS d,
-         CAST(SUM(CAST(l_extendedprice AS DECIMAL(8,2))) AS DOUBLE) / 1000 AS y
+         CAST(SUM(CAST(floor(l_discount * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100
+           / CAST(COUNT(*) AS DOUBLE) AS d,
+         CAST(SUM(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100000 AS y
   FROM lineitem GROUP BY l_orderkey)"""
 
 FLAGGED = f"""flagged AS (
