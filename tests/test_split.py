@@ -76,3 +76,11 @@ def test_null_key_and_bad_fraction_refused(spark):
         exact_split(df, "k", 0.0)
     with pytest.raises(ValueError, match="test_fraction"):
         exact_split(df.dropna(), "k", 1.5)
+
+
+def test_random_split_covers_input(spark):
+    from vintner.operators.split import random_split
+    df = spark.range(2000)
+    train, test = random_split(df)
+    assert train.count() + test.count() == 2000 and 350 < test.count() < 650
+    assert train.join(test, "id").count() == 0

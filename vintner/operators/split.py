@@ -142,3 +142,13 @@ def with_row_key(df: DataFrame, key: str = "_row_key") -> DataFrame:
     numbered = sequence_within_groups(tagged, ["_content"], "_mono", "_copy")
     return (numbered.withColumn(key, F.concat_ws(":", "_content", F.col("_copy").cast("string")))
             .drop("_content", "_mono", "_copy"))
+
+
+def random_split(df: DataFrame, test_fraction: float = TEST_FRACTION,
+                 seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
+    """L1, quick form: ``randomSplit``. Map-only and needs no key, but sizes
+    are only approximately ``test_fraction`` and the rows chosen depend on
+    the input's partitioning and row order; use :func:`exact_split` for a
+    repeatable split."""
+    train, test = df.randomSplit([1.0 - test_fraction, test_fraction], seed)
+    return train, test
