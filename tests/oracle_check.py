@@ -68,6 +68,8 @@ def main(argv: list[str]) -> int:
     import __spark_entry__ as E
     spark = get_session("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("CHECK_ANSI"):
+        spark.conf.set("spark.sql.ansi.enabled", os.environ["CHECK_ANSI"])
     if os.environ.get("CHECK_SESSION_TZ"):
         spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_SESSION_TZ"])
     qs, ors = E.queries(), E.oracle_sql()
