@@ -92,3 +92,15 @@ def test_window_bounds_inclusive(spark):
             (3, now + dt.timedelta(days=1, microseconds=1), 1, "RUNNING", None, None)]
     got = {r.run_id for r in updated_within(spark.createDataFrame(rows, LOG), now).collect()}
     assert got == {1, 2}
+
+
+def test_hot_group_is_spread_over_ranges(spark):
+    from vintner.operators.ranking import range_column
+    n = 30_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 500).cast("string"))).alias("name"),
+        F.col("id").alias("o"))
+    ranged = range_column(df, "o", ranges=64)
+    per_task = ranged.groupBy("name", "_rank_range").count().agg(F.max("count")).first()[0]
+    hot_rows = n // 3
+    assert per_task <= 2 * hot_rows / 64  # no (group, range) holds more than ~1/64 of the hot group
