@@ -79,3 +79,13 @@ def test_sniff_tab_and_pipe(spark, tmp_dir):
 def test_public_api_imports():
     import vintner
     assert all(hasattr(vintner, n) for n in vintner.__all__)
+
+
+def test_batch_requests_chunks_in_key_order(spark):
+    from vintner.operators.requests import batch_requests
+    df = spark.createDataFrame([(k, float(k) / 2) for k in (5, 3, 9, 1, 7)], "k long, x double")
+    rows = sorted(batch_requests(df, "k", ["x"], rows_per_request=2).collect())
+    got = [(r.request_id, r.n_rows, json.loads(r.request)) for r in rows]
+    assert got == [(0, 2, {"columns": ["x"], "index": [0, 1], "data": [[0.5], [1.5]]}),
+                   (1, 2, {"columns": ["x"], "index": [2, 3], "data": [[2.5], [3.5]]}),
+                   (2, 1, {"columns": ["x"], "index": [4], "data": [[4.5]]})]

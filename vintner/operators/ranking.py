@@ -61,12 +61,13 @@ def range_column(df: DataFrame, order: str, ranges: int = 256,
 
 def sequence_within_groups(df: DataFrame, groups: Sequence[str], order: str,
                            output: str = "seq", base: DataFrame | None = None,
-                           ranges: int | None = None) -> DataFrame:
+                           ranges: int | None = None, dtype: str = "long") -> DataFrame:
     """Add ``output`` = 1-based position of the row in its group by ``order``.
 
     ``base`` optionally gives a starting value per group (columns ``groups`` +
     ``base``); positions then continue after it. It is joined to the small
-    per-range table, not to the rows.
+    per-range table, not to the rows. With no ``groups`` this is a global row
+    number that never puts all rows in one task.
     """
     g = [col_of(c) for c in groups]
     ranged = range_column(df, order, ranges or default_ranges(df))
@@ -79,5 +80,5 @@ def sequence_within_groups(df: DataFrame, groups: Sequence[str], order: str,
     local = Window.partitionBy(*g, _R).orderBy(col_of(order))
     numbered = ranged.withColumn("_local", F.row_number().over(local))
     return (numbered.join(offsets, list(groups) + [_R], "inner")
-            .withColumn(output, (F.col("_off") + F.col("_local")).cast("int"))
+            .withColumn(output, (F.col("_off") + F.col("_local")).cast(dtype))
             .drop(_R, "_off", "_local"))

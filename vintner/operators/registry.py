@@ -29,7 +29,7 @@ def register_models(registry: DataFrame | None, requests: DataFrame, order: str
     base = None
     if registry is not None:
         base = registry.groupBy("name").agg(F.max("version").alias("base"))
-    numbered = sequence_within_groups(requests, ["name"], order, "version", base=base)
+    numbered = sequence_within_groups(requests, ["name"], order, "version", base=base, dtype="int")
     new = numbered.select("name", "version", F.lit(NO_STAGE).alias("stage"), "run_id", "ts")
     return new if registry is None else registry.select(*REGISTRY_COLUMNS).unionByName(new)
 

@@ -18,6 +18,7 @@ from vintner.operators.fit import (ALPHA, L1_RATIO, coefficients_frame, fit_elas
 from vintner.operators.metrics import (frame_difference, regression_metrics,
                                       regression_metrics_by_sets)
 from vintner.operators.publish import publish, publish_many
+from vintner.operators.requests import batch_requests
 from vintner.operators.score import linear_predict_fn, score, score_with_udf
 from vintner.operators.split import exact_split, first_row, hash_split
 from vintner.plans import fixtures as fx
@@ -32,6 +33,7 @@ DIGITS = sql.DIGITS
 ML_DIGITS = 2
 PRED_DIGITS = 4
 CHECK_DB = "vintner_check"
+REQUEST_ROWS = 100
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -157,6 +159,11 @@ def q_request_payload(spark, sf_dir):
     return _baskets(spark, sf_dir).select(KEY, split_request(ALL_FEATURES).alias("request"))
 
 
+def q_batch_requests(spark, sf_dir):
+    """X7 batch form: one request per 100 baskets in key order."""
+    return batch_requests(_baskets(spark, sf_dir), KEY, ALL_FEATURES, REQUEST_ROWS)
+
+
 def q_payload_roundtrip(spark, sf_dir):
     schema = "columns array<string>, index array<int>, data array<array<double>>"
     req = _baskets(spark, sf_dir).select(KEY, F.from_json(split_request(ALL_FEATURES), schema).alias("r"))
@@ -345,6 +352,7 @@ QUERIES: dict[str, Query] = {
     "metrics_report": q_metrics_report,
     "frame_equality": q_frame_equality,
     "request_payload": q_request_payload,
+    "batch_requests": q_batch_requests,
     "payload_roundtrip": q_payload_roundtrip,
     "cast_and_clean": q_cast_and_clean,
     "bad_value_counts": q_bad_value_counts,
@@ -401,6 +409,12 @@ e AS (SELECT k FROM flagged WHERE is_test), h AS (SELECT k FROM hflagged WHERE i
 SELECT (SELECT count(*) FROM (SELECT k FROM e EXCEPT ALL SELECT k FROM h)) AS only_left,
        (SELECT count(*) FROM (SELECT k FROM h EXCEPT ALL SELECT k FROM e)) AS only_right""",
         "payload_roundtrip": f"WITH {S.BASKETS} SELECT k, q, c, d FROM baskets",
+        "batch_requests": f"""WITH {S.BASKETS}, pos AS (
+  SELECT row_number() OVER (ORDER BY k) - 1 AS i, q, c, d FROM baskets)
+SELECT CAST(i // {REQUEST_ROWS} AS BIGINT) AS request_id, CAST(count(*) AS INTEGER) AS n_rows,
+       CAST(to_json({{'columns': ['q', 'c', 'd'], 'index': list(CAST(i AS INTEGER) ORDER BY i),
+                      'data': list([q, c, d] ORDER BY i)}}) AS VARCHAR) AS request
+FROM pos GROUP BY i // {REQUEST_ROWS}""",
         "request_payload": f"WITH {S.BASKETS} SELECT k, CAST(to_json({{'columns': ['q', 'c', 'd'], "
                            f"'index': [0], 'data': [[q, c, d]]}}) AS VARCHAR) AS request FROM baskets",
         "cast_and_clean": S.cast_and_clean_sql(),
