@@ -20,7 +20,8 @@ from vintner.operators.metrics import (frame_difference, regression_metrics,
 from vintner.operators.publish import publish, publish_many
 from vintner.operators.requests import batch_requests
 from vintner.operators.score import linear_predict_fn, score, score_with_udf
-from vintner.operators.split import exact_split, first_row, hash_split
+from vintner.operators.split import (SPLIT_SEED, TEST_FRACTION, exact_split, first_row,
+                                     hash_split, with_row_key)
 from vintner.plans import fixtures as fx
 from vintner.plans import oracle as sql
 from vintner.plans.baskets import ALL_FEATURES, KEY, LABEL, SPLIT_FEATURES, read_baskets
@@ -70,6 +71,17 @@ def q_split_exact(spark, sf_dir):
     return _flagged(spark, sf_dir).select(KEY, "is_test")
 
 
+KEYLESS_COLUMNS = ["l_orderkey", "l_quantity", "l_returnflag"]
+
+
+def q_split_keyless(spark, sf_dir):
+    """L1 on a table without a key: lineitem lines (which repeat) get a content
+    key plus a copy number, then the exact split."""
+    lines = read_table(spark, sf_dir, "lineitem").select(*KEYLESS_COLUMNS)
+    keyed = materialize(with_row_key(lines, "rk"), "keyless-lines")
+    return exact_split(keyed, "rk").select(*KEYLESS_COLUMNS, "is_test")
+
+
 def q_split_hash(spark, sf_dir):
     return hash_split(_baskets(spark, sf_dir), KEY).select(KEY, "is_test")
 
@@ -340,6 +352,7 @@ def q_parse_response(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "basket_features": q_basket_features,
     "split_exact": q_split_exact,
+    "split_keyless": q_split_keyless,
     "split_hash": q_split_hash,
     "first_row": q_first_row,
     "fit_one_feature": q_fit_one_feature,
@@ -388,6 +401,16 @@ def oracles() -> dict[str, str]:
         "basket_features": f"WITH {S.BASKETS} SELECT * FROM baskets",
         "split_exact": f"WITH {S.BASKETS}, {S.FLAGGED} SELECT k, is_test FROM flagged",
         "split_hash": f"WITH {S.BASKETS}, {S.HASH_FLAGGED} SELECT k, is_test FROM hflagged",
+        "split_keyless": f"""WITH c AS (
+  SELECT l_orderkey, l_quantity, l_returnflag,
+         sha256(CAST(to_json({{'l_orderkey': l_orderkey, 'l_quantity': l_quantity,
+                               'l_returnflag': l_returnflag}}) AS VARCHAR)) AS h
+  FROM lineitem),
+keyed AS (SELECT *, h || ':' || CAST(row_number() OVER (PARTITION BY h) AS VARCHAR) AS rk FROM c)
+SELECT l_orderkey, l_quantity, l_returnflag,
+       row_number() OVER (ORDER BY md5('{SPLIT_SEED}:' || rk), rk)
+         <= ceil({TEST_FRACTION} * count(*) OVER ()) AS is_test
+FROM keyed""",
         "first_row": f"WITH {S.BASKETS} SELECT * FROM baskets ORDER BY k LIMIT 1",
         "fit_one_feature": f"""WITH {S.BASKETS}, st AS (
   SELECT covar_pop(q, y) AS cv, var_pop(q) AS vq, avg(q) AS mq, avg(y) AS my FROM baskets),
