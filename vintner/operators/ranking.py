@@ -13,7 +13,9 @@ one small job), then:
 4. position = offset of the range + local number.
 
 The order column must be unique within a group (ties get distinct positions in
-an unspecified order otherwise).
+an unspecified order otherwise). The input is read three times (quantile
+bounds, range counts, rows): write an expensive input to files first
+(``session.materialize``).
 """
 
 from __future__ import annotations
