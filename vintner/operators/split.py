@@ -134,11 +134,18 @@ def with_row_key(df: DataFrame, key: str = "_row_key") -> DataFrame:
     copies may be huge); which physical copy gets which number does not
     matter, they are identical, so the split built on this key selects the
     same multiset of rows on every run and every partitioning.
+
+    The tagged rows (content hash, row id) are written once to the shared
+    checkpoint folder before numbering: the sequence reads its input three
+    times, and a ``monotonically_increasing_id`` re-evaluated over a shuffled
+    input could differ between those reads.
     """
     from vintner.operators.ranking import sequence_within_groups  # local: avoid a cycle
+    from vintner.session import materialize
 
     content = F.sha2(F.to_json(F.struct(*[col_of(c) for c in df.columns])), 256)
-    tagged = df.withColumn("_content", content).withColumn("_mono", F.monotonically_increasing_id())
+    tagged = materialize(df.withColumn("_content", content)
+                         .withColumn("_mono", F.monotonically_increasing_id()), "row-key")
     numbered = sequence_within_groups(tagged, ["_content"], "_mono", "_copy")
     return (numbered.withColumn(key, F.concat_ws(":", "_content", F.col("_copy").cast("string")))
             .drop("_content", "_mono", "_copy"))
