@@ -103,3 +103,10 @@ def test_model_save_load_and_table(spark, tmp_dir):
 def test_solver_zero_variance_feature():
     w = solve_elastic_net(np.array([[0.0]]), np.array([0.0]), 0.75, 1.0)
     assert w.tolist() == [0.0]
+
+
+def test_dropped_rows_reported(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, float("nan")), (None, 9.0), (3.0, 6.0)], "x double, y double")
+    m = fit_elastic_net(df, ["x"], "y", alpha=0.0)
+    assert m.n_rows == 2 and m.extra["dropped_rows"] == 2
+    assert m.coefficients[0] == pytest.approx(2.0)

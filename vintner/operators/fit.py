@@ -69,38 +69,39 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features",
 
 def moment_stats(df: DataFrame, features: Sequence[str], label: str,
                  on_null: str = "drop") -> dict:
-    """n, means, covariance matrix, feature-label covariances, label variance:
-    one aggregation pass. ``on_null`` is ``'drop'`` (skip incomplete rows) or
-    ``'error'``."""
+    """n, means, covariance matrix, feature-label covariances, label variance
+    and the number of incomplete rows, in one aggregation pass.
+
+    A row with a null or NaN in any feature or the label is incomplete: every
+    value of it is masked to null, so all statistics cover the same complete
+    rows. ``on_null='error'`` raises if there is any such row.
+    """
+    if on_null not in ("drop", "error"):
+        raise ValueError("on_null must be 'drop' or 'error'")
     cols = list(features) + [label]
-    typed = df.select(*[col_of(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
-    incomplete = F.lit(False)
-    for i in range(len(cols)):
-        incomplete = incomplete | F.col(f"v{i}").isNull() | F.isnan(f"v{i}")
     p = len(features)
-    aggs = [F.count_if(incomplete).alias("bad")]
-    complete = typed.where(~incomplete) if on_null == "drop" else typed
-    stats_aggs = [F.count(F.lit(1)).alias("n")]
-    stats_aggs += [F.avg(f"v{i}").alias(f"m{i}") for i in range(p + 1)]
-    stats_aggs += [F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}")
-                   for i in range(p + 1) for j in range(i, p + 1)]
-    if on_null == "drop":
-        bad = 0
-        row = complete.agg(*stats_aggs).first()
-    else:
-        row = typed.agg(*aggs, *stats_aggs).first()
-        bad = row["bad"]
-        if bad:
-            raise ValueError(f"{bad} rows have null or NaN in {cols}")
-    n = int(row["n"])
+    typed = df.select(*[col_of(c).cast("double").alias(f"r{i}") for i, c in enumerate(cols)])
+    incomplete = F.lit(False)
+    for i in range(p + 1):
+        incomplete = incomplete | F.col(f"r{i}").isNull() | F.isnan(f"r{i}")
+    masked = typed.select(incomplete.alias("bad"),
+                          *[F.when(~incomplete, F.col(f"r{i}")).alias(f"v{i}") for i in range(p + 1)])
+    aggs = [F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("n")]
+    aggs += [F.avg(f"v{i}").alias(f"m{i}") for i in range(p + 1)]
+    aggs += [F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}")
+             for i in range(p + 1) for j in range(i, p + 1)]
+    row = masked.agg(*aggs).first()
+    bad = int(row["bad"])
+    if on_null == "error" and bad:
+        raise ValueError(f"{bad} rows have null or NaN in {cols}")
     cov = np.zeros((p + 1, p + 1))
     for i in range(p + 1):
         for j in range(i, p + 1):
             v = row[f"c{i}_{j}"]
             cov[i, j] = cov[j, i] = 0.0 if v is None else float(v)
     means = np.array([0.0 if row[f"m{i}"] is None else float(row[f"m{i}"]) for i in range(p + 1)])
-    return {"n": n, "means": means[:p], "mean_y": means[p], "C": cov[:p, :p],
-            "cy": cov[:p, p], "var_y": cov[p, p], "bad": bad}
+    return {"n": int(row["n"]), "means": means[:p], "mean_y": means[p], "C": cov[:p, :p],
+            "cy": cov[:p, p], "var_y": cov[p, p], "dropped": bad}
 
 
 def solve_elastic_net(C: np.ndarray, cy: np.ndarray, alpha: float, l1_ratio: float,
@@ -140,7 +141,8 @@ def fit_elastic_net(df: DataFrame, features: Sequence[str], label: str,
         raise ValueError("no complete rows to fit")
     w = solve_elastic_net(s["C"], s["cy"], alpha, l1_ratio)
     b = float(s["mean_y"] - s["means"] @ w)
-    return LinearModel(features, [float(x) for x in w], b, label, alpha, l1_ratio, s["n"])
+    return LinearModel(features, [float(x) for x in w], b, label, alpha, l1_ratio, s["n"],
+                       {"dropped_rows": s["dropped"]})
 
 
 def fit_spark_ml(df: DataFrame, features: Sequence[str], label: str,
