@@ -71,3 +71,17 @@ def test_semicolon_csv_is_sniffed(spark, tmp_dir):
                      db="semi", sniff=True)
     assert train_job(spark, tp)["version"] == 1
     assert len(spark.table("semi.mlops_wine_quality_input").columns) == 12
+
+
+def test_score_by_runs_uri(spark, tmp_dir):
+    from vintner.plans.jobs import uri_to_path
+    assert uri_to_path("runs:/abc/model", "/lake/models/") == "/lake/models/abc/model"
+    assert uri_to_path("/x/model", None) == "/x/model"
+    csv = write_wine_csv(tmp_dir + "/w.csv", n=60)
+    root = tmp_dir + "/models"
+    rec = train_job(spark, TrainParams(csv_path=csv, experiment="e", model_name="m", model_root=root,
+                                       db="uri"))
+    out = batch_score_job(spark, ScoreParams(csv_path=csv, model_path=f"runs:/{rec['run_id']}/model",
+                                             db="uri", tables=["by_uri"]), model_root=root)
+    assert out["model_uri"] == rec["model_uri"]
+    assert spark.table("uri.by_uri").count() == 80

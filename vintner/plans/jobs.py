@@ -114,11 +114,25 @@ def train_job(spark: SparkSession, p: TrainParams) -> dict:
             "model_uri": model_path, "metrics": metrics}
 
 
+RUNS_SCHEME = "runs:/"
+
+
+def uri_to_path(uri: str, model_root: str | None) -> str:
+    """``runs:/<run_id>/<artifact>`` -> ``<model_root>/<run_id>/<artifact>``;
+    any other string is taken as a path already."""
+    if not uri.startswith(RUNS_SCHEME):
+        return uri
+    if model_root is None:
+        raise ValueError("model_root is needed to resolve a runs:/ URI")
+    return f"{model_root.rstrip('/')}/{uri[len(RUNS_SCHEME):].strip('/')}"
+
+
 def resolve_model(spark: SparkSession, p: ScoreParams, model_root: str | None = None) -> tuple[LinearModel, str]:
-    """S6 + R3 + R6: an explicit path, or the latest version of ``model_name``
-    in ``stage`` read from the registry table."""
+    """S6 + R3 + R6: an explicit path or ``runs:/`` URI, or the latest version
+    of ``model_name`` in ``stage`` read from the registry table."""
     if p.model_path:
-        return load_model(spark, p.model_path), p.model_path
+        path = uri_to_path(p.model_path, model_root)
+        return load_model(spark, path), path
     registry = spark.table(f"{sanitize_identifier(p.db)}.{p.registry_table}")
     row = reg.latest_version(registry, p.model_name, strip_spaces(p.stage))
     if model_root is None:
