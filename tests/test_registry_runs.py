@@ -29,7 +29,7 @@ def test_sequence_on_hot_group_matches_row_number(spark):
     df = spark.range(3000).select(
         F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("name"),
         (F.col("id") * 7919 % 100003).alias("o"))
-    ours = sequence_within_groups(df, ["name"], "o", "seq", ranges=16)
+    ours = sequence_within_groups(df, ["name"], "o", "seq", ranges=16, hot_rows=500, sample_fraction=0.2)
     from pyspark.sql import Window
     ref = df.withColumn("ref", F.row_number().over(Window.partitionBy("name").orderBy("o")))
     bad = ours.join(ref, ["name", "o"]).where(F.col("seq") != F.col("ref")).count()
@@ -104,3 +104,20 @@ def test_hot_group_is_spread_over_ranges(spark):
     per_task = ranged.groupBy("name", "_rank_range").count().agg(F.max("count")).first()[0]
     hot_rows = n // 3
     assert per_task <= 2 * hot_rows / 64  # no (group, range) holds more than ~1/64 of the hot group
+
+
+
+def test_hot_and_cold_paths_with_base(spark):
+    from pyspark.sql import Window
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 4 == 0, F.lit(None)).when(F.col("id") % 4 == 1, F.lit("hot"))
+        .otherwise(F.concat(F.lit("g"), (F.col("id") % 97).cast("string"))).alias("name"),
+        F.col("id").alias("o"))
+    base = spark.createDataFrame([("hot", 10), ("g5", 3)], "name string, base int")
+    ours = sequence_within_groups(df, ["name"], "o", "seq", base=base, ranges=8,
+                                  hot_rows=400, sample_fraction=0.5)
+    ref = df.withColumn("ref", F.row_number().over(Window.partitionBy("name").orderBy("o")))
+    ref = ref.join(base, "name", "left").withColumn("ref", F.col("ref") + F.coalesce("base", F.lit(0)))
+    joined = ours.join(ref, ours["o"] == ref["o"])
+    assert ours.count() == 4000
+    assert joined.where(ours["seq"] != ref["ref"]).count() == 0

@@ -2,19 +2,23 @@
 
 ``row_number() over (partition by g order by o)`` sends a whole group to one
 task; if one group holds a third of the table, one task sorts a third of the
-table. Here the order column is first cut into ranges (approximate quantiles,
-one small job), then:
-
-1. rows are counted per ``(group, range)``: a partial aggregate, small output;
-2. a window over those counts gives each range the number of rows of the same
-   group in earlier ranges (at most ``ranges`` rows per group: bounded);
-3. ``row_number`` runs per ``(group, range)``: a hot group is spread over all
-   ranges, so no task holds more than about ``n / ranges`` rows;
-4. position = offset of the range + local number.
-
-The order column must be unique within a group (ties get distinct positions in
-an unspecified order otherwise). The input is read three times (quantile
-bounds, range counts, rows): write an expensive input to files first
+table. Here:
+
+1. a seeded 1 % sample counts rows per group; groups whose share points to at
+   least ``hot_rows`` rows are *hot*. The list is bounded (sample size /
+   threshold), so it is broadcast with a known size;
+2. every other group is numbered with a plain ``row_number`` window: one
+   shuffle, and no group in it is large;
+3. hot groups are numbered by ranges of the order column (approximate
+   quantiles): rows are counted per (group, range), a window over that small
+   table gives each range its offset, ``row_number`` runs per (group, range)
+   and position = offset + local number. A hot group is spread over all
+   ranges, so no task holds more than about n / ranges of its rows.
+
+Results are exact whichever path a group takes; the sample only picks the
+cheaper plan. The order column must be unique within a group (ties get
+distinct positions in an unspecified order otherwise). The input is read
+several times: write an expensive input to files first
 (``session.materialize``).
 """
 
@@ -61,26 +65,72 @@ def range_column(df: DataFrame, order: str, ranges: int = 256,
     return bucketed.drop(tmp)
 
 
+def hot_groups(df: DataFrame, groups: Sequence[str], hot_rows: int,
+               sample_fraction: float = 0.01, seed: int = 17) -> list:
+    """Group keys that look like they hold at least ``hot_rows`` rows, from a
+    seeded sample. At most (sample rows) / (threshold) keys come back."""
+    threshold = max(1, int(hot_rows * sample_fraction / 2))
+    counted = (df.select(*[col_of(c) for c in groups]).sample(fraction=sample_fraction, seed=seed)
+               .groupBy(*[col_of(c) for c in groups]).count().where(F.col("count") >= threshold))
+    return [tuple(r)[:len(groups)] for r in counted.collect()]
+
+
 def sequence_within_groups(df: DataFrame, groups: Sequence[str], order: str,
                            output: str = "seq", base: DataFrame | None = None,
-                           ranges: int | None = None, dtype: str = "long") -> DataFrame:
+                           ranges: int | None = None, dtype: str = "long",
+                           hot_rows: int = 1_000_000, sample_fraction: float = 0.01) -> DataFrame:
     """Add ``output`` = 1-based position of the row in its group by ``order``.
 
     ``base`` optionally gives a starting value per group (columns ``groups`` +
-    ``base``); positions then continue after it. It is joined to the small
-    per-range table, not to the rows. With no ``groups`` this is a global row
-    number that never puts all rows in one task.
+    ``base``); positions then continue after it. With no ``groups`` this is a
+    global row number that never puts a large input in one task.
     """
+    groups = list(groups)
+    hot = hot_groups(df, groups, hot_rows, sample_fraction)
+    if not hot:
+        return _plain_sequence(df, groups, order, output, base, dtype)
+    if not groups:
+        return _ranged_sequence(df, groups, order, output, base, ranges, dtype)
+    schema = df.select(*[col_of(c) for c in groups]).schema
+    hot_keys = F.broadcast(df.sparkSession.createDataFrame(hot, schema))
+    cond = [df[c].eqNullSafe(hot_keys[c]) for c in groups]
+    cold_rows = df.join(hot_keys, cond, "left_anti")
+    hot_rows_df = df.join(hot_keys, cond, "left_semi")
+    return (_plain_sequence(cold_rows, groups, order, output, base, dtype)
+            .unionByName(_ranged_sequence(hot_rows_df, groups, order, output, base, ranges, dtype)))
+
+
+def _with_base(numbered: DataFrame, groups: list[str], base: DataFrame | None) -> DataFrame:
+    if base is None:
+        return numbered.withColumn("_off", F.lit(0))
+    b = base.select(*[col_of(c) for c in groups], col_of("base").alias("_base"))
+    return (numbered.join(b, groups, "left")
+            .withColumn("_off", F.coalesce("_base", F.lit(0))).drop("_base"))
+
+
+def _plain_sequence(df, groups, order, output, base, dtype):
+    w = Window.partitionBy(*[col_of(c) for c in groups]).orderBy(col_of(order))
+    numbered = _with_base(df.withColumn("_local", F.row_number().over(w)), groups, base)
+    return (numbered.withColumn(output, (F.col("_off") + F.col("_local")).cast(dtype))
+            .drop("_off", "_local"))
+
+
+def _ranged_sequence(df, groups, order, output, base, ranges, dtype):
     g = [col_of(c) for c in groups]
     ranged = range_column(df, order, ranges or default_ranges(df))
     counts = ranged.groupBy(*g, _R).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*g).orderBy(_R).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*g, _R, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = counts.select(*g, _R, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_roff"))
     if base is not None:
-        offsets = (offsets.join(base.select(*g, col_of("base").alias("_base")), list(groups), "left")
-                   .select(*g, _R, (F.col("_off") + F.coalesce("_base", F.lit(0))).alias("_off")))
+        offsets = (offsets.join(base.select(*g, col_of("base").alias("_base")), groups, "left")
+                   .select(*g, _R, (F.col("_roff") + F.coalesce("_base", F.lit(0))).alias("_roff")))
     local = Window.partitionBy(*g, _R).orderBy(col_of(order))
     numbered = ranged.withColumn("_local", F.row_number().over(local))
-    return (numbered.join(offsets, list(groups) + [_R], "inner")
-            .withColumn(output, (F.col("_off") + F.col("_local")).cast(dtype))
-            .drop(_R, "_off", "_local"))
+    # null-safe on the group keys: a null group is a group like any other
+    keyed = offsets.select(*[col_of(c).alias(f"_k{i}") for i, c in enumerate(groups)],
+                           F.col(_R).alias("_kr"), "_roff")
+    cond = [numbered[c].eqNullSafe(keyed[f"_k{i}"]) for i, c in enumerate(groups)]
+    cond.append(numbered[_R] == keyed["_kr"])
+    return (numbered.join(keyed, cond, "inner")
+            .withColumn(output, (F.col("_roff") + F.col("_local")).cast(dtype))
+            .drop(_R, "_kr", "_roff", "_local", *[f"_k{i}" for i in range(len(groups))]))
