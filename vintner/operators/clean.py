@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from vintner.functions.casting import to_float, to_int
 from vintner.functions.names import clean_name, col_of, quote
 
+# The label column of the training table, and the column and
+# value the status stamp appends.
 LABEL = "quality"
 STATUS_COLUMN = "status"
 STATUS_VALUE = "checked"

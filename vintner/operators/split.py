@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from vintner.functions.names import col_of
 
+# The seed and the test share of the reference's split.
 SPLIT_SEED = 40
 TEST_FRACTION = 0.25
 _HASH = "_split_hash"

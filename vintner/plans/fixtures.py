@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# How event types map to job-run states. An error with value
+# Fixture parameters (our choice): how event types map to job-run states. An error with value
 # >= 25 is a terminated run with a FAILED result, a smaller one an internal error.
 STATE_OF_EVENT = {
     "signup": ("PENDING", None),
