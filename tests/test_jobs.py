@@ -85,3 +85,13 @@ def test_score_by_runs_uri(spark, tmp_dir):
                                              db="uri", tables=["by_uri"]), model_root=root)
     assert out["model_uri"] == rec["model_uri"]
     assert spark.table("uri.by_uri").count() == 80
+
+
+def test_flow_fans_out(spark, tmp_dir):
+    from vintner.plans.flow import FlowParams, run_flow_full
+    res = run_flow_full(spark, FlowParams(sf_dir="/root/testdata/sf0.001", db="flowdb", table="p0",
+                                          extra_tables=["p1", "p2"]))
+    n = res.predictions.count()
+    assert [c.count() for c in res.copies] == [n, n]
+    assert res.predictions.columns[0] == "prediction" and res.predictions.columns[-1] == "status"
+    assert 0 < res.metrics["r2"] <= 1

@@ -34,6 +34,7 @@ class FlowParams:
     l1_ratio: float = L1_RATIO
     test_fraction: float = TEST_FRACTION
     seed: int = SPLIT_SEED
+    extra_tables: list[str] = field(default_factory=list)   # fan-out targets (K5)
 
 
 @dataclass
@@ -41,6 +42,7 @@ class FlowResult:
     predictions: DataFrame
     model: LinearModel
     metrics: dict
+    copies: list[DataFrame] = field(default_factory=list)
 
 
 def run_flow_full(spark: SparkSession, p: FlowParams) -> FlowResult:
@@ -55,7 +57,9 @@ def run_flow_full(spark: SparkSession, p: FlowParams) -> FlowResult:
     row = regression_metrics(score(flagged.where(F.col("is_test")), model), p.label).first()
     published = publish(score(flagged.drop("is_test"), model), p.db, p.table,
                         location=p.location)
-    return FlowResult(published, model, row.asDict() if row else {})
+    # the fan-out copies read the published table: scoring runs once
+    copies = [publish(published, p.db, t) for t in p.extra_tables]
+    return FlowResult(published, model, row.asDict() if row else {}, copies)
 
 
 def run_flow(spark: SparkSession, p: FlowParams) -> DataFrame:
