@@ -254,6 +254,19 @@ def q_flow(spark, sf_dir):
     return run_flow(spark, params).withColumn("prediction", F.round("prediction", PRED_DIGITS))
 
 
+def q_stream_score(spark, sf_dir):
+    """U1 on a stream: fit in batch on the training part, then score the
+    written baskets as a file stream (availableNow) into a Parquet sink."""
+    path = scratch_path(spark, "baskets-stream-source")
+    read_baskets(spark, sf_dir).write.parquet(path)
+    baskets = spark.read.parquet(path)
+    model = _fit_on_train(exact_split(baskets, KEY))
+
+    def scoring(stream):
+        return score(stream, model).withColumn("prediction", F.round("prediction", PRED_DIGITS))
+    return stream_through(spark, path, scoring, scratch_path(spark, "stream-score"))
+
+
 def q_stream_stamp(spark, sf_dir):
     return stream_through(spark, f"{sf_dir}/customer.parquet", clean.with_status,
                           scratch_path(spark, "stream-stamp"))
@@ -381,6 +394,7 @@ QUERIES: dict[str, Query] = {
     "fan_out": q_fan_out,
     "flow": q_flow,
     "stream_stamp": q_stream_stamp,
+    "stream_score": q_stream_score,
     "register_versions": q_register_versions,
     "stage_transition": q_stage_transition,
     "latest_in_stage": q_latest_in_stage,
@@ -457,6 +471,7 @@ FROM pos GROUP BY i // {REQUEST_ROWS}""",
 SELECT round({S.prediction_sql(S.SPLIT_FEATS, 'b')}, {PRED_DIGITS}) AS prediction,
        b.k, b.q, b.c, b.d, b.y, 'checked' AS status FROM baskets b, coef""",
         "stream_stamp": "SELECT *, 'checked' AS status FROM customer",
+        "stream_score": scored,
         "register_versions": f"WITH {S.REGISTRY} SELECT name, version, stage, run_id, ts FROM registry",
         "stage_transition": f"WITH {S.REGISTRY}, {S.STAGED} SELECT * FROM staged",
         "latest_in_stage": f"""WITH {S.REGISTRY}, {S.STAGED}
