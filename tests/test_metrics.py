@@ -46,3 +46,10 @@ def test_frame_difference_nulls_and_hot_copies(spark):
     assert (r.only_left, r.only_right) == (3, 1)
     empty = frame_difference(a.limit(0), b.limit(0)).first()
     assert (empty.only_left, empty.only_right) == (0, 0)
+
+
+def test_metrics_use_complete_pairs(spark):
+    df = spark.createDataFrame([(3.0, 2.5), (5.0, None), (None, 1.0), (7.0, 6.0)],
+                               "label double, prediction double")
+    r = regression_metrics(df, "label").first()
+    assert r.n == 2 and r.mae == pytest.approx(0.75)

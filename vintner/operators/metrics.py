@@ -13,9 +13,12 @@ from vintner.functions.names import col_of
 def metric_columns(label: str, prediction: str) -> list[Column]:
     """RMSE, MAE and R^2 as aggregate expressions.
 
-    R^2 follows the single-machine convention for a constant label: 1.0 when
-    every residual is zero, else 0.0 (instead of a division by zero)."""
-    y, p = col_of(label).cast("double"), col_of(prediction).cast("double")
+    All of them cover the same rows: those with both a label and a
+    prediction. R^2 follows the single-machine convention for a constant
+    label: 1.0 when every residual is zero, else 0.0 (instead of a division
+    by zero)."""
+    y0, p0 = col_of(label).cast("double"), col_of(prediction).cast("double")
+    y, p = F.when(p0.isNotNull(), y0), F.when(y0.isNotNull(), p0)
     res = F.sum(F.pow(y - p, 2))
     tot = F.var_pop(y) * F.count(y)
     r2 = (F.when(F.count(y) == 0, F.lit(None).cast("double"))
