@@ -110,3 +110,11 @@ def test_dropped_rows_reported(spark):
     m = fit_elastic_net(df, ["x"], "y", alpha=0.0)
     assert m.n_rows == 2 and m.extra["dropped_rows"] == 2
     assert m.coefficients[0] == pytest.approx(2.0)
+
+
+def test_null_feature_gives_null_on_both_paths(spark):
+    m = LinearModel(["a", "b"], [2.0, 0.0], 1.0)
+    df = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "a double, b double")
+    e = [r.prediction for r in score(df, m).orderBy("a").collect()]
+    u = [r.prediction for r in score_with_udf(df, m.features, linear_predict_fn(m)).orderBy("a").collect()]
+    assert e == [None, 5.0] and u == [None, 5.0]

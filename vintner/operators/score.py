@@ -23,11 +23,12 @@ PREDICTION = "prediction"
 
 
 def prediction_column(model: LinearModel) -> Column:
-    """``intercept + sum(coefficient * feature)``, features bound by name."""
+    """``intercept + sum(coefficient * feature)``, features bound by name.
+    Every feature takes part, also at weight 0, so a null in any feature
+    gives a null prediction, as on the UDF path."""
     expr = F.lit(float(model.intercept))
     for name, w in zip(model.features, model.coefficients):
-        if w != 0.0:
-            expr = expr + F.lit(float(w)) * col_of(name).cast("double")
+        expr = expr + F.lit(float(w)) * col_of(name).cast("double")
     return expr
 
 
