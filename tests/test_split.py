@@ -84,3 +84,10 @@ def test_random_split_covers_input(spark):
     train, test = random_split(df)
     assert train.count() + test.count() == 2000 and 350 < test.count() < 650
     assert train.join(test, "id").count() == 0
+
+
+def test_hash_split_keeps_null_keys(spark):
+    df = spark.createDataFrame([(1,), (None,), (3,)], "k long")
+    train, test = train_test(df, "k", exact=False)
+    assert train.count() + test.count() == 3
+    assert train.where("k IS NULL").count() == 1

@@ -108,9 +108,12 @@ def exact_split(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
 def hash_split(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
                seed: int = SPLIT_SEED, flag: str = "is_test") -> DataFrame:
     """Map-only approximate split, ``substr(md5(..), 1, 4) < hex(f * 65536)``.
-    Each row decides alone, so it also works on a stream."""
+    Each row decides alone, so it also works on a stream. A null key cannot
+    be hashed; such rows go to the training part (the flag is never null, so
+    no row falls out of both parts)."""
     bound = format(min(int(round(test_fraction * 65536)), 65535), "04x") if test_fraction < 1 else "g"
-    return df.withColumn(flag, F.substring(split_hash(key, seed), 1, 4) < F.lit(bound))
+    test = F.substring(split_hash(key, seed), 1, 4) < F.lit(bound)
+    return df.withColumn(flag, F.coalesce(test, F.lit(False)))
 
 
 def train_test(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
