@@ -89,3 +89,11 @@ def test_batch_requests_chunks_in_key_order(spark):
     assert got == [(0, 2, {"columns": ["x"], "index": [0, 1], "data": [[0.5], [1.5]]}),
                    (1, 2, {"columns": ["x"], "index": [2, 3], "data": [[2.5], [3.5]]}),
                    (2, 1, {"columns": ["x"], "index": [4], "data": [[4.5]]})]
+
+
+def test_persisted_releases_cache(spark):
+    from vintner.session import persisted
+    df = spark.range(100).withColumn("x", F.col("id") * 2)
+    with persisted(df) as d:
+        assert d.is_cached and d.count() == 100
+    assert not df.is_cached

@@ -16,14 +16,14 @@ from vintner.operators.registry import (latest_in_stage, latest_version, log_run
 from vintner.operators.runs import job_outcomes, updated_within
 from vintner.operators.score import score, score_spark_ml, score_with_udf
 from vintner.operators.split import exact_split, first_row, hash_split, train_test, with_row_key
-from vintner.session import get_session, materialize
+from vintner.session import get_session, materialize, persisted
 from vintner.sources import (frame_from_rows, land_once, read_csv_strings, read_parquet,
                              read_sniffed_csv, sniff_delimiter)
 
 __version__ = "0.1.0"
 
 __all__ = [
-    "get_session", "materialize",
+    "get_session", "materialize", "persisted",
     "read_parquet", "read_csv_strings", "read_sniffed_csv", "sniff_delimiter", "land_once",
     "frame_from_rows",
     "cast_features", "cast_label", "clean_table", "with_status", "drop_label", "bad_value_counts",

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: str | None = None
@@ -95,3 +97,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def persisted(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+    """L3: keep ``df`` cached for the block and release it afterwards (the
+    cache is dropped even if the block fails). Cache the typed, pruned frame,
+    not the raw input. Lost blocks are recomputed from lineage; for reuse
+    across many steps or to cut lineage, prefer :func:`materialize`."""
+    cached = df.persist(level)
+    try:
+        yield cached
+    finally:
+        cached.unpersist()
