@@ -19,6 +19,8 @@ import pandas as pd
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+EXACT_FLOATS = bool(os.environ.get("CHECK_EXACT_FLOATS"))
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -37,7 +39,7 @@ def _norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "null"
     if isinstance(v, float):
-        return repr(round(v, 9) + 0.0)
+        return repr(v + 0.0) if EXACT_FLOATS else repr(round(v, 9) + 0.0)
     if isinstance(v, pd.Timestamp):
         return v.tz_localize(None).isoformat() if v.tzinfo else v.isoformat()
     if hasattr(v, "isoformat"):
