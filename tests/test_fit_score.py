@@ -118,3 +118,10 @@ def test_null_feature_gives_null_on_both_paths(spark):
     e = [r.prediction for r in score(df, m).orderBy("a").collect()]
     u = [r.prediction for r in score_with_udf(df, m.features, linear_predict_fn(m)).orderBy("a").collect()]
     assert e == [None, 5.0] and u == [None, 5.0]
+
+
+def test_spark_ml_lbfgs_mapping(spark):
+    df, x, y = synthetic(spark)
+    _, lm = fit_spark_ml(df, ["a", "b", "c"], "y", solver="l-bfgs")
+    w, b = numpy_cd(x, y, 0.75, 0.25)
+    assert np.allclose(lm.coefficients, w, rtol=1e-3, atol=1e-3)

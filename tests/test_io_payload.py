@@ -97,3 +97,18 @@ def test_persisted_releases_cache(spark):
     with persisted(df) as d:
         assert d.is_cached and d.count() == 100
     assert not df.is_cached
+
+
+def test_publish_self_overwrite_at_location(spark, tmp_dir):
+    loc = tmp_dir + "/ext_t"
+    publish(spark.range(5).withColumn("x", F.lit(1)), "extdb", "t", location=loc)
+    again = publish(spark.table("extdb.t").withColumn("x", F.col("x") + 1), "extdb", "t", location=loc)
+    assert again.agg(F.sum("x")).first()[0] == 10
+    assert not spark.catalog.tableExists("extdb.t__staging")
+
+
+def test_land_parquet_and_sniff_empty(spark, tmp_dir):
+    path = land_once(spark.range(3), tmp_dir + "/landed_pq", fmt="parquet")
+    assert spark.read.parquet(path).count() == 3
+    empty = write_text(tmp_dir + "/empty.csv", "")
+    assert sniff_delimiter(spark, empty) == ","
