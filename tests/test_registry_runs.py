@@ -121,3 +121,15 @@ def test_hot_and_cold_paths_with_base(spark):
     joined = ours.join(ref, ours["o"] == ref["o"])
     assert ours.count() == 4000
     assert joined.where(ours["seq"] != ref["ref"]).count() == 0
+
+
+def test_pipeline_outcomes_look_at_every_activity(spark):
+    from vintner.operators.runs import pipeline_outcomes
+    t = TS
+    rows = [(1, "etl", t, 1, "Succeeded"), (1, "score", t, 2, "InProgress"),
+            (1, "score", t + dt.timedelta(minutes=5), 3, "Failed"),
+            (2, "etl", t, 1, "Succeeded"), (2, "score", t, 2, "InProgress"),
+            (3, "etl", t, 1, "Succeeded"), (3, "score", t, 2, "Cancelled"), (3, "score", t, 1, "InProgress")]
+    df = spark.createDataFrame(rows, "run_id long, activity string, ts timestamp, seq long, status string")
+    out = {r.run_id: (r.outcome, r.activities) for r in pipeline_outcomes(df, tie_break="seq").collect()}
+    assert out == {1: ("failed", 2), 2: ("pending", 2), 3: ("failed", 2)}

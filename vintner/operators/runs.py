@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 # Life-cycle states that end a run as failed, the terminal state,
 # and the result state that marks a terminated run as failed.
 FAILED_LIFE_CYCLE_STATES = ("INTERNAL_ERROR", "SKIPPED")
+# Activity-run statuses of a pipeline run that are not errors,
+# and the one that means still running.
+ACTIVITY_OK_STATUSES = ("Succeeded", "InProgress")
+ACTIVITY_RUNNING = "InProgress"
 TERMINATED = "TERMINATED"
 FAILED_RESULT = "FAILED"
 SUCCESS_RESULT = "SUCCESS"
@@ -60,3 +64,31 @@ def updated_within(log: DataFrame, now: dt.datetime | str, before: dt.timedelta
     def bound(t: dt.datetime) -> Column:
         return F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(dtype)
     return log.where(F.col(ts).between(bound(now - before), bound(now + after)))
+
+
+def activity_class(status: Column) -> Column:
+    """``pending`` while in progress, ``succeeded``, anything else ``failed``."""
+    return (F.when(status == F.lit(ACTIVITY_RUNNING), F.lit("pending"))
+            .when(status.isin(*ACTIVITY_OK_STATUSES), F.lit("succeeded"))
+            .otherwise(F.lit("failed")))
+
+
+def pipeline_outcomes(activities: DataFrame, tie_break: str | None = None) -> DataFrame:
+    """J1 for pipeline runs: the last status of every activity of every run
+    (not only the first activity), classified, then rolled up per run: failed
+    if any activity failed, pending if any is still running, else succeeded.
+
+    Input rows: ``run_id, activity, ts, status``. Both steps are partial
+    aggregates: per (run, activity) and per run.
+    """
+    order = F.struct("ts", tie_break) if tie_break else F.col("ts")
+    last = (activities.groupBy("run_id", "activity")
+            .agg(F.max_by("status", order).alias("status"))
+            .withColumn("class", activity_class(F.col("status"))))
+    per_run = last.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("activities"),
+        F.count_if(F.col("class") == "failed").alias("failed"),
+        F.count_if(F.col("class") == "pending").alias("pending"))
+    return per_run.withColumn(
+        "outcome", F.when(F.col("failed") > 0, F.lit("failed"))
+        .when(F.col("pending") > 0, F.lit("pending")).otherwise(F.lit("succeeded")))

@@ -349,6 +349,10 @@ def q_run_outcomes(spark, sf_dir):
     return runs.job_outcomes(_job_log(spark, sf_dir), tie_break="seq")
 
 
+def q_pipeline_outcomes(spark, sf_dir):
+    return runs.pipeline_outcomes(fx.activity_log(read_table(spark, sf_dir, "events")), tie_break="seq")
+
+
 def q_runs_in_window(spark, sf_dir):
     return runs.updated_within(_job_log(spark, sf_dir), fx.WINDOW_NOW)
 
@@ -403,6 +407,7 @@ QUERIES: dict[str, Query] = {
     "run_log_tall": q_run_log_tall,
     "runs_of_experiment": q_runs_of_experiment,
     "run_outcomes": q_run_outcomes,
+    "pipeline_outcomes": q_pipeline_outcomes,
     "runs_in_window": q_runs_in_window,
     "parse_response": q_parse_response,
 }
@@ -491,6 +496,22 @@ FROM staged WHERE stage = 'Staging' GROUP BY name""",
 SELECT run_id, ts AS last_ts, life_cycle_state, result_state, state_message, records,
        {S.outcome_sql(False)} AS outcome, {S.outcome_sql(True)} AS strict_outcome
 FROM last WHERE rn = 1""",
+        "pipeline_outcomes": f"""WITH acts AS (
+  SELECT user_id AS run_id, event_type AS activity, ts, event_id AS seq,
+         CASE WHEN value < {fx.ACTIVITY_IN_PROGRESS_BELOW!r} THEN 'InProgress'
+              WHEN value >= {fx.ACTIVITY_FAILED_FROM!r} THEN 'Failed' ELSE 'Succeeded' END AS status
+  FROM events),
+last AS (
+  SELECT run_id, activity, arg_max(status, (ts, seq)) AS status FROM acts GROUP BY run_id, activity),
+cls AS (
+  SELECT run_id, CASE WHEN status = 'InProgress' THEN 'pending'
+                      WHEN status IN ('Succeeded', 'InProgress') THEN 'succeeded' ELSE 'failed' END AS class
+  FROM last)
+SELECT run_id, count(*) AS activities, count(*) FILTER (WHERE class = 'failed') AS failed,
+       count(*) FILTER (WHERE class = 'pending') AS pending,
+       CASE WHEN count(*) FILTER (WHERE class = 'failed') > 0 THEN 'failed'
+            WHEN count(*) FILTER (WHERE class = 'pending') > 0 THEN 'pending' ELSE 'succeeded' END AS outcome
+FROM cls GROUP BY run_id""",
         "runs_in_window": f"WITH {S.job_log_sql()} SELECT * FROM log "
                           f"WHERE ts BETWEEN TIMESTAMP '{lo}' AND TIMESTAMP '{hi}'",
         "parse_response": """SELECT event_id, value AS prediction, TRUE AS malformed,

@@ -63,6 +63,20 @@ def stage_changes(registry: DataFrame, requests: DataFrame) -> DataFrame:
     return staging.unionByName(prod)
 
 
+# Fixture parameters (our choice): an event's value gives its activity status.
+ACTIVITY_IN_PROGRESS_BELOW = 10.0
+ACTIVITY_FAILED_FROM = 150.0
+
+
+def activity_log(events: DataFrame) -> DataFrame:
+    """Pipeline activity runs: run = user, activity = event type."""
+    v = F.col("value")
+    status = (F.when(v < ACTIVITY_IN_PROGRESS_BELOW, F.lit("InProgress"))
+              .when(v >= ACTIVITY_FAILED_FROM, F.lit("Failed")).otherwise(F.lit("Succeeded")))
+    return events.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("activity"),
+                         "ts", F.col("event_id").alias("seq"), status.alias("status"))
+
+
 RAW_LINE_COLUMNS = [  # (raw name, source column)
     ("order key", "l_orderkey"),
     ("quantity", "l_quantity"),
