@@ -316,6 +316,14 @@ def q_result_record(spark, sf_dir):
                     json_record(model_name=F.col("name"), version=F.col("version")).alias("record"))
 
 
+def q_score_record(spark, sf_dir):
+    """K8 for the scoring job: ``{"model_name": ..., "model_uri": ...}`` for
+    the latest Staging version of every model."""
+    latest = reg.with_model_uri(reg.latest_in_stage(_staged(spark, sf_dir), "Staging"))
+    return latest.select("name", json_record(model_name=F.col("name"),
+                                             model_uri=F.col("model_uri")).alias("record"))
+
+
 def _run_log(spark, sf_dir):
     """One run per (experiment, segment): experiments are segmentations of the
     test set, all evaluated in one aggregation."""
@@ -404,6 +412,7 @@ QUERIES: dict[str, Query] = {
     "latest_in_stage": q_latest_in_stage,
     "model_uri": q_model_uri,
     "result_record": q_result_record,
+    "score_record": q_score_record,
     "run_log_tall": q_run_log_tall,
     "runs_of_experiment": q_runs_of_experiment,
     "run_outcomes": q_run_outcomes,
@@ -487,6 +496,11 @@ FROM staged WHERE stage = 'Staging' GROUP BY name""",
                      f"'runs:/' || run_id || '/model' AS model_uri FROM registry",
         "result_record": f"WITH {S.REGISTRY} SELECT name, version, "
                          f"CAST(to_json({{'model_name': name, 'version': version}}) AS VARCHAR) AS record FROM registry",
+        "score_record": f"""WITH {S.REGISTRY}, {S.STAGED}
+SELECT name, CAST(to_json({{'model_name': name,
+                            'model_uri': 'runs:/' || arg_max(run_id, version) || '/model'}}) AS VARCHAR)
+       AS record
+FROM staged WHERE stage = 'Staging' GROUP BY name""",
         "run_log_tall": S.run_log_tall_sql(),
         "runs_of_experiment": S.run_log_tall_sql(
             "WHERE experiment = 'baskets-by-priority' AND kind = 'metric'"),
