@@ -38,6 +38,7 @@ ALPHA = 0.75
 L1_RATIO = 0.25
 
 _MAX_STATS_FEATURES = 64  # beyond this the covariance agg gets wide; use pyspark.ml
+_MAX_NORMAL_FEATURES = 4096  # Spark's limit for solver="normal"
 
 
 @dataclass
@@ -152,6 +153,8 @@ def fit_spark_ml(df: DataFrame, features: Sequence[str], label: str,
     parameters. ``normal`` (one Gram-matrix pass, up to 4,096 features) uses the
     population standard deviation of the label, ``l-bfgs`` the sample one."""
     features = list(features)
+    if solver == "normal" and len(features) > _MAX_NORMAL_FEATURES:
+        solver = "l-bfgs"  # the normal-equation solver stops at 4,096 features
     data = assemble(df.select(*[col_of(c).cast("double").alias(c) for c in features],
                               col_of(label).cast("double").alias("label")).dropna(),
                     features)
