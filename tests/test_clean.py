@@ -82,3 +82,12 @@ def test_guarded_cast_equals_try_cast(spark):
     got = df.select(to_float(F.col("t"), is_text=True).alias("g"), F.col("t").try_cast("float").alias("r"))
     for r in got.collect():
         assert (r.g == r.r) or (r.g is None and r.r is None) or (r.g != r.g and r.r != r.r)
+
+
+def test_quoted_names_with_backticks_and_spaces(spark):
+    from vintner.functions.names import col_of, quote
+    assert quote("a`b") == "`a``b`"
+    df = spark.createDataFrame([("1",)], "`we``ird name` string")
+    assert df.select(col_of("we`ird name")).first()[0] == "1"
+    out = clean.cast_features(df)
+    assert out.columns == ["we`ird_name"] and out.first()[0] == 1.0
