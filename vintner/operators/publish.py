@@ -8,6 +8,7 @@ in between, and ``mode('overwrite')`` replaces data and schema anyway.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -77,10 +78,20 @@ def publish_many(df: DataFrame, db: str, tables: Sequence[str], fmt: str = "parq
         return []
     locs = list(locations) if locations is not None else [None] * len(tables)
     first = publish(df, db, tables[0], fmt, locs[0])
-    out = [first]
-    for t, loc in zip(tables[1:], locs[1:]):
-        out.append(publish(first, db, t, fmt, loc))
-    return out
+    return [first, *publish_copies(first, db, tables[1:], fmt, locs[1:])]
+
+
+def publish_copies(published: DataFrame, db: str, tables: Sequence[str], fmt: str = "parquet",
+                   locations: Sequence[str | None] | None = None) -> list[DataFrame]:
+    """Copy an already published table into ``tables``. The copies are
+    independent jobs over finished files, submitted together so the scheduler
+    can overlap them."""
+    if not tables:
+        return []
+    locs = list(locations) if locations is not None else [None] * len(tables)
+    with ThreadPoolExecutor(max_workers=min(4, len(tables))) as pool:
+        return list(pool.map(lambda tl: publish(published, db, tl[0], fmt, tl[1]),
+                             zip(tables, locs)))
 
 
 def append_table(df: DataFrame, db: str, table: str, fmt: str = "parquet",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vintner.operators.clean import with_status
 from vintner.operators.fit import ALPHA, L1_RATIO, LinearModel, fit_elastic_net
 from vintner.operators.metrics import regression_metrics
-from vintner.operators.publish import publish
+from vintner.operators.publish import publish, publish_copies
 from vintner.operators.score import score
 from vintner.operators.split import SPLIT_SEED, TEST_FRACTION, exact_split
 from vintner.plans.baskets import KEY, LABEL, SPLIT_FEATURES, read_baskets
@@ -58,7 +58,7 @@ def run_flow_full(spark: SparkSession, p: FlowParams) -> FlowResult:
     published = publish(score(flagged.drop("is_test"), model), p.db, p.table,
                         location=p.location)
     # the fan-out copies read the published table: scoring runs once
-    copies = [publish(published, p.db, t) for t in p.extra_tables]
+    copies = publish_copies(published, p.db, p.extra_tables)
     return FlowResult(published, model, row.asDict() if row else {}, copies)
 
 
