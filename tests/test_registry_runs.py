@@ -133,3 +133,12 @@ def test_pipeline_outcomes_look_at_every_activity(spark):
     df = spark.createDataFrame(rows, "run_id long, activity string, ts timestamp, seq long, status string")
     out = {r.run_id: (r.outcome, r.activities) for r in pipeline_outcomes(df, tie_break="seq").collect()}
     assert out == {1: ("failed", 2), 2: ("pending", 2), 3: ("failed", 2)}
+
+
+def test_sequence_with_dotted_group_name(spark):
+    df = spark.range(600).select(
+        F.when(F.col("id") < 400, F.lit("hot")).otherwise(F.lit("cold")).alias("g.name"),
+        F.col("id").alias("o"))
+    out = sequence_within_groups(df, ["g.name"], "o", "seq", ranges=4, hot_rows=200, sample_fraction=0.5)
+    got = {r[0]: r[1] for r in out.groupBy("`g.name`").agg(F.max("seq")).collect()}
+    assert got == {"hot": 400, "cold": 200}

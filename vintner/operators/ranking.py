@@ -30,7 +30,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintner.functions.names import col_of
+from vintner.functions.names import col_of, quote
 
 _R = "_rank_range"
 
@@ -93,7 +93,7 @@ def sequence_within_groups(df: DataFrame, groups: Sequence[str], order: str,
         return _ranged_sequence(df, groups, order, output, base, ranges, dtype)
     schema = df.select(*[col_of(c) for c in groups]).schema
     hot_keys = F.broadcast(df.sparkSession.createDataFrame(hot, schema))
-    cond = [df[c].eqNullSafe(hot_keys[c]) for c in groups]
+    cond = [df[quote(c)].eqNullSafe(hot_keys[quote(c)]) for c in groups]
     cold_rows = df.join(hot_keys, cond, "left_anti")
     hot_rows_df = df.join(hot_keys, cond, "left_semi")
     return (_plain_sequence(cold_rows, groups, order, output, base, dtype)
@@ -129,7 +129,7 @@ def _ranged_sequence(df, groups, order, output, base, ranges, dtype):
     # null-safe on the group keys: a null group is a group like any other
     keyed = offsets.select(*[col_of(c).alias(f"_k{i}") for i, c in enumerate(groups)],
                            F.col(_R).alias("_kr"), "_roff")
-    cond = [numbered[c].eqNullSafe(keyed[f"_k{i}"]) for i, c in enumerate(groups)]
+    cond = [numbered[quote(c)].eqNullSafe(keyed[f"_k{i}"]) for i, c in enumerate(groups)]
     cond.append(numbered[_R] == keyed["_kr"])
     return (numbered.join(keyed, cond, "inner")
             .withColumn(output, (F.col("_roff") + F.col("_local")).cast(dtype))
