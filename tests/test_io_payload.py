@@ -112,3 +112,14 @@ def test_land_parquet_and_sniff_empty(spark, tmp_dir):
     assert spark.read.parquet(path).count() == 3
     empty = write_text(tmp_dir + "/empty.csv", "")
     assert sniff_delimiter(spark, empty) == ","
+
+
+def test_materialize_writes_under_checkpoint_dir(spark):
+    from vintner.session import ensure_checkpoint_dir, materialize
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    out = materialize(spark.range(7), "probe")
+    files = out.inputFiles()
+    assert out.count() == 7 and files
+    app = spark.sparkContext.applicationId
+    assert all(f"/vintner/{app}/probe-" in f for f in files)
+    assert all(f.replace("file:", "").startswith(base.replace("file:", "")) for f in files)
