@@ -122,4 +122,6 @@ def test_materialize_writes_under_checkpoint_dir(spark):
     assert out.count() == 7 and files
     app = spark.sparkContext.applicationId
     assert all(f"/vintner/{app}/probe-" in f for f in files)
-    assert all(f.replace("file:", "").startswith(base.replace("file:", "")) for f in files)
+    def norm(u):
+        return "/" + u.replace("file:", "").lstrip("/")
+    assert all(norm(f).startswith(norm(base)) for f in files)
