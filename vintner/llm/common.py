@@ -102,6 +102,14 @@ def cuts(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
 
 
+def text_slices(column: pa.Array, most_bytes: int = 4 << 20):
+    """Row ranges of a text column of bounded total size (a single longer text
+    stays whole): bounds what a batch holds at a time."""
+    sizes = np.asarray(pc.binary_length(column).fill_null(0), np.int64)
+    at = cuts((np.cumsum(sizes) - sizes) // most_bytes)
+    return zip(at.tolist(), [*at[1:].tolist(), len(sizes)])
+
+
 class Union:
     """Union-find over 0..n-1 whose root is the smallest member."""
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cuts, quoted, read
+from .common import cuts, quoted, read, text_slices
 
 _SPACE = "▁"
 _SIDE = 1 << 21  # symbols: piece ids, then vocabulary size + code point
@@ -240,15 +240,6 @@ class _Encoder:
         return out, per + 1
 
 
-def _slices(column: pa.Array, most_bytes: int = 16 << 20):
-    """Row ranges of a text column of bounded total size (a single longer text
-    stays whole)."""
-    sizes = np.asarray(pc.binary_length(column).fill_null(0), np.int64)
-    part = (np.cumsum(sizes) - sizes) // most_bytes
-    at = cuts(part)
-    return zip(at.tolist(), [*at[1:].tolist(), len(sizes)])
-
-
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text",
            decode_too: bool = False) -> DataFrame:
     """(id, ids array<int>[, decoded string]): the piece ids of every whole text,
@@ -256,14 +247,14 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
 
     Null text counts as empty (the end id alone). Equal rows all come back;
     extra columns are ignored; an empty table gives an empty result. A batch is
-    worked on in slices of 16 MB, a longer text alone.
+    worked on in slices of 4 MB, a longer text alone.
     """
     model = PieceModel(model or model_path())
 
     def run(batches):
         enc = _Encoder(model)
         for batch in batches:
-            for a, b in _slices(batch.column(1)):
+            for a, b in text_slices(batch.column(1)):
                 ids, n = enc(batch.column(1).slice(a, b - a).to_pylist())
                 cols = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))]

@@ -19,10 +19,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cuts, quoted, read
+from .common import quoted, read, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -239,12 +238,6 @@ def fit_detector(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return Detector([list(r["x"]) for r in got] or [[0.0] * width], [r["y"] for r in got] or [0])
 
 
-def _text_slices(column, most_bytes: int = 16 << 20):
-    sizes = np.asarray(pc.binary_length(column).fill_null(0), np.int64)
-    at = cuts((np.cumsum(sizes) - sizes) // most_bytes)
-    return zip(at.tolist(), [*at[1:].tolist(), len(sizes)])
-
-
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
 
@@ -259,7 +252,7 @@ def find_pii(docs: DataFrame, detector: Detector | None = None, id_col: str = "d
 
     def run(batches):
         for batch in batches:
-            for a, b in _text_slices(batch.column(1)):
+            for a, b in text_slices(batch.column(1)):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 spans = [[dict(zip(("kind", "start", "end", "base"), s)) for s in row] for row in detector.spans(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(spans, _SPANS)], ["id", "spans"])
@@ -287,7 +280,7 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            for a, b in _text_slices(batch.column(at)):
+            for a, b in text_slices(batch.column(at)):
                 part = batch.slice(a, b - a)
                 texts = part.column(at).to_pylist()
                 hits = [None if t is None else redact(t, s) if s else t for t, s in zip(texts, detector.spans([t or "" for t in texts]))]

@@ -256,11 +256,13 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         .toDF("s_", "l_", *(f"prior_{t}_" for t in TARGETS))
     joined = docs.join(priors, F.col("source").eqNullSafe(F.col("s_")) & F.col("lang").eqNullSafe(F.col("l_")))
 
+    columns = docs.columns
+
     def run(batches):
         for batch in batches:
             names = batch.schema.names
             prior = np.stack([np.asarray(batch.column(names.index(f"prior_{t}_"))) for t in TARGETS], axis=1)
             keep = (evidence.score(batch.column(names.index("text"))) + prior < 0).all(axis=1)
-            yield batch.select(docs.columns).filter(pa.array(keep))
+            yield batch.select(columns).filter(pa.array(keep))
 
     return joined.mapInArrow(run, docs.schema)
