@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vintner.session import materialize
 
 from .common import (Union, connected_components, cuts, hash_words, mix, pack, pack_sorted, quoted,
-                     read, text_bytes, unpack, unpack_sorted, word_codes)
+                     read, text_bytes, text_slices, unpack, unpack_sorted, word_codes)
 
 _AXES = 64          # coordinates of a count vector
 _LEAF = 32          # points of an R-tree leaf
@@ -185,7 +185,7 @@ def linked(sets: list[np.ndarray], roots: np.ndarray, num: int, den: int) -> np.
 
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                    text_col: str = "text", block_docs: int = 1500, bucket_keys: int = 1 << 20,
-                   task_keys: int = 4_000_000) -> DataFrame:
+                   task_keys: int = 2_000_000) -> DataFrame:
     r"""(id, n_shingles, component): for every row its number of distinct
     ``width``-word shingles and the smallest id reachable over links.
 
@@ -228,7 +228,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         seen: set = set()
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), {k: [] for k, _ in fields}
-            for i, s in zip(ids, shingle_sets(batch.column(1), width)):
+            sets = (s for a, b in text_slices(batch.column(1)) for s in shingle_sets(batch.column(1).slice(a, b - a), width))
+            for i, s in zip(ids, sets):
                 fa = fb = None
                 if s is not None:
                     fa = int(mix(s).sum(dtype=np.uint64).view(np.int64))
