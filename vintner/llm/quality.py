@@ -118,17 +118,17 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lea
         .groupBy("doc_id").agg((1 - F.min("quality")).alias("junk"), F.max("toxic").alias("toxic"))
     n = labels.count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, fit_rows / max(n, 1)))
-    known = docs.select("doc_id", "text").where(part).join(labels.where(part), "doc_id").select("text", "junk", "toxic")
+    known = docs.select("doc_id", "text").where(part).join(labels.where(part), "doc_id")
 
     def keyed(batches):
         for b in batches:
-            k = _least_shingles(b.column(0))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(k[:, j]) for j in range(3))], ["text", "junk", "toxic", "k0", "k1", "k2"])
+            k = _least_shingles(b.column(1))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(k[:, j]) for j in range(3))], ["doc_id", "text", "junk", "toxic", "k0", "k1", "k2"])
 
-    known = materialize(known.mapInArrow(keyed, "text string, junk int, toxic int, k0 long, k1 long, k2 long"), "labelled")
-    for k in ("k0", "k1", "k2"):
-        known = known.join(known.groupBy(k).agg(F.min("text").alias("one")), k).where("text = one").drop("one").dropDuplicates([k])
-    known = materialize(known.select("text", "junk", "toxic"), "labelled")
+    known = materialize(known.mapInArrow(keyed, "doc_id long, text string, junk int, toxic int, k0 long, k1 long, k2 long"), "labelled")
+    one = known.groupBy("k0").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("d")).select("d.*") \
+        .groupBy("k1").agg(F.min(F.struct("doc_id", "k2")).alias("d")).select("d.*").groupBy("k2").agg(F.min("doc_id").alias("doc_id"))
+    known = known.join(one.select("doc_id"), "doc_id", "left_semi").select("text", "junk", "toxic")
 
     def terms(batches):
         for batch in batches:
