@@ -12,7 +12,10 @@ r"""N-gram Jaccard join over a count-vector R-tree.
    verifies surviving pairs on the shingle sets. Pairs already connected are
    skipped: the result is the components, so copies are never all paired up.
 3. A component larger than a block is dealt twice into random blocks. Where
-   that leaves more than one part, every pair of sub-blocks meets once.
+   that leaves more than one part, the documents meet again by shared key: an
+   R-tree over the count vectors of a key's documents gives the pairs of
+   different parts whose bound holds, and those are verified. Keys that many
+   documents share are cut into sub-blocks that meet two at a time.
 
 Exact copies are one class from the start; a class is represented by its
 smallest doc_id.
@@ -120,18 +123,14 @@ class _RTree:
                 break
 
 
-def linked(sets: list[np.ndarray], roots: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Component root (position) of each set, starting from the given ones: dual
-    traversal of the R-tree with itself, then exact overlaps."""
-    n = len(sets)
-    uf = Union(n)
-    first: dict = {}
-    for i, r in enumerate(roots.tolist()):
-        uf.join(i, first.setdefault(r, i))
-    sizes = np.fromiter(map(len, sets), np.int64, n)
-    points = np.zeros((n, _AXES), np.int32)
-    for i, s in enumerate(sets):
-        points[i] = np.bincount((s >> np.uint64(7)).astype(np.int64) % _AXES, minlength=_AXES)
+def count_vector(hashes: np.ndarray) -> np.ndarray:
+    """Elements of a set per group of hashes."""
+    return np.bincount((hashes >> np.uint64(7)).astype(np.int64) % _AXES, minlength=_AXES).astype(np.int32)
+
+
+def surviving(points: np.ndarray, sizes: np.ndarray, num: int, den: int, wanted):
+    """Pairs (i, j) whose overlap bound allows a link, in batches: dual traversal
+    of the R-tree with itself. ``wanted(i, j)`` masks the pairs still open."""
     tree = _RTree(points, sizes)
     order = tree.order
     points, sizes = points[order], sizes[order]
@@ -154,37 +153,50 @@ def linked(sets: list[np.ndarray], roots: np.ndarray, num: int, den: int) -> np.
         ok = (x < width) & (y < width) & (x <= y)
         return x[ok], y[ok]
 
-    def verify(i, j):
-        bound = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64)
-        for k in np.argsort(-bound, kind="stable").tolist():
-            a, b = int(order[i[k]]), int(order[j[k]])
-            if uf.find(a) == uf.find(b):
-                continue
-            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if common * den >= num * (len(sets[a]) + len(sets[b]) - common):
-                uf.join(a, b)
-
     def walk(level, i, j):
         if not len(i):
             return
         if level < 0:
-            i, j = survive(points, sizes, i, j)
             far = i != j
-            roots = uf.roots()
-            far &= roots[order[i]] != roots[order[j]]
-            verify(i[far], j[far])
+            far[far] = wanted(order[i[far]], order[j[far]])
+            i, j = survive(points, sizes, i[far], j[far]) if far.any() else (i[:0], j[:0])
+            if len(i):
+                bound = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64)
+                best = np.argsort(-bound, kind="stable")
+                yield order[i[best]], order[j[best]]
             return
         i, j = survive(*tree.levels[level], i, j)
         width = len(tree.levels[level - 1][1]) if level else len(points)
         for a in range(0, len(i), 64):
-            walk(level - 1, *children(i[a:a + 64], j[a:a + 64], width))
+            yield from walk(level - 1, *children(i[a:a + 64], j[a:a + 64], width))
+
+    yield from walk(len(tree.levels) - 1, np.array([0]), np.array([0]))
 
-    walk(len(tree.levels) - 1, np.array([0]), np.array([0]))
+
+def linked(sets: list[np.ndarray], roots: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Component root (position) of each set, starting from the given ones:
+    exact overlaps of surviving pairs not yet connected."""
+    uf, first = Union(len(sets)), {}
+    for i, r in enumerate(roots.tolist()):
+        uf.join(i, first.setdefault(r, i))
+
+    def apart(i, j):
+        up = uf.roots()
+        return up[i] != up[j]
+
+    points = np.stack([count_vector(s) for s in sets])
+    for i, j in surviving(points, np.fromiter(map(len, sets), np.int64, len(sets)), num, den, apart):
+        for a, b in zip(i.tolist(), j.tolist()):
+            if uf.find(a) == uf.find(b):
+                continue
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if common * den >= num * (len(sets[a]) + len(sets[b]) - common):
+                uf.join(a, b)
     return uf.roots()
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
-                   text_col: str = "text", block_docs: int = 1500, bucket_keys: int = 1 << 20,
+                   text_col: str = "text", block_docs: int = 1500, key_docs: int = 4096, bucket_keys: int = 1 << 20,
                    task_keys: int = 2_000_000) -> DataFrame:
     r"""(id, n_shingles, component): for every row its number of distinct
     ``width``-word shingles and the smallest id reachable over links.
@@ -202,7 +214,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     n_buckets = max(1, math.ceil(text_bytes(rows) / 6 * (100 - percent) / 50 / bucket_keys))
     fields = [("id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()),
-              ("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("ids", pa.binary())]
+              ("counts", pa.binary()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("ids", pa.binary())]
     schema = pa.schema(fields)
 
     def features(batches):
@@ -219,7 +231,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
             for a, b in zip(at, [*at[1:], len(order)]):
                 part = order[a:b]
                 own, where = np.unique(ids[owner[part]], return_inverse=True)
-                for k, v in zip(out, (None, None, None, None, int(bucket[part[0]]), pack_sorted(keys[part]),
+                for k, v in zip(out, (None, None, None, None, None, int(bucket[part[0]]), pack_sorted(keys[part]),
                                       pack(where.astype(np.uint32)), pack_sorted(own))):
                     out[k].append(v)
             held_keys.clear(), held_owner.clear(), held_ids.clear()
@@ -230,8 +242,9 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
             ids, out = batch.column(0).to_pylist(), {k: [] for k, _ in fields}
             sets = (s for a, b in text_slices(batch.column(1)) for s in shingle_sets(batch.column(1).slice(a, b - a), width))
             for i, s in zip(ids, sets):
-                fa = fb = None
+                fa = fb = counts = None
                 if s is not None:
+                    counts = pack(count_vector(s))
                     fa = int(mix(s).sum(dtype=np.uint64).view(np.int64))
                     fb = int(mix(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64).view(np.int64))
                     if i is not None and (fa, fb) not in seen:  # a task files a class of copies once
@@ -241,7 +254,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
                         held_owner.append(np.full(len(keys), len(held_ids), np.int64))
                         held_ids.append(i)
                         n_held += len(keys)
-                for k, v in zip(out, (i, 0 if s is None else len(s), fa, fb, None, None, None, None)):
+                for k, v in zip(out, (i, 0 if s is None else len(s), fa, fb, counts, None, None, None, None)):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
             if n_held > task_keys:
@@ -251,8 +264,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         if n_held:
             yield flush()
 
-    def share(table):
-        """Star edges between documents that share a key of this range."""
+    def entries(table):
+        """(key, id) pairs of a key range, sorted."""
         keys, ids = [], []
         for h, o, i in zip(*(table.column(c).to_pylist() for c in ("hashes", "owners", "ids"))):
             keys.append(unpack_sorted(h, np.uint64))
@@ -260,13 +273,25 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         keys, ids = np.concatenate(keys), np.concatenate(ids)
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
-        at = cuts(keys)
+        return keys, ids, cuts(keys)
+
+    def share(table):
+        """Star edges between documents that share a key of this range."""
+        keys, ids, at = entries(table)
         low = np.repeat(ids[at], np.diff(np.append(at, len(ids))))
         far = low != ids
         pairs = np.unique(np.stack([ids[far], low[far]], axis=1), axis=0)
         return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
 
-    ddl = "id long, n long, fa long, fb long, bucket int, hashes binary, owners binary, ids binary"
+    def shared_keys(table):
+        """Keys of this range that several documents have."""
+        keys, ids, at = entries(table)
+        n = np.diff(np.append(at, len(ids)))
+        low, high = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
+        many = np.repeat(low != high, n)
+        return pa.table({"key": pa.array(keys[many].view(np.int64)), "id": pa.array(ids[many], pa.int64())})
+
+    ddl = "id long, n long, fa long, fb long, counts binary, bucket int, hashes binary, owners binary, ids binary"
     made = materialize(rows.mapInArrow(features, ddl), "shingles")
     member = made.where("bucket IS NULL").select("id", "n", "fa", "fb")
     classes = member.where("fa IS NOT NULL").groupBy("fa", "fb").agg(F.min("id").alias("rep"))
@@ -295,8 +320,9 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         return pa.table({"u": pa.array(ids, pa.int64()), "v": pa.array(ids[root], pa.int64())})
 
     def verified(blocks: DataFrame) -> DataFrame:
-        """Links found among the documents of each block (id, block, label)."""
-        return (rows.join(blocks, "id").select("id", "text", "label", "block")
+        """Links found among the documents of each block (id, block, label). The
+        candidates grow with the table, so they are never broadcast."""
+        return (rows.join(blocks.hint("merge"), "id").select("id", "text", "label", "block")
                 .groupBy("block").applyInArrow(check, "u long, v long").where("u <> v"))
 
     salts = F.ceil(F.col("docs") / F.lit(block_docs)).cast("long")
@@ -312,14 +338,43 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     state = near.where(F.col("docs") > block_docs).join(parts.toDF("node", "part"), "node", "left") \
         .withColumn("part", F.coalesce("part", "node"))
     open_ = state.groupBy("root").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("root")
-    left = materialize(state.join(open_, "root"), "unsettled")
+    left = materialize(state.join(open_, "root").select("node", "part"), "unsettled")
     if left.limit(1).count():
-        mine = F.pmod(F.xxhash64("node", F.lit(7)), salts)
-        pairs = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))) \
-            .select(F.col("node").alias("id"), F.col("part").alias("label"),
-                    F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"))
-        links = materialize(links.unionByName(verified(pairs)), "links")
-        parts = connected_components(links.unionByName(left.selectExpr("node u", "part v")), "parts")
+        vectors = made.where("counts IS NOT NULL").select(F.col("id").alias("v"), "n", "counts")
+        met = (made.where("bucket IS NOT NULL").select("bucket", "hashes", "owners", "ids").groupBy("bucket")
+               .applyInArrow(shared_keys, "key long, id long").join(to_rep.toDF("id", "node"), "id").select("key", "node").distinct()
+               .join(left.hint("merge"), "node"))
+        met = materialize(met, "shared_keys")
+        mixed = met.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / key_docs).alias("subs")) \
+            .where("lo <> hi").select("key", "subs")
+        mine = F.pmod(F.xxhash64("node", "key"), F.col("subs"))
+        met = met.join(mixed.hint("merge"), "key").withColumn("mine", mine) \
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))) \
+            .select("node", "part", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
+        met = met.join(vectors.hint("merge"), F.col("node") == F.col("v")).dropDuplicates(["key", "node"]) \
+            .select("key", F.col("node").alias("id"), "part", "n", "counts", F.pmod("key", F.lit(max(8, n_buckets))).alias("task"))
+
+        def bounded(table):
+            """Pairs of different parts that share a key and pass the bound."""
+            table = table.sort_by("key")
+            keys, ids, part, n = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("key", "id", "part", "n"))
+            points = np.stack([unpack(c, np.int32) for c in table.column("counts").to_pylist()])
+            out = [np.empty((0, 2), np.int64)]
+            at = cuts(keys)
+            for a, b in zip(at, [*at[1:], len(keys)]):
+                label = part[a:b]
+                if (label != label[0]).any():
+                    for i, j in surviving(points[a:b], n[a:b], num, den, lambda i, j, label=label: label[i] != label[j]):
+                        out.append(np.stack([ids[a:b][i], ids[a:b][j]], axis=1))
+            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+            return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
+
+        pairs = materialize(met.groupBy("task").applyInArrow(bounded, "u long, v long").distinct(), "pairs")
+        n_pairs = max(1, pairs.count())
+        block = F.pmod(F.xxhash64("u"), F.lit(math.ceil(2 * n_pairs / block_docs)))
+        sent = pairs.select(F.col("u").alias("id"), block.alias("block")).union(pairs.select(F.col("v").alias("id"), block.alias("block"))).distinct()
+        more = materialize(verified(sent.withColumn("label", F.col("id"))), "links")
+        parts = connected_components(links.unionByName(more), "parts")
     return (member.join(parts.toDF("rep", "root"), "rep", "left")
             .select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component")))
 
