@@ -196,7 +196,7 @@ def linked(sets: list[np.ndarray], roots: np.ndarray, num: int, den: int) -> np.
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
-                   text_col: str = "text", block_docs: int = 1500, key_docs: int = 4096, bucket_keys: int = 1 << 20,
+                   text_col: str = "text", block_docs: int = 4000, key_docs: int = 4096, bucket_keys: int = 1 << 20,
                    task_keys: int = 2_000_000) -> DataFrame:
     r"""(id, n_shingles, component): for every row its number of distinct
     ``width``-word shingles and the smallest id reachable over links.
@@ -264,8 +264,9 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         if n_held:
             yield flush()
 
-    def entries(table):
-        """(key, id) pairs of a key range, sorted."""
+    def share(table):
+        """(key, id, low) for the keys of this range that several documents
+        have; low: the smallest of them."""
         keys, ids = [], []
         for h, o, i in zip(*(table.column(c).to_pylist() for c in ("hashes", "owners", "ids"))):
             keys.append(unpack_sorted(h, np.uint64))
@@ -273,23 +274,10 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         keys, ids = np.concatenate(keys), np.concatenate(ids)
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
-        return keys, ids, cuts(keys)
-
-    def share(table):
-        """Star edges between documents that share a key of this range."""
-        keys, ids, at = entries(table)
-        low = np.repeat(ids[at], np.diff(np.append(at, len(ids))))
-        far = low != ids
-        pairs = np.unique(np.stack([ids[far], low[far]], axis=1), axis=0)
-        return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
-
-    def shared_keys(table):
-        """Keys of this range that several documents have."""
-        keys, ids, at = entries(table)
+        at = cuts(keys)
         n = np.diff(np.append(at, len(ids)))
-        low, high = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
-        many = np.repeat(low != high, n)
-        return pa.table({"key": pa.array(keys[many].view(np.int64)), "id": pa.array(ids[many], pa.int64())})
+        low, many = np.repeat(ids[at], n), np.repeat(ids[at] != np.maximum.reduceat(ids, at), n)
+        return pa.table({"key": pa.array(keys[many].view(np.int64)), "id": pa.array(ids[many], pa.int64()), "low": pa.array(low[many], pa.int64())})
 
     ddl = "id long, n long, fa long, fb long, counts binary, bucket int, hashes binary, owners binary, ids binary"
     made = materialize(rows.mapInArrow(features, ddl), "shingles")
@@ -298,8 +286,9 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     member = materialize(member.join(classes, ["fa", "fb"], "left")
                          .select("id", "n", F.coalesce("rep", "id").alias("rep")), "classes")
     to_rep = member.where("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("rep"))
-    edges = (made.where("bucket IS NOT NULL").select("bucket", "hashes", "owners", "ids")
-             .groupBy("bucket").applyInArrow(share, "u long, v long").distinct())
+    shared = materialize(made.where("bucket IS NOT NULL").select("bucket", "hashes", "owners", "ids")
+                         .groupBy("bucket").applyInArrow(share, "key long, id long, low long"), "shared")
+    edges = shared.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
     edges = (edges.join(to_rep.toDF("u", "ru"), "u").join(to_rep.toDF("v", "rv"), "v")
              .selectExpr("ru u", "rv v").where("u <> v").distinct())
     near = connected_components(edges, "candidates")
@@ -341,9 +330,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     left = materialize(state.join(open_, "root").select("node", "part"), "unsettled")
     if left.limit(1).count():
         vectors = made.where("counts IS NOT NULL").select(F.col("id").alias("v"), "n", "counts")
-        met = (made.where("bucket IS NOT NULL").select("bucket", "hashes", "owners", "ids").groupBy("bucket")
-               .applyInArrow(shared_keys, "key long, id long").join(to_rep.toDF("id", "node"), "id").select("key", "node").distinct()
-               .join(left.hint("merge"), "node"))
+        met = shared.join(to_rep.toDF("id", "node"), "id").select("key", "node").distinct().join(left.hint("merge"), "node")
         met = materialize(met, "shared_keys")
         mixed = met.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / key_docs).alias("subs")) \
             .where("lo <> hi").select("key", "subs")
@@ -370,9 +357,17 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
             return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
 
         pairs = materialize(met.groupBy("task").applyInArrow(bounded, "u long, v long").distinct(), "pairs")
-        n_pairs = max(1, pairs.count())
-        block = F.pmod(F.xxhash64("u"), F.lit(math.ceil(2 * n_pairs / block_docs)))
-        sent = pairs.select(F.col("u").alias("id"), block.alias("block")).union(pairs.select(F.col("v").alias("id"), block.alias("block"))).distinct()
+        # a group of paired documents goes to one block; the pairs of a group
+        # beyond that go to the blocks of their first document
+        group = connected_components(pairs, "paired")
+        sizes = group.groupBy("root").agg(F.count("*").alias("docs"))
+        group = materialize(group.join(sizes, "root"), "paired")
+        small = F.col("docs") <= block_docs
+        paired_blocks = max(1, math.ceil(group.where(small).count() / block_docs))
+        sent = group.where(small).select(F.col("node").alias("id"), F.xxhash64(F.lit(0), F.pmod(F.xxhash64("root"), F.lit(paired_blocks))).alias("block"))
+        large = pairs.join(group.where(~small).select(F.col("node").alias("u"), "docs"), "u") \
+            .select("u", "v", F.xxhash64(F.lit(1), F.pmod(F.xxhash64("u"), F.ceil(2 * F.col("docs") / block_docs))).alias("block"))
+        sent = sent.union(large.select("u", "block")).union(large.select("v", "block")).distinct()
         more = materialize(verified(sent.withColumn("label", F.col("id"))), "links")
         parts = connected_components(links.unionByName(more), "parts")
     return (member.join(parts.toDF("rep", "root"), "rep", "left")
