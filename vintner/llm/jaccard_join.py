@@ -196,7 +196,7 @@ def linked(sets: list[np.ndarray], roots: np.ndarray, num: int, den: int) -> np.
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
-                   text_col: str = "text", block_docs: int = 4000, key_docs: int = 4096, bucket_keys: int = 1 << 20,
+                   text_col: str = "text", block_docs: int = 4000, key_docs: int = 4096, bucket_keys: int = 1 << 20, task_rows: int = 20_000,
                    task_keys: int = 2_000_000) -> DataFrame:
     r"""(id, n_shingles, component): for every row its number of distinct
     ``width``-word shingles and the smallest id reachable over links.
@@ -332,6 +332,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         vectors = made.where("counts IS NOT NULL").select(F.col("id").alias("v"), "n", "counts")
         met = shared.join(to_rep.toDF("id", "node"), "id").select("key", "node").distinct().join(left.hint("merge"), "node")
         met = materialize(met, "shared_keys")
+        met_rows = max(1, met.count())
         mixed = met.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / key_docs).alias("subs")) \
             .where("lo <> hi").select("key", "subs")
         mine = F.pmod(F.xxhash64("node", "key"), F.col("subs"))
@@ -339,7 +340,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))) \
             .select("node", "part", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
         met = met.join(vectors.hint("merge"), F.col("node") == F.col("v")).dropDuplicates(["key", "node"]) \
-            .select("key", F.col("node").alias("id"), "part", "n", "counts", F.pmod("key", F.lit(max(8, n_buckets))).alias("task"))
+            .select("key", F.col("node").alias("id"), "part", "n", "counts", F.pmod("key", F.lit(math.ceil(met_rows / task_rows))).alias("task"))
 
         def bounded(table):
             """Pairs of different parts that share a key and pass the bound."""
