@@ -88,7 +88,7 @@ class Evidence:
         owner, term, names, shapes = _distinct_terms(texts)
         w = np.array([self.weights.get(v, (0.0, 0.0)) for v in names] or [(0.0, 0.0)])
         hot = (w != 0).any(axis=1)[term] if len(term) else np.empty(0, bool)
-        out = np.stack([np.bincount(owner[hot], w[term[hot], t], len(texts)) for t in range(2)], axis=1)
+        out = np.stack([np.bincount(owner[hot], w[term[hot], t], len(texts)) for t in range(2)], axis=1).astype(float)
         for k, bucket in enumerate(shapes):
             seen, where = np.unique(bucket, return_inverse=True)
             if len(seen):
