@@ -91,3 +91,11 @@ def test_quoted_names_with_backticks_and_spaces(spark):
     assert df.select(col_of("we`ird name")).first()[0] == "1"
     out = clean.cast_features(df)
     assert out.columns == ["we`ird_name"] and out.first()[0] == 1.0
+
+
+def test_label_is_found_by_the_session_name_rule(spark):
+    from vintner.operators.clean import clean_table, label_column
+    df = spark.createDataFrame([("1.5", "5.7")], "`a b` string, Quality string")
+    out = clean_table(df, "quality")
+    assert out.columns == ["a_b", "quality"] and out.first()["quality"] == 5
+    assert label_column(df, "quality") == "Quality" and label_column(df, "other") is None

@@ -29,7 +29,7 @@ def test_sequence_on_hot_group_matches_row_number(spark):
     df = spark.range(3000).select(
         F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("name"),
         (F.col("id") * 7919 % 100003).alias("o"))
-    ours = sequence_within_groups(df, ["name"], "o", "seq", ranges=16, hot_rows=500, sample_fraction=0.2)
+    ours = sequence_within_groups(df, ["name"], "o", "seq", partitions=16)
     from pyspark.sql import Window
     ref = df.withColumn("ref", F.row_number().over(Window.partitionBy("name").orderBy("o")))
     bad = ours.join(ref, ["name", "o"]).where(F.col("seq") != F.col("ref")).count()
@@ -94,17 +94,22 @@ def test_window_bounds_inclusive(spark):
     assert got == {1, 2}
 
 
-def test_hot_group_is_spread_over_ranges(spark):
-    from vintner.operators.ranking import range_column
-    n = 30_000
+def test_sequence_keeps_rows_of_any_order_type(spark):
+    n = 400
     df = spark.range(n).select(
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 500).cast("string"))).alias("name"),
-        F.col("id").alias("o"))
-    ranged = range_column(df, "o", ranges=64)
-    per_task = ranged.groupBy("name", "_rank_range").count().agg(F.max("count")).first()[0]
-    hot_rows = n // 3
-    assert per_task <= 2 * hot_rows / 64  # no (group, range) holds more than ~1/64 of the hot group
-
+        F.when(F.col("id") % 10 > 0, F.lit("hot")).alias("name"), F.col("id").alias("v"),
+        F.when(F.col("id") % 7 > 0, F.col("id")).alias("nullable"),
+        F.timestamp_seconds("id").cast("timestamp_ntz").alias("ntz"),
+        F.concat(F.lit("s"), F.col("id").cast("string")).alias("text"), F.lit(1).alias("tied"))
+    for order in ("nullable", "ntz", "text", "tied"):
+        for groups in (["name"], []):
+            out = sequence_within_groups(df, groups, order, "seq", partitions=8).collect()
+            assert len(out) == n
+            for name in {r.name for r in out} if groups else {"all"}:
+                rows = [r for r in out if not groups or r.name == name]
+                assert sorted(r.seq for r in rows) == list(range(1, len(rows) + 1))
+                placed = [r[order] for r in sorted(rows, key=lambda r: r.seq) if r[order] is not None]
+                assert placed == sorted(placed)
 
 
 def test_hot_and_cold_paths_with_base(spark):
@@ -113,11 +118,10 @@ def test_hot_and_cold_paths_with_base(spark):
         F.when(F.col("id") % 4 == 0, F.lit(None)).when(F.col("id") % 4 == 1, F.lit("hot"))
         .otherwise(F.concat(F.lit("g"), (F.col("id") % 97).cast("string"))).alias("name"),
         F.col("id").alias("o"))
-    base = spark.createDataFrame([("hot", 10), ("g5", 3)], "name string, base int")
-    ours = sequence_within_groups(df, ["name"], "o", "seq", base=base, ranges=8,
-                                  hot_rows=400, sample_fraction=0.5)
+    base = spark.createDataFrame([("hot", 10), ("g5", 3), (None, 100)], "name string, base int")
+    ours = sequence_within_groups(df, ["name"], "o", "seq", base=base, partitions=8)
     ref = df.withColumn("ref", F.row_number().over(Window.partitionBy("name").orderBy("o")))
-    ref = ref.join(base, "name", "left").withColumn("ref", F.col("ref") + F.coalesce("base", F.lit(0)))
+    ref = ref.join(base, ref["name"].eqNullSafe(base["name"]), "left").withColumn("ref", F.col("ref") + F.coalesce("base", F.lit(0)))
     joined = ours.join(ref, ours["o"] == ref["o"])
     assert ours.count() == 4000
     assert joined.where(ours["seq"] != ref["ref"]).count() == 0
@@ -139,6 +143,6 @@ def test_sequence_with_dotted_group_name(spark):
     df = spark.range(600).select(
         F.when(F.col("id") < 400, F.lit("hot")).otherwise(F.lit("cold")).alias("g.name"),
         F.col("id").alias("o"))
-    out = sequence_within_groups(df, ["g.name"], "o", "seq", ranges=4, hot_rows=200, sample_fraction=0.5)
+    out = sequence_within_groups(df, ["g.name"], "o", "seq", partitions=4)
     got = {r[0]: r[1] for r in out.groupBy("`g.name`").agg(F.max("seq")).collect()}
     assert got == {"hot": 400, "cold": 200}

@@ -41,10 +41,20 @@ def cast_features(df: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def cast_label(df: DataFrame, label: str = LABEL, strict: bool = False) -> DataFrame:
-    """Replace the label by its integer cast (truncates: 5.7 -> 5)."""
-    if label not in df.columns:
+    """Replace the label by its integer cast (truncates: 5.7 -> 5). The
+    label is found by the session's name rule; its column takes the name given."""
+    found = label_column(df, label)
+    if found is None:
         return df
-    return df.withColumn(label, to_int(col_of(label), strict))
+    return df.select(*[to_int(col_of(c), strict).alias(label) if c == found else col_of(c) for c in df.columns])
+
+
+def label_column(df: DataFrame, label: str = LABEL) -> str | None:
+    """The column that ``label`` names (ignoring case unless the session is
+    case-sensitive), or None."""
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        return label if label in df.columns else None
+    return next((c for c in df.columns if c.lower() == label.lower()), None)
 
 
 def clean_table(df: DataFrame, label: str = LABEL, strict: bool = False) -> DataFrame:

@@ -1,136 +1,60 @@
-"""Position of each row inside its group, safe for hot groups.
-
-``row_number() over (partition by g order by o)`` sends a whole group to one
-task; if one group holds a third of the table, one task sorts a third of the
-table. Here:
-
-1. a seeded 1 % sample counts rows per group; groups whose share points to at
-   least ``hot_rows`` rows are *hot*. The list is bounded (sample size /
-   threshold), so it is broadcast with a known size;
-2. every other group is numbered with a plain ``row_number`` window: one
-   shuffle, and no group in it is large;
-3. hot groups are numbered by ranges of the order column (approximate
-   quantiles): rows are counted per (group, range), a window over that small
-   table gives each range its offset, ``row_number`` runs per (group, range)
-   and position = offset + local number. A hot group is spread over all
-   ranges, so no task holds more than about n / ranges of its rows.
-
-Results are exact whichever path a group takes; the sample only picks the
-cheaper plan. The order column must be unique within a group (ties get
-distinct positions in an unspecified order otherwise). The input is read
-several times: write an expensive input to files first
-(``session.materialize``).
+"""Position of each row inside its group, by one path for every size.
+
+Rows are range-partitioned by (group, order, hash of the row) and written once
+with the number of their partition. Rows are counted per (group, partition); a
+prefix sum over these few counts gives each partition its offset, and
+``row_number`` runs per (group, partition). A group that holds a third of the
+table, or rows that share one order value, spread over many partitions; nothing
+is sampled, collected or broadcast here. Any orderable type works: nulls come
+first, ties take distinct positions by the hash of their row. A null group is a
+group like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vintner.functions.names import col_of, quote
-
-_R = "_rank_range"
-
-
-def default_ranges(df: DataFrame) -> int:
-    """Enough ranges that a hot group spreads over as many tasks as the
-    cluster's largest shuffles: twice ``spark.sql.shuffle.partitions`` (which
-    a cluster sizes for its data), at least 256, at most 65,536."""
-    try:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except (TypeError, ValueError):
-        parts = 200
-    return max(256, min(65_536, 2 * parts))
-
-
-def range_column(df: DataFrame, order: str, ranges: int = 256,
-                 rel_error: float | None = None) -> DataFrame:
-    """Add ``_rank_range``: a non-decreasing function of ``order`` taking at
-    most ``ranges`` values, from approximate quantiles of ``order`` (the
-    rank error is kept below a quarter of a range)."""
-    if rel_error is None:
-        rel_error = min(0.001, 0.25 / ranges)
-    tmp = "_rank_order_double"
-    with_d = df.withColumn(tmp, col_of(order).cast("double"))
-    probs = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(b for b in with_d.approxQuantile(tmp, probs, rel_error) if b is not None))
-    splits = [float("-inf")] + bounds + [float("inf")]
-    if len(splits) < 3:
-        return with_d.withColumn(_R, F.lit(0.0)).drop(tmp)
-    bucketed = Bucketizer(splits=splits, inputCol=tmp, outputCol=_R,
-                          handleInvalid="keep").transform(with_d)
-    return bucketed.drop(tmp)
+from vintner.functions.names import col_of
+from vintner.session import materialize
 
-
-def hot_groups(df: DataFrame, groups: Sequence[str], hot_rows: int,
-               sample_fraction: float = 0.01, seed: int = 17) -> list:
-    """Group keys that look like they hold at least ``hot_rows`` rows, from a
-    seeded sample. At most (sample rows) / (threshold) keys come back."""
-    threshold = max(1, int(hot_rows * sample_fraction / 2))
-    counted = (df.select(*[col_of(c) for c in groups]).sample(fraction=sample_fraction, seed=seed)
-               .groupBy(*[col_of(c) for c in groups]).count().where(F.col("count") >= threshold))
-    return [tuple(r)[:len(groups)] for r in counted.collect()]
+_P = "_rank_part"
 
 
 def sequence_within_groups(df: DataFrame, groups: Sequence[str], order: str,
                            output: str = "seq", base: DataFrame | None = None,
-                           ranges: int | None = None, dtype: str = "long",
-                           hot_rows: int = 1_000_000, sample_fraction: float = 0.01) -> DataFrame:
+                           dtype: str = "long", partitions: int | None = None) -> DataFrame:
     """Add ``output`` = 1-based position of the row in its group by ``order``.
 
     ``base`` optionally gives a starting value per group (columns ``groups`` +
     ``base``); positions then continue after it. With no ``groups`` this is a
-    global row number that never puts a large input in one task.
+    global row number. ``partitions`` defaults to the session's shuffle
+    partitions. The ranged rows are written to the shared checkpoint folder, so
+    the input is read once for the numbers (and sampled once for the ranges).
     """
-    groups = list(groups)
-    hot = hot_groups(df, groups, hot_rows, sample_fraction)
-    if not hot:
-        return _plain_sequence(df, groups, order, output, base, dtype)
-    if not groups:
-        return _ranged_sequence(df, groups, order, output, base, ranges, dtype)
-    schema = df.select(*[col_of(c) for c in groups]).schema
-    hot_keys = F.broadcast(df.sparkSession.createDataFrame(hot, schema))
-    cond = [df[quote(c)].eqNullSafe(hot_keys[quote(c)]) for c in groups]
-    cold_rows = df.join(hot_keys, cond, "left_anti")
-    hot_rows_df = df.join(hot_keys, cond, "left_semi")
-    return (_plain_sequence(cold_rows, groups, order, output, base, dtype)
-            .unionByName(_ranged_sequence(hot_rows_df, groups, order, output, base, ranges, dtype)))
-
-
-def _with_base(numbered: DataFrame, groups: list[str], base: DataFrame | None) -> DataFrame:
-    if base is None:
-        return numbered.withColumn("_off", F.lit(0))
-    b = base.select(*[col_of(c) for c in groups], col_of("base").alias("_base"))
-    return (numbered.join(b, groups, "left")
-            .withColumn("_off", F.coalesce("_base", F.lit(0))).drop("_base"))
-
-
-def _plain_sequence(df, groups, order, output, base, dtype):
-    w = Window.partitionBy(*[col_of(c) for c in groups]).orderBy(col_of(order))
-    numbered = _with_base(df.withColumn("_local", F.row_number().over(w)), groups, base)
-    return (numbered.withColumn(output, (F.col("_off") + F.col("_local")).cast(dtype))
-            .drop("_off", "_local"))
-
-
-def _ranged_sequence(df, groups, order, output, base, ranges, dtype):
-    g = [col_of(c) for c in groups]
-    ranged = range_column(df, order, ranges or default_ranges(df))
-    counts = ranged.groupBy(*g, _R).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*g).orderBy(_R).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*g, _R, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_roff"))
+    keys = [col_of(c) for c in groups]
+    tie = F.xxhash64(*[col_of(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    by = [*keys, col_of(order), tie]
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, *by).withColumn(_P, F.spark_partition_id()), "ranked")
+    names = [f"_k{i}" for i in range(len(keys))]
+    counts = ranged.groupBy(*[k.alias(a) for k, a in zip(keys, names)], F.col(_P).alias("_kp")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*(names or [F.lit(0)])).orderBy("_kp").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if base is not None:
-        offsets = (offsets.join(base.select(*g, col_of("base").alias("_base")), groups, "left")
-                   .select(*g, _R, (F.col("_roff") + F.coalesce("_base", F.lit(0))).alias("_roff")))
-    local = Window.partitionBy(*g, _R).orderBy(col_of(order))
-    numbered = ranged.withColumn("_local", F.row_number().over(local))
-    # null-safe on the group keys: a null group is a group like any other
-    keyed = offsets.select(*[col_of(c).alias(f"_k{i}") for i, c in enumerate(groups)],
-                           F.col(_R).alias("_kr"), "_roff")
-    cond = [numbered[quote(c)].eqNullSafe(keyed[f"_k{i}"]) for i, c in enumerate(groups)]
-    cond.append(numbered[_R] == keyed["_kr"])
-    return (numbered.join(keyed, cond, "inner")
-            .withColumn(output, (F.col("_roff") + F.col("_local")).cast(dtype))
-            .drop(_R, "_kr", "_roff", "_local", *[f"_k{i}" for i in range(len(groups))]))
+        start = base.select(*[k.alias(f"_b{i}") for i, k in enumerate(keys)], col_of("base").alias("_base"))
+        same = F.lit(True)
+        for i, a in enumerate(names):
+            same = same & F.col(a).eqNullSafe(F.col(f"_b{i}"))
+        offsets = offsets.join(start, same, "left").withColumn("_off", F.col("_off") + F.coalesce("_base", F.lit(0)))
+    offsets = offsets.select(*names, "_kp", "_off")
+    local = F.row_number().over(Window.partitionBy(*keys, _P).orderBy(col_of(order), tie))
+    same = F.col(_P) == F.col("_kp")
+    for k, a in zip(keys, names):
+        same = same & k.eqNullSafe(F.col(a))
+    return (ranged.withColumn("_local", local).join(offsets, same)
+            .withColumn(output, (F.col("_off") + F.col("_local")).cast(dtype))
+            .drop(_P, "_kp", "_off", "_local", *names))

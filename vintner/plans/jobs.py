@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vintner.functions.names import sanitize_identifier, strip_spaces
 from vintner.operators import registry as reg
-from vintner.operators.clean import LABEL, cast_features, clean_table, drop_label
+from vintner.operators.clean import LABEL, cast_features, clean_table, label_column, drop_label
 from vintner.operators.fit import ALPHA, L1_RATIO, LinearModel, fit_elastic_net, load_model, save_model
 from vintner.operators.metrics import regression_metrics
 from vintner.operators.publish import append_table, publish, publish_many, table_or_none
@@ -87,7 +87,10 @@ def train_job(spark: SparkSession, p: TrainParams) -> dict:
     db = sanitize_identifier(p.db)
     now = p.now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     typed = publish(clean_table(_read(spark, p.csv_path, p.sniff), p.label), db, p.table)
-    features = [c for c in typed.columns if c != p.label]
+    label = label_column(typed, p.label)
+    if label is None:
+        raise ValueError(f"the training table has no label column {p.label!r}")
+    features = [c for c in typed.columns if c != label]
     # the content key costs a shuffle: write the keyed table once, then the
     # split search, both halves, the fit and the metrics read files
     keyed = materialize(with_row_key(typed, ROW_KEY), "train-keyed")

@@ -45,8 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this is set by the operator and points at shared storage. Only
-    when it is unset (local runs, tests) do we create one under the system temp
-    folder.
+    when it is unset and the master is local (tests) do we create one under the
+    system temp folder; elsewhere an unset folder is an error.
     """
     global _LOCAL_SCRATCH
     try:
@@ -57,9 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured:
             return configured
-        if _LOCAL_SCRATCH is None:
-            _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="vintner-ckpt-")
-        return _LOCAL_SCRATCH
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -67,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _LOCAL_SCRATCH is None:
         _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="vintner-ckpt-")
     sc.setCheckpointDir(_LOCAL_SCRATCH)

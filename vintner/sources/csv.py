@@ -10,11 +10,12 @@ CANDIDATE_SEPARATORS = (",", ";", "\t", "|")
 
 
 def read_csv_strings(spark: SparkSession, path: str, sep: str = ",",
-                     quote: str = '"') -> DataFrame:
-    """Read CSV with a header row. No type inference: every column is a string,
+                     quote: str = '"', multi_line: bool = False) -> DataFrame:
+    """Read CSV with a header row; ``multi_line`` for texts with line breaks in
+    quotes (such a file is then read whole by one task). No type inference: every column is a string,
     typing is a separate, explicit step (see ``operators.clean``)."""
     return (spark.read.option("header", True).option("sep", sep)
-            .option("quote", quote).option("escape", quote)
+            .option("quote", quote).option("escape", quote).option("multiLine", multi_line)
             .option("inferSchema", False).option("mode", "PERMISSIVE")
             .csv(path))
 

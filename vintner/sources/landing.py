@@ -14,6 +14,6 @@ def land_once(df: DataFrame, path: str, fmt: str = "csv", sep: str = ",") -> str
     """
     writer = df.write.mode("ignore").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("sep", sep)
+        writer = writer.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
     writer.save(path)
     return path
