@@ -125,3 +125,64 @@ def test_spark_ml_lbfgs_mapping(spark):
     _, lm = fit_spark_ml(df, ["a", "b", "c"], "y", solver="l-bfgs")
     w, b = numpy_cd(x, y, 0.75, 0.25)
     assert np.allclose(lm.coefficients, w, rtol=1e-3, atol=1e-3)
+
+
+def test_nulls_are_refused_at_every_width(spark):
+    import numpy as np
+    import pytest
+    from pyspark.sql import functions as F
+    from vintner.operators.fit import fit_elastic_net
+    rng = np.random.default_rng(3)
+    for width in (3, 65, 200):
+        names = [f"f.{i}" for i in range(width)]
+        x = rng.normal(size=(300, width))
+        rows = [[float(v) for v in r] + [float(r[0] * 3 + 1)] for r in x]
+        df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in [*names, "y"]))
+        full = fit_elastic_net(df, names, "y", alpha=0.01, on_null="error")
+        assert full.n_rows == 300 and abs(full.coefficients[0] - 3) < 0.1
+        holes = df.withColumn("y", F.when(F.col("`f.1`") < 0, F.col("y")))
+        bad = int((x[:, 1] >= 0).sum())
+        with pytest.raises(ValueError, match=f"{bad} rows"):
+            fit_elastic_net(holes, names, "y", on_null="error")
+        part = fit_elastic_net(holes, names, "y")
+        assert part.n_rows == 300 - bad and part.extra["dropped_rows"] == bad
+
+
+def test_spark_ml_takes_dotted_names(spark):
+    from vintner.operators.fit import assemble, fit_elastic_net, fit_spark_ml
+    df = spark.createDataFrame([(float(i), float(i % 7), 2.0 * i) for i in range(60)], "`a.b` double, c double, y double")
+    exact, by_ml = fit_elastic_net(df, ["a.b", "c"], "y"), fit_spark_ml(df, ["a.b", "c"], "y")[1]
+    assert max(abs(a - b) for a, b in zip(exact.coefficients, by_ml.coefficients)) < 1e-5
+    assert assemble(df, ["a.b", "c"]).columns == ["a.b", "c", "y", "features"]
+
+
+def test_moments_of_shifted_columns_and_empty_frames(spark):
+    import numpy as np
+    from vintner.operators.fit import moment_stats
+    x = np.random.default_rng(5).normal(size=(500, 2)) + 1e7
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, y double").repartition(7)
+    s = moment_stats(df, ["a"], "y")
+    assert abs(s["C"][0, 0] - x[:, 0].var()) < 1e-6 and abs(s["var_y"] - x[:, 1].var()) < 1e-6
+    assert moment_stats(df.limit(0), ["a"], "y")["n"] == 0
+
+
+def test_near_collinear_columns_are_solved_exactly():
+    import numpy as np
+    from vintner.operators.fit import solve_elastic_net
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=1000)
+    x = np.stack([a, a + 1e-6 * rng.normal(size=1000)], axis=1)
+    C, cy = np.cov(x.T, bias=True), np.array([1.0, 1.0 - 1e-9])
+    w = solve_elastic_net(C, cy, 0.01, 0.5)
+    slack = cy - C @ w - 0.005 * w
+    assert all(abs(s - 0.005 * np.sign(v)) < 1e-8 if v else abs(s) <= 0.005 + 1e-8 for s, v in zip(slack, w))
+
+
+def test_model_by_uri_and_missing_features(spark, tmp_dir):
+    from vintner.operators.fit import LinearModel, save_model
+    from vintner.operators.score import linear_loader, score, score_with_model
+    model = LinearModel(["a"], [2.0], 1.0)
+    uri = save_model(spark, model, tmp_dir + "/by-uri")
+    df = spark.createDataFrame([(1.0,), (None,), (float("nan"),)], "a double")
+    by_uri = [r["prediction"] for r in score_with_model(df, ["a"], uri, linear_loader).collect()]
+    assert by_uri == [r["prediction"] for r in score(df, model).collect()] == [3.0, None, None]

@@ -125,3 +125,26 @@ def test_materialize_writes_under_checkpoint_dir(spark):
     def norm(u):
         return "/" + u.replace("file:", "").lstrip("/")
     assert all(norm(f).startswith(norm(base)) for f in files)
+
+
+def test_crashed_landing_is_written_again(spark, tmp_dir):
+    import os
+    path = tmp_dir + "/crashed"
+    os.makedirs(path + "/_temporary/0")
+    land_once(spark.range(5).selectExpr("CAST(id AS STRING) AS v"), path)
+    assert read_csv_strings(spark, path).count() == 5
+
+
+def test_uneven_separators_raise(spark, tmp_dir):
+    import pytest
+    path = tmp_dir + "/uneven.csv"
+    with open(path, "w") as f:
+        f.write("a;b\n1;x;y\n")
+    with pytest.raises(ValueError, match="separator"):
+        sniff_delimiter(spark, path)
+
+
+def test_texts_survive_landing(spark, tmp_dir):
+    rows = [("1", 'say "hi", ok'), ("2", "two\nlines"), ("3", "back\\slash"), ("4", "plain")]
+    path = land_once(spark.createDataFrame(rows, "k string, t string"), tmp_dir + "/texts")
+    assert sorted(map(tuple, read_csv_strings(spark, path, multi_line=True).collect())) == rows

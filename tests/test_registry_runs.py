@@ -146,3 +146,11 @@ def test_sequence_with_dotted_group_name(spark):
     out = sequence_within_groups(df, ["g.name"], "o", "seq", partitions=4)
     got = {r[0]: r[1] for r in out.groupBy("`g.name`").agg(F.max("seq")).collect()}
     assert got == {"hot": 400, "cold": 200}
+
+
+def test_stage_change_ties_and_null_names(spark):
+    from vintner.operators.registry import transition_stages
+    reg = spark.sql("SELECT * FROM VALUES (CAST(NULL AS string), 1, 'None', 'r', 0L), ('m', 1, 'None', 's', 0L) AS t(name, version, stage, run_id, ts)")
+    changes = spark.sql("SELECT * FROM VALUES (CAST(NULL AS string), 1, 'Staging', 5L), ('m', 1, 'Production', 5L), ('m', 1, 'Staging', 5L) AS t(name, version, stage, ts)")
+    out = {r["name"]: r["stage"] for r in transition_stages(reg, changes).collect()}
+    assert out == {None: "Staging", "m": "Staging"}

@@ -91,3 +91,24 @@ def test_hash_split_keeps_null_keys(spark):
     train, test = train_test(df, "k", exact=False)
     assert train.count() + test.count() == 3
     assert train.where("k IS NULL").count() == 1
+
+
+def test_copies_across_the_threshold_raise_at_small_size(spark):
+    import pytest
+    df = spark.range(1000).selectExpr("id % 2 AS k")
+    with pytest.raises(ValueError, match="not unique"):
+        exact_split(df, "k")
+
+
+def test_row_key_tells_microseconds_apart_in_any_zone(spark):
+    from vintner.operators.split import with_row_key
+    df = spark.sql("SELECT CAST(t AS timestamp_ntz) AS t, CAST(concat(t, 'Z') AS timestamp) AS z FROM VALUES "
+                   "('2024-01-01 00:00:00.000001'), ('2024-01-01 00:00:00.000002') AS v(t)")
+    zone, keys = spark.conf.get("spark.sql.session.timeZone"), []
+    try:
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            keys.append(sorted(r["rk"] for r in with_row_key(df, "rk").collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert keys[0] == keys[1] and len({k.split(":")[0] for k in keys[0]}) == 2

@@ -43,6 +43,7 @@ def model_uri(run_id: Column, artifact: str = "model", scheme: str = "runs:/") -
     return F.format_string(f"{scheme}%s/{artifact}", run_id)
 
 
-def metric_line(name: str, value: Column) -> Column:
-    """A report line such as ``  RMSE: 63.142800``."""
-    return F.format_string(f"  {name}: %f", value)
+def metric_line(name: str, value: Column, form: str = "%f") -> Column:
+    """A report line such as ``  RMSE: 63.142800``, or with ``form='%s'``
+    ``  RMSE: 63.1428``."""
+    return F.format_string(f"  {name}: {form}", value)

@@ -7,10 +7,11 @@ The objective is the one of the common single-machine elastic net:
 on raw (unstandardised) features with a free intercept.
 
 ``fit_elastic_net`` computes the sufficient statistics (n, means and the
-population covariance of features and label) in one Spark aggregation: a
-partial aggregate per task and a tree of merges, no shuffle of rows, no data on
-the driver. The p x p problem is then solved exactly by coordinate descent on
-the driver, as Spark's own normal-equation solver does with its Gram matrix.
+population covariance of features and label) in one pass, at any width: a task
+turns its Arrow batches into one row (n, means, centred products), those rows
+are merged on the cluster, and at most ``_MERGES`` rows reach the driver. The
+p x p problem is then solved exactly by coordinate descent on the driver, as
+Spark's own normal-equation solver does with its Gram matrix.
 
 ``fit_spark_ml`` gives the same model through ``pyspark.ml``'s
 ``LinearRegression`` with mapped parameters: Spark divides its L2 term by the
@@ -25,6 +26,8 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +40,7 @@ from vintner.functions.names import col_of
 ALPHA = 0.75
 L1_RATIO = 0.25
 
-_MAX_STATS_FEATURES = 64  # beyond this the covariance agg gets wide; use pyspark.ml
+_MERGES = 256  # rows of merged moments that reach the driver, at most
 _MAX_NORMAL_FEATURES = 4096  # Spark's limit for solver="normal"
 
 
@@ -64,52 +67,100 @@ def assemble(df: DataFrame, features: Sequence[str], output: str = "features",
              handle_invalid: str = "error") -> DataFrame:
     """Feature columns into one vector column, for ``pyspark.ml``. Null or
     NaN inputs raise by default; ``handle_invalid='skip'`` drops the rows."""
-    return VectorAssembler(inputCols=list(features), outputCol=output,
-                           handleInvalid=handle_invalid).transform(df)
+    names = [f"_vintner_f{i}" for i in range(len(features))]  # dotted names are no input columns
+    wide = df.select("*", *[col_of(c).alias(n) for c, n in zip(features, names)])
+    return VectorAssembler(inputCols=names, outputCol=output,
+                           handleInvalid=handle_invalid).transform(wide).drop(*names)
+
+
+def _joined(a, b):
+    """Moments (n, means, centred products) of two row sets together."""
+    if a is None or not a[0]:
+        return b
+    if not b[0]:
+        return a
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+_MOMENTS = pa.schema([("part", pa.int64()), ("bad", pa.int64()), ("n", pa.int64()),
+                      ("means", pa.binary()), ("products", pa.binary())])
+
+
+def _moment_row(part: int, bad: int, moments) -> pa.RecordBatch:
+    n, means, products = moments
+    return pa.RecordBatch.from_pydict({"part": [part], "bad": [bad], "n": [n], "means": [means.tobytes()],
+                                       "products": [products.tobytes()]}, schema=_MOMENTS)
+
+
+def _merged(rows: list[dict], k: int):
+    """(incomplete rows, moments) over rows of moments, in the order of their parts."""
+    total = (0, np.zeros(k), np.zeros((k, k)))
+    for r in sorted(rows, key=lambda r: r["part"]):
+        total = _joined(total, (r["n"], np.frombuffer(r["means"]), np.frombuffer(r["products"]).reshape(k, k)))
+    return sum(r["bad"] for r in rows), total
 
 
 def moment_stats(df: DataFrame, features: Sequence[str], label: str,
                  on_null: str = "drop") -> dict:
     """n, means, covariance matrix, feature-label covariances, label variance
-    and the number of incomplete rows, in one aggregation pass.
+    and the number of incomplete rows, in one pass over the rows.
 
-    A row with a null or NaN in any feature or the label is incomplete: every
-    value of it is masked to null, so all statistics cover the same complete
-    rows. ``on_null='error'`` raises if there is any such row.
+    A row with a null or NaN in any feature or the label is incomplete and left
+    out, so all statistics cover the same complete rows. ``on_null='error'``
+    raises if there is any such row.
     """
     if on_null not in ("drop", "error"):
         raise ValueError("on_null must be 'drop' or 'error'")
     cols = list(features) + [label]
     p = len(features)
-    typed = df.select(*[col_of(c).cast("double").alias(f"r{i}") for i, c in enumerate(cols)])
-    incomplete = F.lit(False)
-    for i in range(p + 1):
-        incomplete = incomplete | F.col(f"r{i}").isNull() | F.isnan(f"r{i}")
-    masked = typed.select(incomplete.alias("bad"),
-                          *[F.when(~incomplete, F.col(f"r{i}")).alias(f"v{i}") for i in range(p + 1)])
-    aggs = [F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("n")]
-    aggs += [F.avg(f"v{i}").alias(f"m{i}") for i in range(p + 1)]
-    aggs += [F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}")
-             for i in range(p + 1) for j in range(i, p + 1)]
-    row = masked.agg(*aggs).first()
-    bad = int(row["bad"])
+    k = p + 1
+    typed = df.select(*[col_of(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+
+    def moments(batches):
+        bad, total = 0, (0, np.zeros(k), np.zeros((k, k)))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(k)])
+            whole = ~np.isnan(x).any(axis=1)
+            x, bad = x[whole], bad + int((~whole).sum())
+            if len(x):
+                means = x.mean(axis=0)
+                x = x - means
+                total = _joined(total, (len(x), means, x.T @ x))
+        yield _moment_row(TaskContext.get().partitionId(), bad, total)
+
+    def merge(table):
+        rows = table.to_pylist()
+        return pa.Table.from_batches([_moment_row(min(r["part"] for r in rows), *_merged(rows, k))])
+
+    ddl = "part long, bad long, n long, means binary, products binary"
+    merged = typed.mapInArrow(moments, ddl).groupBy(F.pmod("part", F.lit(_MERGES))).applyInArrow(merge, ddl)
+    bad, (n, means, products) = _merged([r.asDict() for r in merged.collect()], k)
     if on_null == "error" and bad:
         raise ValueError(f"{bad} rows have null or NaN in {cols}")
-    cov = np.zeros((p + 1, p + 1))
-    for i in range(p + 1):
-        for j in range(i, p + 1):
-            v = row[f"c{i}_{j}"]
-            cov[i, j] = cov[j, i] = 0.0 if v is None else float(v)
-    means = np.array([0.0 if row[f"m{i}"] is None else float(row[f"m{i}"]) for i in range(p + 1)])
-    return {"n": int(row["n"]), "means": means[:p], "mean_y": means[p], "C": cov[:p, :p],
+    cov = products / max(n, 1)
+    return {"n": n, "means": means[:p], "mean_y": means[p], "C": cov[:p, :p],
             "cy": cov[:p, p], "var_y": cov[p, p], "dropped": bad}
 
 
+def _on_active_set(C: np.ndarray, cy: np.ndarray, w: np.ndarray, l1: float, l2: float) -> np.ndarray | None:
+    """The exact solution if the signs of ``w`` are its signs, else None."""
+    on, out = w != 0, np.zeros(len(w))
+    sign = np.sign(w[on])
+    try:
+        out[on] = np.linalg.solve(C[np.ix_(on, on)] + l2 * np.eye(int(on.sum())), cy[on] - l1 * sign)
+    except np.linalg.LinAlgError:
+        return None
+    rest = np.abs(cy - C @ out)[~on]
+    return out if (np.sign(out[on]) == sign).all() and (rest <= l1 * (1 + 1e-12)).all() else None
+
+
 def solve_elastic_net(C: np.ndarray, cy: np.ndarray, alpha: float, l1_ratio: float,
                       max_sweeps: int = 100_000, tol: float = 1e-15) -> np.ndarray:
     """Coordinate descent on the covariance form of the objective (centred
     data, so the intercept drops out). Pure ridge / least squares is solved
-    directly."""
+    directly, and so is the problem on the active set as soon as that is known;
+    a descent that settles in neither way raises."""
     p = len(cy)
     l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
     if p == 0:
@@ -117,7 +168,7 @@ def solve_elastic_net(C: np.ndarray, cy: np.ndarray, alpha: float, l1_ratio: flo
     if l1 == 0.0:
         return np.linalg.lstsq(C + l2 * np.eye(p), cy, rcond=None)[0]
     w = np.zeros(p)
-    for _ in range(max_sweeps):
+    for sweep in range(1, max_sweeps + 1):
         change = 0.0
         for j in range(p):
             denom = C[j, j] + l2
@@ -126,8 +177,10 @@ def solve_elastic_net(C: np.ndarray, cy: np.ndarray, alpha: float, l1_ratio: flo
             change = max(change, abs(new - w[j]))
             w[j] = new
         if change <= tol * max(1.0, float(np.max(np.abs(w)))):
-            break
-    return w
+            return w
+        if sweep % 100 == 0 and (exact := _on_active_set(C, cy, w, l1, l2)) is not None:
+            return exact
+    raise RuntimeError(f"coordinate descent did not settle in {max_sweeps} sweeps")
 
 
 def fit_elastic_net(df: DataFrame, features: Sequence[str], label: str,
@@ -135,8 +188,6 @@ def fit_elastic_net(df: DataFrame, features: Sequence[str], label: str,
                     on_null: str = "drop") -> LinearModel:
     """A5: fit on the cluster; see the module docstring."""
     features = list(features)
-    if len(features) > _MAX_STATS_FEATURES:
-        return fit_spark_ml(df, features, label, alpha, l1_ratio)[1]
     s = moment_stats(df, features, label, on_null)
     if s["n"] == 0:
         raise ValueError("no complete rows to fit")
@@ -154,10 +205,10 @@ def fit_spark_ml(df: DataFrame, features: Sequence[str], label: str,
     population standard deviation of the label, ``l-bfgs`` the sample one."""
     features = list(features)
     if solver == "normal" and len(features) > _MAX_NORMAL_FEATURES:
-        solver = "l-bfgs"  # the normal-equation solver stops at 4,096 features
-    data = assemble(df.select(*[col_of(c).cast("double").alias(c) for c in features],
-                              col_of(label).cast("double").alias("label")).dropna(),
-                    features)
+        raise ValueError(f"solver='normal' takes at most {_MAX_NORMAL_FEATURES} features; use 'l-bfgs'")
+    names = [f"x{i}" for i in range(len(features))]
+    data = assemble(df.select(*[col_of(c).cast("double").alias(n) for c, n in zip(features, names)],
+                              col_of(label).cast("double").alias("label")).dropna(), names)
     sd = F.stddev_pop("label") if solver == "normal" else F.stddev_samp("label")
     sigma = data.agg(sd.alias("s")).first()["s"] or 0.0
     lam = alpha * l1_ratio + alpha * (1.0 - l1_ratio) * sigma

@@ -56,7 +56,7 @@ def publish(df: DataFrame, db: str, table: str, fmt: str = "parquet",
     try:
         overwrite_table(df, db, table, fmt, location)
     except AnalysisException as err:
-        if "UNSUPPORTED_OVERWRITE" not in str(err) and "overwrite" not in str(err).lower():
+        if not (err.getCondition() or "").startswith("UNSUPPORTED_OVERWRITE"):
             raise
         staging = f"{table}__staging"
         stage_loc = None if location is None else location.rstrip("/") + "__staging"

@@ -36,11 +36,14 @@ def register_models(registry: DataFrame | None, requests: DataFrame, order: str
 
 def transition_stages(registry: DataFrame, changes: DataFrame) -> DataFrame:
     """R2: set ``stage`` for the ``(name, version)`` pairs in ``changes``; the
-    last change by ``ts`` wins. Other versions keep their stage (nothing is
-    archived). ``(name, version)`` is unique, so the join has no hot key."""
+    last change by ``ts`` wins, of equal ones the largest stage name. Other
+    versions keep their stage (nothing is archived). ``(name, version)`` is
+    unique, so the join has no hot key; a null name is a name like any other."""
     last = (changes.groupBy("name", "version")
-            .agg(F.max_by("stage", "ts").alias("_new_stage")))
-    return (registry.join(last, ["name", "version"], "left")
+            .agg(F.max_by("stage", F.struct("ts", "stage")).alias("_new_stage"))
+            .withColumnsRenamed({"name": "_name", "version": "_version"}))
+    same = F.col("name").eqNullSafe(F.col("_name")) & F.col("version").eqNullSafe(F.col("_version"))
+    return (registry.join(last, same, "left")
             .select("name", "version", F.coalesce("_new_stage", "stage").alias("stage"),
                     "run_id", "ts"))
 

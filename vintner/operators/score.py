@@ -8,7 +8,9 @@ predict function: an Arrow-batched pandas UDF, never a per-row UDF.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from typing import Iterator, Tuple
 
 import numpy as np
 import pandas as pd
@@ -25,11 +27,11 @@ PREDICTION = "prediction"
 def prediction_column(model: LinearModel) -> Column:
     """``intercept + sum(coefficient * feature)``, features bound by name.
     Every feature takes part, also at weight 0, so a null in any feature
-    gives a null prediction, as on the UDF path."""
+    gives a null prediction; so does a NaN, as on the UDF path."""
     expr = F.lit(float(model.intercept))
     for name, w in zip(model.features, model.coefficients):
         expr = expr + F.lit(float(w)) * col_of(name).cast("double")
-    return expr
+    return F.when(~F.isnan(expr), expr)
 
 
 def score(df: DataFrame, model: LinearModel, output: str = PREDICTION) -> DataFrame:
@@ -62,6 +64,46 @@ def score_with_udf(df: DataFrame, features: list[str],
     return df.select(_udf(*[col_of(c) for c in names]).alias(output), "*")
 
 
+_LOADED: dict = {}  # of a Python worker: the model that its tasks use
+
+
+def score_with_model(df: DataFrame, features: list[str], uri: str,
+                     loader: Callable[[dict[str, bytes]], Callable[[pd.DataFrame], pd.Series]],
+                     output: str = PREDICTION, max_bytes: int = 256 << 20) -> DataFrame:
+    """U1, any Python model by URI: ``loader`` gets the model's files (path below
+    ``uri`` -> bytes) and returns a predict function; each Python worker calls it
+    once. Spark reads the files, so any store that it reads will do; a model of
+    more than ``max_bytes`` is refused, as its files go to every executor."""
+    spark, names = df.sparkSession, list(features)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(uri)
+    size = files.agg(F.sum("length")).first()[0]
+    if not size or size > max_bytes:
+        raise ValueError(f"model at {uri}: {size or 0} bytes, expected 1 to {max_bytes}")
+    leaf = "/" + uri.rstrip("/").rsplit("/", 1)[-1] + "/"
+    held = spark.sparkContext.broadcast({r["path"].rsplit(leaf, 1)[-1] if leaf in r["path"] else r["path"].rsplit("/", 1)[-1]:
+                                         bytes(r["content"]) for r in files.select("path", "content").collect()})
+    key = uuid.uuid4().hex
+
+    @F.pandas_udf("double")
+    def _udf(batches: Iterator[Tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        from vintner.operators.score import _LOADED as loaded
+        if key not in loaded:
+            loaded.clear()
+            loaded[key] = loader(held.value)
+        for cols in batches:
+            cols = cols if isinstance(cols, tuple) else (cols,)  # one column comes bare
+            frame = pd.concat([c.astype("float64") for c in cols], axis=1, keys=names)
+            yield loaded[key](frame).astype("float64").reset_index(drop=True)
+
+    return df.select(_udf(*[col_of(c) for c in names]).alias(output), "*")
+
+
+def linear_loader(files: dict[str, bytes]) -> Callable[[pd.DataFrame], pd.Series]:
+    """Loader of a model written by ``save_model``."""
+    text = next(body for _, body in sorted(files.items()) if body.strip())
+    return linear_predict_fn(LinearModel.from_json(text.decode()))
+
+
 def score_spark_ml(df: DataFrame, model: LinearRegressionModel, features: list[str],
                    output: str = PREDICTION) -> DataFrame:
     """U1 with a ``pyspark.ml`` model: assemble, transform, prediction first."""

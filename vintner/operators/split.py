@@ -15,8 +15,9 @@ histogram of hash prefixes:
 The split itself is then a map-only predicate ``(hash, key) <= threshold``:
 no shuffle, no join, and the same rows whatever the partitioning. With a
 unique key the hash spreads rows evenly, so each level divides the candidates
-by about 4,096; a duplicated key shows up as a prefix that cannot be split and
-raises an error.
+by about 4,096. A duplicated key whose copies the threshold would separate
+raises an error at every size; other duplicates stay on one side, and the test
+part has the promised size.
 """
 
 from __future__ import annotations
@@ -84,17 +85,22 @@ def split_threshold(df: DataFrame, key: str, test_fraction: float = TEST_FRACTIO
         prefix, rank = prefix + hit["b"], rank - below
         if hit["count"] <= exact_limit or len(prefix) >= 32:
             break
-    if hit["count"] > exact_limit:
-        raise ValueError(f"split key {key!r} is not unique: {hit['count']} rows share one hash")
-    row = (keyed.where(F.substring(_HASH, 1, len(prefix)) == prefix)
-           .orderBy(_HASH, _KEY).offset(rank - 1).limit(1).first())
-    return row[_HASH], row[_KEY]
+    left = keyed.where(F.substring(_HASH, 1, len(prefix)) == prefix)
+    if hit["count"] > exact_limit:  # all of one hash, so of one key
+        if rank < hit["count"]:
+            raise ValueError(f"split key {key!r} is not unique: {hit['count']} rows share one hash")
+        rank, left = 1, left.agg(F.max(_HASH).alias(_HASH), F.max(_KEY).alias(_KEY))
+    last, *after = left.orderBy(_HASH, _KEY).offset(rank - 1).limit(2).collect()
+    if after and after[0] == last:
+        raise ValueError(f"split key {key!r} is not unique: copies of {last[_KEY]!r} on both sides")
+    return last[_HASH], last[_KEY]
 
 
 def exact_split(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
                 seed: int = SPLIT_SEED, flag: str = "is_test") -> DataFrame:
     """L1: add boolean ``flag``; exactly ``ceil(test_fraction * n)`` rows are
-    true. ``key`` must be unique and non-null. Write ``df`` to files first
+    true. ``key`` must be non-null, and unique (copies that fall on one
+    side do no harm, others raise). Write ``df`` to files first
     (``session.materialize``) if it is expensive to compute: the threshold
     search reads it once per level."""
     thr = split_threshold(df, key, test_fraction, seed)
@@ -147,7 +153,9 @@ def with_row_key(df: DataFrame, key: str = "_row_key") -> DataFrame:
     from vintner.operators.ranking import sequence_within_groups  # local: avoid a cycle
     from vintner.session import materialize
 
-    content = F.sha2(F.to_json(F.struct(*[col_of(c) for c in df.columns])), 256)
+    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # to the microsecond, in one zone
+    content = F.sha2(F.to_json(F.struct(*[col_of(c) for c in df.columns]),
+                               {"timestampFormat": exact, "timestampNTZFormat": exact, "timeZone": "UTC"}), 256)
     tagged = materialize(df.withColumn("_content", content)
                          .withColumn("_mono", F.monotonically_increasing_id()), "row-key")
     numbered = sequence_within_groups(tagged, ["_content"], "_mono", "_copy")

@@ -3,7 +3,7 @@ the driver tables so that their work grows with the data.
 
 * job-run log from ``events``: ``user_id`` is the run id, ``event_id`` breaks
   ties between records with the same ``ts``, ``event_type`` maps to states;
-* model registrations from ``events`` of type ``signup``: one model per user;
+* model registrations from ``events``: one model per user, one version per event;
 * raw CSV-like lines from ``lineitem``: every column a string, names with
   spaces, one text column that is not a number.
 """
@@ -22,7 +22,6 @@ STATE_OF_EVENT = {
     "purchase": ("TERMINATED", "CANCELED"),
 }
 ERROR_VALUE_FAILED = 25.0
-REGISTRATION_EVENT = "signup"
 STAGING_VALUE = 30.0
 PRODUCTION_VALUE = 45.0
 SECOND_BATCH_FROM = "2024-01-15 00:00:00"
@@ -45,8 +44,7 @@ def job_log(events: DataFrame) -> DataFrame:
 
 
 def registration_requests(events: DataFrame) -> DataFrame:
-    return (events.where(F.col("event_type") == REGISTRATION_EVENT)
-            .select(F.concat(F.lit("model-"), F.col("user_id").cast("string")).alias("name"),
+    return (events.select(F.concat(F.lit("model-"), F.col("user_id").cast("string")).alias("name"),
                     F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"),
                     "ts", "event_id", "value"))
 

@@ -1,6 +1,6 @@
 """The reference's two jobs as Spark applications.
 
-``train_job``: land -> read CSV as strings -> type -> publish the input table
+``train_job``: land (if a landing path is given) -> read CSV as strings -> type -> publish the input table
 -> keyed exact split -> elastic-net fit on the cluster -> metrics on the test
 part -> save the model -> append params and metrics to the run log -> register
 a new version -> move it to a stage -> JSON result record.
@@ -35,6 +35,7 @@ from vintner.operators.score import score
 from vintner.operators.split import SPLIT_SEED, TEST_FRACTION, train_test, with_row_key
 from vintner.session import materialize
 from vintner.sources.csv import read_csv_strings, read_sniffed_csv
+from vintner.sources.landing import land_once
 
 ROW_KEY = "_row_key"
 
@@ -63,6 +64,7 @@ class TrainParams:
     test_fraction: float = TEST_FRACTION
     seed: int = SPLIT_SEED
     sniff: bool = False
+    landing_path: str | None = None      # shared storage; lands the CSV there once
     now: dt.datetime | None = None
 
 
@@ -86,7 +88,10 @@ def _read(spark: SparkSession, path: str, sniff: bool) -> DataFrame:
 def train_job(spark: SparkSession, p: TrainParams) -> dict:
     db = sanitize_identifier(p.db)
     now = p.now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    typed = publish(clean_table(_read(spark, p.csv_path, p.sniff), p.label), db, p.table)
+    raw = _read(spark, p.csv_path, p.sniff)
+    if p.landing_path:
+        raw = read_csv_strings(spark, land_once(raw, p.landing_path))
+    typed = publish(clean_table(raw, p.label), db, p.table)
     label = label_column(typed, p.label)
     if label is None:
         raise ValueError(f"the training table has no label column {p.label!r}")
@@ -145,6 +150,8 @@ def resolve_model(spark: SparkSession, p: ScoreParams, model_root: str | None =
 
 
 def batch_score_job(spark: SparkSession, p: ScoreParams, model_root: str | None = None) -> dict:
+    if not p.tables:
+        raise ValueError("no table to publish to")
     model, path = resolve_model(spark, p, model_root)
     features = cast_features(drop_label(_read(spark, p.csv_path, p.sniff), p.label))
     publish_many(score(features, model), sanitize_identifier(p.db), list(p.tables))

@@ -82,6 +82,26 @@ ALL_FEATS = ["q", "c", "d"]
 TRAIN_MODEL = cd_ctes("(SELECT * FROM flagged WHERE NOT is_test)", SPLIT_FEATS, "y")
 
 
+# name -> expression, the same in Spark and in DuckDB
+WIDE_FEATURES = {
+    "quantity": "l_quantity",
+    "discount": "l_discount * 100",
+    "tax": "l_tax * 100",
+    "line": "CAST(l_linenumber AS DOUBLE)",
+    "accepted": "CASE WHEN l_returnflag = 'A' THEN 1.0E0 ELSE 0.0E0 END",
+    "returned": "CASE WHEN l_returnflag = 'R' THEN 1.0E0 ELSE 0.0E0 END",
+    "open_line": "CASE WHEN l_linestatus = 'O' THEN 1.0E0 ELSE 0.0E0 END",
+    "part_size": "CAST(p_size AS DOUBLE)",
+    "retail": "p_retailprice / 100",
+    "order_total": "o_totalprice / 10000",
+    "urgent": "CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0E0 ELSE 0.0E0 END",
+    "finished": "CASE WHEN o_orderstatus = 'F' THEN 1.0E0 ELSE 0.0E0 END",
+}
+WIDE_LABEL = {"price": "l_extendedprice / 1000"}
+WIDE = "wide AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in (WIDE_FEATURES | WIDE_LABEL).items()) + """
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""
+
+
 def scored_cte(pred_digits: int) -> str:
     return f"""scored AS (
   SELECT round({prediction_sql(SPLIT_FEATS, 'b')}, {pred_digits}) AS prediction, b.k, b.q, b.c, b.d, b.y
@@ -144,11 +164,11 @@ def outcome_sql(strict: bool) -> str:
             f"WHEN life_cycle_state = 'TERMINATED' THEN 'succeeded' ELSE 'pending' END")
 
 
-REGISTRY = f"""registry AS (
+REGISTRY = """registry AS (
   SELECT 'model-' || CAST(user_id AS VARCHAR) AS name,
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS version,
          'None' AS stage, 'run-' || CAST(event_id AS VARCHAR) AS run_id, ts, value
-  FROM events WHERE event_type = '{fx.REGISTRATION_EVENT}')"""
+  FROM events)"""
 
 STAGED = f"""staged AS (
   SELECT name, version,

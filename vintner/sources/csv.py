@@ -27,7 +27,9 @@ def sniff_delimiter(spark: SparkSession, path: str, sample_lines: int = 64,
     Quoted spans are removed first, then each candidate is counted per line. A
     candidate qualifies when every sampled line holds the same non-zero count;
     among those the one with most fields wins. Only the sample is read: this is
-    one small job whatever the size of the file. Falls back to ``,``.
+    one small job whatever the size of the file. A file in which no candidate
+    occurs has one column (``,``); candidates that only occur unevenly raise:
+    the caller then names the separator.
     """
     lines = (spark.read.text(path).limit(sample_lines)
              .select(F.regexp_replace("value", '"[^"]*"', "").alias("v"))
@@ -37,13 +39,14 @@ def sniff_delimiter(spark: SparkSession, path: str, sample_lines: int = 64,
         n = F.size(F.split("v", _regex_literal(c))) - 1
         aggs += [F.min(n).alias(f"lo{i}"), F.max(n).alias(f"hi{i}")]
     row = lines.agg(*aggs).first()
-    best, best_n = ",", 0
-    if row is None:
-        return best
+    best, best_n, seen = ",", 0, False
     for i, c in enumerate(candidates):
         lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+        seen = seen or bool(hi)
         if lo is not None and lo == hi and lo > best_n:
             best, best_n = c, lo
+    if seen and not best_n:
+        raise ValueError(f"no separator occurs equally often in the first {sample_lines} lines of {path}")
     return best
 
 
