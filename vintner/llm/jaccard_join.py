@@ -298,7 +298,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
 
     def check(table):
         texts = table.column("text").combine_chunks()
-        sets = list(shingle_sets(texts, width))
+        sets = [s for a, b in text_slices(texts) for s in shingle_sets(texts.slice(a, b - a), width)]
         ids = np.asarray(table.column("id").combine_chunks(), np.int64)
         label = np.asarray(table.column("label").combine_chunks(), np.int64)
         ok = np.array([s is not None for s in sets], bool)
