@@ -294,6 +294,21 @@ def test_pii_adds_loose_formats_and_redacts(spark):  # noqa: F811
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_loose_emails_need_no_other_word(spark):  # noqa: F811
+    r = random.Random(12)
+    parts = ["a", "b.c", "-", "@", " ", "  ", " at ", "at", "AT", "(at)", "[ at ]", "{at", "at)", ".", "(dot)", " dot ", "x", "é", "ſ", "_", "9", "\n", "-at-", ". "]
+    for _ in range(8000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(1, 22)))
+        assert pii.loose_emails(t) == [m.span() for m in pii._EMAIL.finditer(t)]
+    rows = [(i, r.choice([f"mail me at {r.choice(['jane', 'john.smith', 'info'])}{r.choice(['', i])}@{r.choice(['company', f'h{i}', 'mail.host'])}.com now", f"we met at noon. Then {i} came", f"order {r.randrange(10**15, 10**16)} was late"])) for i in range(400)]
+    loose = ["write to jane.doe (at) example.org please", "write to jane [at] example.org please", "write to jane @ example.org please"]
+    detector = pii.fit_detector(frame(spark, rows))
+    out = {x.id: x.spans for x in pii.find_pii(frame(spark, rows + [(1000 + i, t) for i, t in enumerate(loose)]), detector).collect()}
+    for i, t in enumerate(loose):
+        assert [(s.kind, t[s.start:s.end].split()[-1]) for s in out[1000 + i]] == [("email", t.split()[-2])]
+    assert not any(out[i] for i, t in rows if t.startswith("we met"))
+
+
 def test_top_k_matches_brute_force(spark):  # noqa: F811
     r = np.random.default_rng(1)
     x = np.floor(np.concatenate([r.normal(size=(150, 8)) * 60, r.normal(size=(150, 8)) * 5 + 100, np.repeat(r.normal(size=(1, 8)) * 50, 60, axis=0)]))

@@ -28,15 +28,17 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]", re.I)
+_AT = re.compile(r"[@Aa](?:(?<=@)|(?<=\b[Aa])[Tt]\b)")    # in every match of _EMAIL
+_LEAD = re.compile(r"\s?(?:[\[({]\s?)?\Z")
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:[\[({]\s?at\s?[\])}]|\bat\b|@)\s?[A-Za-z0-9-]+"
+                    r"(?:\s?(?:[\[({]\s?dot\s?[\])}]|\bdot\b|\.)\s?[A-Za-z0-9-]+)+", re.I)
 _DIGIT = re.compile(r"[0-9]")
 
 _WIDE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]+\s?(?:[\[({]\s?at\s?[\])}]|\bat\b|@)\s?[A-Za-z0-9-]+"
-                         r"(?:\s?(?:[\[({]\s?dot\s?[\])}]|\bdot\b|\.)\s?[A-Za-z0-9-]+)+", re.I), re.compile(r"\bdot\b", re.I)),
-    ("ip", re.compile(r"[0-9]{1,5}(?:\s?[.:]\s?[0-9]{1,5}){3,4}"), _DIGIT),
-    ("card", re.compile(r"[0-9](?:[\x20./_-]{0,2}[0-9]){11,18}"), _DIGIT),
-    ("phone", re.compile(r"\+?\(?[0-9]{1,4}\)?(?:[\x20./()-]{1,2}[0-9]{2,4}){2,5}"), _DIGIT),
+    ("ip", re.compile(r"[0-9]{1,5}(?:\s?[.:]\s?[0-9]{1,5}){3,4}")),
+    ("card", re.compile(r"[0-9](?:[\x20./_-]{0,2}[0-9]){11,18}")),
+    ("phone", re.compile(r"\+?\(?[0-9]{1,4}\)?(?:[\x20./()-]{1,2}[0-9]{2,4}){2,5}")),
 )
 # fixed values: words that announce a kind, looked for shortly before a span
 _CONTEXT = ("mail", "contact", "ip", "host", "card", "visa", "phone", "tel", "call", "fax", "version", "date", "id")
@@ -82,20 +84,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Wider candidates that overlap no base span of their kind."""
-    out = []
-    for kind, pattern, needs in _WIDE:
-        if not needs.search(text):
+def loose_emails(text: str) -> list[tuple[int, int]]:
+    """The spans of _EMAIL, looked for from each sign or word "at": a match starts
+    where the run of local characters before it starts."""
+    out, last, tried = [], 0, -1
+    for m in _AT.finditer(text):
+        if m.start() < last:
             continue
-        taken = [(a, b) for k, a, b in base if k == kind]
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if all(b <= x or y <= a for x, y in taken):
-                out.append((kind, a, b))
+        start = end = _LEAD.search(text, max(last, m.start() - 3), m.start()).start()
+        while start > last and start != tried and _LOCAL.match(text, start - 1):
+            start -= 1
+        if start == end:
+            continue
+        # a run that an earlier sign was in has been tried from its start
+        found, tried = None if start == tried else _EMAIL.match(text, start), end - 1
+        if found:
+            out.append(found.span())
+            last = found.end()
     return out
 
 
+def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Wider candidates that overlap no base span of their kind."""
+    found = [("email", a, b) for a, b in loose_emails(text)]
+    if _DIGIT.search(text):
+        found += [(kind, *m.span()) for kind, pattern in _WIDE for m in pattern.finditer(text)]
+    taken = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
+    return [(kind, a, b) for kind, a, b in found if all(b <= x or y <= a for x, y in taken[kind])]
+
+
 def features(text: str, kind: str, a: int, b: int) -> list[float]:
     span, before = text[a:b], text[max(0, a - 24):a].lower()
     d = _digits(span)
@@ -106,6 +123,7 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
     return [KINDS.index(kind), len(d), letters, b - a, len(runs), max(runs, default=0), min(runs, default=0), float(luhn(d)) if d else 0.0,
             max(values, default=0), float(span.startswith("+")), sum(c in "()" for c in span), span.count("."), span.count("-") + span.count("/"),
             span.count(" "), float("@" in span), float(" at " in span.lower() or "at]" in span.lower() or "at)" in span.lower()),
+            sum(c in "[({" for c in span), float(". " in span or ".\n" in span),
             float(prev.isalnum()), float(after.isalnum()), float(prev in tuple("=\"'#:")), *(float(w in before) for w in _CONTEXT)]
 
 
@@ -114,7 +132,9 @@ def _variants(span: str, kind: str, rng: random.Random) -> list[tuple[str, int]]
     d = _digits(span)
     if kind == "email":
         user, host = span.rsplit("@", 1)
-        return [(f"{user} (at) {host.replace('.', ' (dot) ')}", 1), (f"{user} [at] {host.replace('.', ' [dot] ')}", 1), (f"{user} at the dot {host.split('.')[0]}", 0)]
+        return [(f"{user} (at) {host.replace('.', ' (dot) ')}", 1), (f"{user} [at] {host.replace('.', ' [dot] ')}", 1),
+                (f"{user} (at) {host}", 1), (f"{user} [at] {host}", 1), (f"{user} @ {host}", 1),
+                (f"{user} at the dot {host.split('.')[0]}", 0), (f"{user} at {host.replace('.', '. ')}", 0)]
     if kind == "ip":
         parts = span.split(".")
         return [(" . ".join(parts), 1), (".".join(str(int(p[-3:]) + 256) for p in parts), 0), (".".join(str(rng.randrange(10)) for _ in parts), 0)]
