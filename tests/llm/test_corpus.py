@@ -309,6 +309,29 @@ def test_loose_emails_need_no_other_word(spark):  # noqa: F811
     assert not any(out[i] for i, t in rows if t.startswith("we met"))
 
 
+def test_common_loose_formats_are_found(spark):  # noqa: F811
+    r = random.Random(14)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    octets = lambda by: by.join(str(r.randrange(10, 256)) for _ in range(4))
+    rows, loose = [], {}
+    for i in range(600):
+        name, host = f"{r.choice(['jane', 'john.smith', 'info'])}{r.choice(['', i])}", f"{r.choice(['company', f'h{i}', 'mail.host'])}.com"
+        if i % 3:
+            rows.append((i, r.choice([f"mail me at {name}@{host} now", f"host {octets('.')} up", f"call +1 ({digits(3)}) 555-{digits(4)} soon",
+                                      f"paid with 4111111111111111 and order {digits(16)}", f"we met at noon. Then {i} came", f"on 2024-0{i % 9 + 1}-12 version 1.2.{i}.999"])))
+        else:
+            kind, t, span = r.choice([("email", "mail me at # now", f"{name} (at) {host.replace('.', ' (dot) ')}"), ("email", "mail me at # now", f"{name} [at] {host}"),
+                                      ("ip", "host # up", octets(" . ")), ("card", "paid with # and left", "4111/1111/1111/1111"), ("phone", "call # soon", f"({r.randrange(200, 999)}) 555-{digits(4)}")])
+            loose[i] = (kind, span)
+            rows.append((i, t.replace("#", span)))
+    text = dict(rows)
+    out = {x.id: x.spans for x in pii.find_pii(frame(spark, rows)).collect()}
+    hit = collections.Counter(k for i, (k, span) in loose.items() if (k, span) in [(s.kind, text[i][s.start:s.end]) for s in out[i]])
+    every = collections.Counter(k for k, _ in loose.values())
+    assert all(hit[k] >= 0.95 * n for k, n in every.items()), (hit, every)
+    assert not any(out[i] for i, t in rows if t.startswith(("we met", "on 20")))
+
+
 def test_top_k_matches_brute_force(spark):  # noqa: F811
     r = np.random.default_rng(1)
     x = np.floor(np.concatenate([r.normal(size=(150, 8)) * 60, r.normal(size=(150, 8)) * 5 + 100, np.repeat(r.normal(size=(1, 8)) * 50, 60, axis=0)]))

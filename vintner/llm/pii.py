@@ -9,7 +9,7 @@ point positions, end exclusive.
 The trees are fitted on the driver on candidates from a bounded sample of the
 documents (``sample_docs``, by hash of the id): matches of the base patterns and
 loosened copies of them are positive; candidates that fail their checks, and
-corrupted copies, are negative.
+corrupted copies, are negative. Other candidates of the documents have no label.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]", re.I)
 _AT = re.compile(r"[@Aa](?:(?<=@)|(?<=\b[Aa])[Tt]\b)")    # in every match of _EMAIL
 _LEAD = re.compile(r"\s?(?:[\[({]\s?)?\Z")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:[\[({]\s?at\s?[\])}]|\bat\b|@)\s?[A-Za-z0-9-]+"
-                    r"(?:\s?(?:[\[({]\s?dot\s?[\])}]|\bdot\b|\.)\s?[A-Za-z0-9-]+)+", re.I)
+_EMAIL, _SIGNED = (re.compile(r"[A-Za-z0-9._%+-]+\s?(?:[\[({]\s?at\s?[\])}]|" + word + r"@)\s?[A-Za-z0-9-]+"
+                              r"(?:\s?(?:[\[({]\s?dot\s?[\])}]|\bdot\b|\.)\s?[A-Za-z0-9-]+)+", re.I) for word in (r"\bat\b|", ""))
 _DIGIT = re.compile(r"[0-9]")
 
 _WIDE = (
@@ -84,8 +84,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def loose_emails(text: str) -> list[tuple[int, int]]:
-    """The spans of _EMAIL, looked for from each sign or word "at": a match starts
+def loose_emails(text: str, pattern: re.Pattern = _EMAIL) -> list[tuple[int, int]]:
+    """The spans of the pattern, looked for from each sign or word "at": a match starts
     where the run of local characters before it starts."""
     out, last, tried = [], 0, -1
     for m in _AT.finditer(text):
@@ -97,7 +97,7 @@ def loose_emails(text: str) -> list[tuple[int, int]]:
         if start == end:
             continue
         # a run that an earlier sign was in has been tried from its start
-        found, tried = None if start == tried else _EMAIL.match(text, start), end - 1
+        found, tried = None if start == tried else pattern.match(text, start), end - 1
         if found:
             out.append(found.span())
             last = found.end()
@@ -106,7 +106,10 @@ def loose_emails(text: str) -> list[tuple[int, int]]:
 
 def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Wider candidates that overlap no base span of their kind."""
-    found = [("email", a, b) for a, b in loose_emails(text)]
+    mails = loose_emails(text)
+    if mails:  # "me at jane.doe (at) example.org": the plain word may take the name
+        mails = sorted({*mails, *loose_emails(text, _SIGNED)})
+    found = [("email", a, b) for a, b in mails]
     if _DIGIT.search(text):
         found += [(kind, *m.span()) for kind, pattern in _WIDE for m in pattern.finditer(text)]
     taken = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
@@ -127,6 +130,29 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
             float(prev.isalnum()), float(after.isalnum()), float(prev in tuple("=\"'#:")), *(float(w in before) for w in _CONTEXT)]
 
 
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![0-9])|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}(?![0-9])")
+_PROSE = re.compile(r"\s?\bat\b[^@\[({]*?\.\s", re.I)
+_TOP = re.compile(r"[A-Za-z]{2,}\Z")
+
+
+def fails(text: str, kind: str, a: int, b: int, base: list[tuple[str, int, int]]) -> bool:
+    """Whether a wide candidate can't be of its kind: a wrong number of digits, a
+    wrong check digit, an octet over 255, a date, no top-level name, the end of a
+    sentence after the word "at", or part of a base span of another kind."""
+    span = text[a:b]
+    d = _digits(span)
+    if any(k != kind and x < b and a < y for k, x, y in base):
+        return True
+    if kind == "email":
+        return not _TOP.search(span) or "@" not in span and bool(_PROSE.search(span))
+    if kind == "ip":
+        parts = re.split(r"\s?[.:]\s?", span)
+        return span.count(":") > len(parts) - 4 or any(int(v) > 255 for v in parts[:4])
+    if kind == "card":
+        return not 13 <= len(d) <= 19 or not luhn(d)
+    return not 9 <= len(d) <= 15 or bool(_DATE.match(span))
+
+
 def _variants(span: str, kind: str, rng: random.Random) -> list[tuple[str, int]]:
     """Loosened (1) and corrupted (0) copies of a base match."""
     d = _digits(span)
@@ -221,7 +247,7 @@ class Detector:
         bases = [base_spans(t) for t in texts]
         out = [[(k, a, b, True) for k, a, b in base] for base in bases]
         if self.model:
-            wide = [(i, *c) for i, t in enumerate(texts) for c in proposals(t, bases[i])]
+            wide = [(i, *c) for i, t in enumerate(texts) for c in proposals(t, bases[i]) if not fails(t, *c, bases[i])]
             if wide:
                 p = self.model.score(np.array([features(texts[i], k, a, b) for i, k, a, b in wide], float))
                 for (i, k, a, b), q in zip(wide, p.tolist()):
@@ -251,7 +277,8 @@ def fit_detector(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     for s, good in _variants(t[a:b], k, rng):
                         x.append(features(t[:a] + s + t[b:], k, a, a + len(s))), y.append(good)
                 for k, a, b in proposals(t, base):
-                    x.append(features(t, k, a, b)), y.append(0)
+                    if fails(t, k, a, b, base):
+                        x.append(features(t, k, a, b)), y.append(0)
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64()), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
     got = keep.mapInArrow(examples, "y long, x array<double>").orderBy(F.xxhash64("x", "y"), "y").limit(sample_spans).collect()
