@@ -256,6 +256,23 @@ def test_quality_of_odd_rows(spark):  # noqa: F811
     assert quality.classify(docs.limit(0), none).count() == 0
 
 
+def test_quality_of_a_rare_language(spark):  # noqa: F811
+    r = random.Random(21)
+    docs, labels = [], []
+    for i in range(6000):
+        lang, toxic = "rr" if i % 300 < 2 else "en", int(i % 3 == 0)
+        words = [r.choice(WORDS) for _ in range(r.randint(15, 40))] + ([f"bad{lang}"] if toxic else [])
+        docs.append((i, " ".join(r.sample(words, len(words))), f"s{i % 4}", lang))
+        labels.append((i, 1, toxic))
+    held = range(0, 6000, 1500)  # 4 of the 20 toxic documents of the rare language; 16 of 1,996 are fitted
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    fit = spark.createDataFrame([x for x in labels if x[0] not in held], "doc_id long, quality int, toxic int")
+    evidence = quality.fit_evidence(docs, fit)
+    lo = {x.doc_id: x.lo_toxic for x in quality.evidence_of(docs, evidence).collect()}
+    assert all(lo[i] >= 3 for i in held)
+    assert sum(lo[i] < 3 for i in range(6000) if i % 3) >= 0.99 * 4000
+
+
 def test_base_spans_match_the_patterns():
     r = random.Random(2)
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

@@ -107,13 +107,13 @@ def _least_shingles(texts: pa.Array, keys: int = 3) -> np.ndarray:
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, least_g: float = 30.0,
-                 least_odds: float = 3.0, least_share: float = 0.01, most_terms: int = 20_000) -> Evidence:
+                 least_odds: float = 3.0, least_docs: int = 3, most_terms: int = 20_000) -> Evidence:
     """Fit on about ``fit_rows`` labelled documents (all, if fewer), chosen by
     hash of the id; of near copies among them one counts. A word or beginning
     counts as evidence if its log odds reach ``least_odds`` and the likelihood
-    ratio statistic of its counts ``least_g``, and it is in ``least_share`` of the
-    bad documents; at most ``most_terms`` do. A shape
-    bucket needs the latter and odds of 1."""
+    ratio statistic of its counts ``least_g``, and it is in ``least_docs`` bad
+    documents; at most ``most_terms`` do. A shape
+    bucket needs ``least_g`` and odds of 1."""
     labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL") \
         .groupBy("doc_id").agg((1 - F.min("quality")).alias("junk"), F.max("toxic").alias("toxic"))
     n = labels.count()
@@ -169,7 +169,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lea
         odds = F.log((a + 0.5) / (bad + 1.0)) - F.log((b + 0.5) / (good + 1.0))
         counts = counts.withColumns({f"lo_{t}": odds, f"g_{t}": g if bad else F.lit(0.0)})
     is_shape = F.col("term").startswith(_SHAPE)
-    strong = {t: (F.col(f"g_{t}") >= least_g) & (F.col(f"lo_{t}") >= least_odds) & (F.col(t) >= max(3, least_share * whole[t])) for t in TARGETS}
+    strong = {t: (F.col(f"g_{t}") >= least_g) & (F.col(f"lo_{t}") >= least_odds) & (F.col(t) >= least_docs) for t in TARGETS}
     words = counts.where(~is_shape & (strong["junk"] | strong["toxic"])).withColumns({f"is_{t}": strong[t] for t in TARGETS}) \
         .orderBy(F.greatest("g_junk", "g_toxic").desc(), "term").limit(most_terms).collect()
     shapes = counts.where(is_shape & (F.col("term") != _SHAPE)).collect()  # bounded by the buckets
