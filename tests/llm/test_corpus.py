@@ -237,6 +237,31 @@ def test_roles_of_odd_rows(spark):  # noqa: F811
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_role_counts_are_those_of_the_whole_table(spark, monkeypatch):  # noqa: F811
+    r = random.Random(31)
+    rows = [(None if i % 3 == 0 else i // 30, i, r.choice(["user", "bot", "system", None]), f"t{i}") for i in range(300)]
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    want, prev = np.zeros((3, 4)), (object(), None)
+    for conv, _, role, _ in order:
+        m = None if role is None else chat.ALIASES[role]
+        if m is not None and prev[0] != conv:
+            want[m, 0] += 1
+        elif m is not None and prev[1] is not None:
+            want[prev[1], 1 + m] += 1
+        prev = (conv, m)
+    got = []
+    monkeypatch.setattr(chat, "RoleModel", lambda start, step, features, real=chat.RoleModel: got.append(np.column_stack([start, step])) or real(start, step, features))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size, turns in (("10000", 20_000), ("7", 20_000), ("7", 23)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert chat.format_chats(df, partition_turns=turns).count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert len(got) == 3 and all((g == want).all() for g in got)
+
+
 def test_quality_held_out(spark):  # noqa: F811
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     fit = labels.where("pmod(xxhash64(doc_id, 3), 4) > 0")

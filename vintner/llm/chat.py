@@ -97,28 +97,64 @@ class RoleModel:
 
 def fit_roles(turns: DataFrame) -> RoleModel:
     """Counts over all turns with a marker; transitions between neighbouring
-    turns of a partition that both have one. The result has a fixed size."""
+    turns of a conversation that both have one. ``place`` numbers the turns of a
+    partition without gaps. Turns read in one go form a run; the driver counts
+    between the end of each run and the start of the next (two rows a run)."""
     n, k = len(ROLES), _LENGTHS + _LINES + 4
 
     def count(batches):
-        total = np.zeros((n, 1 + n + k), np.int64)
+        total, last, runs = np.zeros((n, 1 + n + k), np.int64), None, []
         for b in batches:
-            total_rows = _observed(b)
-            mark, length, lines, flags = total_rows[:4]
-            conv = b.column(b.schema.get_field_index("conv")).to_numpy(zero_copy_only=False)
-            has = mark >= 0
-            first = np.concatenate([[True], conv[1:] != conv[:-1]])[:len(conv)]
-            np.add.at(total, (mark[has & first], 0), 1)
-            both = np.flatnonzero(~first & has & np.concatenate([[False], has[:-1]])[:len(has)])
+            if not b.num_rows:
+                continue
+            mark, length, lines, flags, _ = _observed(b)
+            ids = b.column(b.schema.get_field_index("conv"))
+            conv, null = np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null())
+            place = np.asarray(b.column(b.schema.get_field_index("place")), np.int64)
+
+            def turn(r):
+                return int(place[r]), None if null[r] else int(conv[r]), int(mark[r])
+
+            has, joined = mark >= 0, np.diff(place) == 1
+            same = joined & (conv[1:] == conv[:-1]) & (null[1:] == null[:-1])
+            first = 1 + np.flatnonzero(joined & ~same & has[1:])
+            np.add.at(total, (mark[first], 0), 1)
+            both = 1 + np.flatnonzero(same & has[1:] & has[:-1])
             np.add.at(total, (mark[both - 1], 1 + mark[both]), 1)
             for off, f in ((1 + n, length), (1 + n + _LENGTHS, lines), (1 + n + _LENGTHS + _LINES, flags)):
                 np.add.at(total, (mark[has], off + f[has]), 1)
+            head = turn(0)
+            if last and last[0] + 1 == head[0]:
+                between(total, last, head)
+            else:
+                runs += [*([(-2, *last)] if last else []), (-1, *head)]
+            for r in np.flatnonzero(~joined).tolist():
+                runs += [(-2, *turn(r)), (-1, *turn(r + 1))]
+            last = turn(len(place) - 1)
+        if last:
+            runs.append((-2, *last))
         i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "n"])
-
-    out = np.zeros((n, 1 + n + k))
-    for r in turns.mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
-        out[r["i"], r["j"]] = r["n"]
+        none = [None] * len(i)
+        yield pa.RecordBatch.from_arrays([pa.array([*i.tolist(), *(r[0] for r in runs)], pa.int64()), pa.array([*j.tolist(), *(r[3] for r in runs)], pa.int64()),
+                                          pa.array([*none, *(r[1] for r in runs)], pa.int64()), pa.array([*none, *(r[2] for r in runs)], pa.int64()),
+                                          pa.array([*total[i, j].tolist(), *(1 for _ in runs)], pa.int64())], ["i", "j", "place", "conv", "n"])
+
+    def between(total, before, after):
+        """Counts the later of two neighbouring turns (place, conv, mark)."""
+        if after[2] >= 0 and before[1] != after[1]:
+            total[after[2], 0] += 1
+        elif after[2] >= 0 and before[2] >= 0:
+            total[before[2], 1 + after[2]] += 1
+
+    out, heads, tails = np.zeros((n, 1 + n + k)), [], []
+    for r in turns.mapInArrow(count, "i long, j long, place long, conv long, n long").groupBy("i", "j", "place", "conv").agg(F.sum("n").alias("n")).collect():
+        if r["i"] < 0:
+            (heads if r["i"] == -1 else tails).append((r["place"], r["conv"], r["j"]))
+        else:
+            out[r["i"], r["j"]] = r["n"]
+    heads, tails = (sorted(x, key=lambda t: t[0]) for x in (heads, tails))
+    for before, after in zip([(-1, object(), -1), *tails], heads):
+        between(out, before, after)
     return RoleModel(out[:, 0], out[:, 1:1 + n], np.split(out[:, 1 + n:], [_LENGTHS, _LENGTHS + _LINES], axis=1))
 
 
