@@ -98,6 +98,13 @@ def test_jaccard_groups_match_brute_force(spark, sizes, width, percent):  # noqa
         == brute_components(rows, width, percent)
 
 
+def test_keep_first_keeps_repeated_rows(spark):  # noqa: F811
+    t = " ".join(WORDS[:40])
+    rows = [(1, t), (1, t), (2, t), (3, t + " end"), (4, "other text"), (None, t), (None, t)]
+    kept = jaccard_join.keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [rows[0], rows[1], rows[4], rows[5], rows[6]]))
+
+
 def test_jaccard_of_an_empty_table(spark):  # noqa: F811
     assert jaccard_join.jaccard_groups(frame(spark, [])).count() == 0
 

@@ -383,8 +383,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near copies (five-word shingles,
-    Jaccard >= 0.8) the row with the smallest doc_id stays; rows that share its
-    id all stay only if they are one row."""
+    Jaccard >= 0.8) the rows with the smallest doc_id stay. Repeated rows stay:
+    all rows of that doc_id, equal or not, and every row without doc_id."""
     groups = jaccard_groups(docs).where("id = component OR id IS NULL").select("id").distinct()
     kept = docs.join(groups.where("id IS NOT NULL").withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
