@@ -28,6 +28,18 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores appended until no column is called so
+    (in any case): helper columns that clash with nothing."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words_of(text: str | None) -> list[bytes]:
     r"""The words ``[^\x20\x09-\x0D]+`` of a text (bytes.split cuts at exactly
     these six characters)."""
@@ -141,7 +153,8 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
     Alternating large-star and small-star steps; each round is written to the
     shared checkpoint folder, so the lineage stays short and a lost executor
     costs one round. A hub's rows are joined, not collected, so adaptive skew
-    joins can split them.
+    joins can split them. The number of rounds grows with the logarithm of the
+    longest path; more than ``rounds`` raise an error, nothing is dropped.
     """
     cur = materialize(edges.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), name)
 

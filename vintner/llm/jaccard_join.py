@@ -387,7 +387,7 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     all rows of that doc_id, equal or not, and every row without doc_id."""
     groups = jaccard_groups(docs).where("id = component OR id IS NULL").select("id").distinct()
     kept = docs.join(groups.where("id IS NOT NULL").withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    return kept.select(*map(quoted, docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 ORACLE = r"""

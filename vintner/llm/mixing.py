@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vintner.session import materialize
 
-from .common import quoted, read
+from .common import fresh_names, quoted, read
 
 # base weights of the sources in code point order, repeating
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -149,15 +149,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as many times as the mix takes it, with
-    the columns it came with. Documents are matched by two hashes of their id,
-    source and text; equal rows share their copies out by number."""
+    the columns it came with (any others may be there, under any name).
+    Documents are matched by two hashes of their id, source and text; equal rows
+    share their copies out by number. Null and empty texts have size 0 and stay
+    once; a null source is a source of its own, last in order; an empty table
+    stays empty; the texts' length only enters as the number of words."""
     key = [quoted(c) for c in ("doc_id", "source", "text")]
-    keyed = docs.withColumns({"k1_": F.xxhash64(*key), "k2_": F.xxhash64(F.lit(1), *key)})
-    sizes = keyed.select(F.col("source").alias("src"), word_count(F.col("text")).alias("size"), F.col("k1_").alias("k1"), F.col("k2_").alias("k2"))
-    copies = mix_copies(sizes).groupBy("k1", "k2").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    number = F.row_number().over(Window.partitionBy("k1_", "k2_").orderBy("k1_"))
-    each = F.floor(F.col("copies") / F.col("rows")) + (F.col("number_") <= F.col("copies") % F.col("rows")).cast("long")
-    return keyed.withColumn("number_", number) \
-        .join(copies, (F.col("k1_") == F.col("k1")) & (F.col("k2_") == F.col("k2"))) \
-        .withColumn("each_", each).where("each_ > 0") \
-        .withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("each_")))).select(*map(quoted, docs.columns))
+    a, b, number, one, two, copies, rows, each, copy = fresh_names(docs.columns, "k1", "k2", "number", "one", "two", "copies", "rows", "each", "copy")
+    keyed = docs.withColumns({a: F.xxhash64(*key), b: F.xxhash64(F.lit(1), *key)})
+    sizes = keyed.select(quoted("source").alias("src"), word_count(quoted("text")).alias("size"), F.col(a).alias("k1"), F.col(b).alias("k2"))
+    taken = mix_copies(sizes).groupBy(F.col("k1").alias(one), F.col("k2").alias(two)) \
+        .agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    place = F.row_number().over(Window.partitionBy(a, b).orderBy(a))
+    share = F.floor(F.col(copies) / F.col(rows)) + (F.col(number) <= F.col(copies) % F.col(rows)).cast("long")
+    return keyed.withColumn(number, place) \
+        .join(taken, (F.col(a) == F.col(one)) & (F.col(b) == F.col(two))) \
+        .withColumn(each, share).where(F.col(each) > 0) \
+        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(each)))).select(*map(quoted, docs.columns))

@@ -320,23 +320,29 @@ def redact(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 
 
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the same rows with found spans replaced by [EMAIL], [IP],
-    [CARD], [PHONE], and n_chars of the new text."""
+    """Pipeline stage: the same rows and columns (any others may be there, under
+    any name) with found spans replaced by [EMAIL], [IP], [CARD], [PHONE], and
+    n_chars of the new text. A null text stays null; repeated rows all stay;
+    very long texts are searched whole; an empty table stays empty."""
     detector = fit_detector(docs)
+    columns = docs.columns
+    at = columns.index("text")
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
+            batch = pa.RecordBatch.from_arrays(batch.columns, columns)
             for a, b in text_slices(batch.column(at)):
                 part = batch.slice(a, b - a)
                 texts = part.column(at).to_pylist()
                 hits = [None if t is None else redact(t, s) if s else t for t, s in zip(texts, detector.spans([t or "" for t in texts]))]
                 yield part.set_column(at, "text", pa.array(hits, part.column(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
-    if "n_chars" not in out.columns:
+    # by place: mapInArrow takes no names with dots
+    out = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(run, docs.schema)
+    if "n_chars" not in columns:
         return out
-    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))).select(docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))) \
+        .select(*map(quoted, columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

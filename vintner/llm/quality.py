@@ -8,8 +8,8 @@ count.
 Sites: a document's host (``source``) and path (``source`` and ``lang``) have
 their own rates of bad documents. Soft counts from the evidence of all documents
 are summed per path; the host's rate is shrunk toward the global rate, the
-path's toward its host's, with prior strengths estimated from the spread of the
-rates (method of moments). Sparse sites thus stay near the global prior. The
+path's toward its host's, with a prior strength of each level estimated from the
+spread of its rates (method of moments). Sparse sites thus stay near the global prior. The
 posterior of a document joins its path's prior odds and its evidence.
 
 The evidence is fitted on a bounded sample of the labelled rows (``fit_rows``);
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vintner.session import materialize
 
-from .common import mix, quoted, read, word_codes
+from .common import fresh_names, mix, quoted, read, text_slices, word_codes
 from .jaccard_join import shingle_sets
 
 TARGETS = ("junk", "toxic")
@@ -85,6 +85,11 @@ class Evidence:
         self.weights, self.shape, self.prior = weights, shape, prior
 
     def score(self, texts: pa.Array) -> np.ndarray:
+        """(rows, 2): worked out for slices of a few MB of text at a time."""
+        parts = [self._score(texts[a:b]) for a, b in text_slices(texts)]
+        return np.concatenate(parts) if parts else np.zeros((0, 2))
+
+    def _score(self, texts: pa.Array) -> np.ndarray:
         owner, term, names, shapes = _distinct_terms(texts)
         w = np.array([self.weights.get(v, (0.0, 0.0)) for v in names] or [(0.0, 0.0)])
         hot = (w != 0).any(axis=1)[term] if len(term) else np.empty(0, bool)
@@ -107,13 +112,13 @@ def _least_shingles(texts: pa.Array, keys: int = 3) -> np.ndarray:
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, least_g: float = 30.0,
-                 least_odds: float = 3.0, least_docs: int = 3, most_terms: int = 20_000) -> Evidence:
+                 least_odds: float = 3.0, least_docs: int = 3) -> Evidence:
     """Fit on about ``fit_rows`` labelled documents (all, if fewer), chosen by
     hash of the id; of near copies among them one counts. A word or beginning
     counts as evidence if its log odds reach ``least_odds`` and the likelihood
     ratio statistic of its counts ``least_g``, and it is in ``least_docs`` bad
-    documents; at most ``most_terms`` do. A shape
-    bucket needs ``least_g`` and odds of 1."""
+    documents; how many terms do is bounded by the words of those rows alone. A
+    shape bucket needs ``least_g`` and odds of 1."""
     labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL") \
         .groupBy("doc_id").agg((1 - F.min("quality")).alias("junk"), F.max("toxic").alias("toxic"))
     n = labels.count()
@@ -122,8 +127,10 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lea
 
     def keyed(batches):
         for b in batches:
-            k = _least_shingles(b.column(1))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(k[:, j]) for j in range(3))], ["doc_id", "text", "junk", "toxic", "k0", "k1", "k2"])
+            for i, j in text_slices(b.column(1)):
+                part = b.slice(i, j - i)
+                k = _least_shingles(part.column(1))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(k[:, c]) for c in range(3))], ["doc_id", "text", "junk", "toxic", "k0", "k1", "k2"])
 
     known = materialize(known.mapInArrow(keyed, "doc_id long, text string, junk int, toxic int, k0 long, k1 long, k2 long"), "labelled")
     one = known.groupBy("k0").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("d")).select("d.*") \
@@ -131,7 +138,8 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lea
     known = known.join(one.select("doc_id"), "doc_id", "left_semi").select("text", "junk", "toxic")
 
     def terms(batches):
-        for batch in batches:
+        slices = (batch.slice(a, b - a) for batch in batches for a, b in text_slices(batch.column(0)))
+        for batch in slices:
             owner, term, names, shapes = _distinct_terms(batch.column(0))
             state = np.asarray(batch.column(1)) + 2 * np.asarray(batch.column(2))
             count = np.zeros((len(names) + 1, 4), np.int64)
@@ -171,7 +179,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lea
     is_shape = F.col("term").startswith(_SHAPE)
     strong = {t: (F.col(f"g_{t}") >= least_g) & (F.col(f"lo_{t}") >= least_odds) & (F.col(t) >= least_docs) for t in TARGETS}
     words = counts.where(~is_shape & (strong["junk"] | strong["toxic"])).withColumns({f"is_{t}": strong[t] for t in TARGETS}) \
-        .orderBy(F.greatest("g_junk", "g_toxic").desc(), "term").limit(most_terms).collect()
+        .collect()  # bounded by the words of fit_rows texts
     shapes = counts.where(is_shape & (F.col("term") != _SHAPE)).collect()  # bounded by the buckets
     weights = {r["term"]: tuple(float(r[f"lo_{t}"]) if r[f"is_{t}"] else 0.0 for t in TARGETS) for r in words}
     shape = {tuple(map(int, r["term"][1:].split(":"))): tuple(float(r[f"lo_{t}"]) if r[f"g_{t}"] >= least_g and abs(r[f"lo_{t}"]) >= 1.0 else 0.0 for t in TARGETS) for r in shapes}
@@ -195,26 +203,44 @@ def evidence_of(docs: DataFrame, evidence: Evidence) -> DataFrame:
         .mapInArrow(run, f"doc_id long, source string, lang string, {_LO}")
 
 
+def _strength(noise: float, between: float, groups: int, rows: int) -> float:
+    """Prior strength of a level by the method of moments: ``between`` is the
+    sum of squares of its rates around the level above, of which sampling noise
+    alone would give ``noise`` for each of the ``groups``."""
+    spread = max((between - noise * groups) / max(rows, 1), 1e-6)
+    return float(min(max(noise / spread - 1, 20.0), 1e4))
+
+
 def site_priors(scored: DataFrame, evidence: Evidence) -> DataFrame:
-    """(source, lang) and the prior log odds of each target at that path."""
+    """(source, lang) and the prior log odds of each target at that path. Hosts
+    shrink toward the global rate by the spread of the hosts, paths toward their
+    host by the spread of the paths within hosts. All sums are exact decimals,
+    so reruns agree to the bit."""
     def p(t):
         return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(f"lo_{t}") + evidence.prior[TARGETS.index(t)]))))
 
-    sums = [F.sum(p(t).cast("decimal(28,12)")).cast("double").alias(f"bad_{t}") for t in TARGETS]
+    exact = "decimal(38,12)"
+    sums = [F.sum(p(t).cast("decimal(28,12)")).cast(exact).alias(f"bad_{t}") for t in TARGETS]
     path = materialize(scored.groupBy("source", "lang").agg(F.count("*").alias("n"), *sums), "paths")
-    host = path.groupBy("source").agg(F.sum("n").alias("hn"), *(F.sum(f"bad_{t}").alias(f"host_{t}") for t in TARGETS))
-    one = host.agg(F.sum("hn").alias("n"), F.count("*").alias("hosts"), *(F.sum(f"host_{t}").alias(t) for t in TARGETS),
-                   *(F.sum((F.col(f"host_{t}") * F.col(f"host_{t}") / F.col("hn"))).alias(f"sq_{t}") for t in TARGETS)).first()
+    squares = {t: (F.col(f"bad_{t}").cast("double") * F.col(f"bad_{t}").cast("double") / F.col("n")).cast(exact) for t in TARGETS}
+    host = path.groupBy("source").agg(F.sum("n").alias("hn"), F.count("*").alias("paths"), *(F.sum(f"bad_{t}").alias(f"host_{t}") for t in TARGETS),
+                                      *(F.sum(squares[t]).alias(f"in_{t}") for t in TARGETS))
+    host = host.withColumns({f"host_{t}": F.col(f"host_{t}").cast("double") for t in TARGETS})
+    own = {t: (F.col(f"host_{t}") * F.col(f"host_{t}") / F.col("hn")).cast(exact) for t in TARGETS}
+    one = host.agg(F.sum("hn").alias("n"), F.count("*").alias("hosts"), F.sum("paths").alias("paths"),
+                   *(F.sum(F.col(f"host_{t}").cast(exact)).cast("double").alias(t) for t in TARGETS),
+                   *(F.sum(own[t]).cast("double").alias(f"sq_{t}") for t in TARGETS),
+                   *(F.sum(F.col(f"in_{t}")).cast("double").alias(f"in_{t}") for t in TARGETS)).first()
     total = max(one["n"] or 0, 1)
-    out = path.join(host.withColumnRenamed("source", "h"), F.col("source").eqNullSafe(F.col("h")))
+    out = path.join(host.drop("paths", *(f"in_{t}" for t in TARGETS)).withColumnRenamed("source", "h"), F.col("source").eqNullSafe(F.col("h")))
     for t in TARGETS:
         mean = min(max((one[t] or 0.0) / total, 1e-4), 1 - 1e-4)
-        # between-host variance beyond sampling noise gives the prior's strength
         noise = mean * (1 - mean)
-        spread = max(((one[f"sq_{t}"] or 0.0) / total - mean**2) - noise * (one["hosts"] or 1) / total, 1e-6)
-        strength = float(min(max(noise / spread - 1, 20.0), 1e4))
-        host_rate = (F.col(f"host_{t}") + strength * mean) / (F.col("hn") + strength)
-        rate = (F.col(f"bad_{t}") + strength * host_rate) / (F.col("n") + strength)
+        hosts, paths = one["hosts"] or 0, one["paths"] or 0
+        of_host = _strength(noise, (one[f"sq_{t}"] or 0.0) - total * mean**2, hosts, total)
+        of_path = _strength(noise, (one[f"in_{t}"] or 0.0) - (one[f"sq_{t}"] or 0.0), paths - hosts, total)
+        host_rate = (F.col(f"host_{t}") + of_host * mean) / (F.col("hn") + of_host)
+        rate = (F.col(f"bad_{t}").cast("double") + of_path * host_rate) / (F.col("n") + of_path)
         out = out.withColumn(f"prior_{t}", F.log(rate / (1 - rate)))
     return materialize(out.select("source", "lang", *(f"prior_{t}" for t in TARGETS)), "priors")
 
@@ -231,8 +257,9 @@ def _decided(scored: DataFrame, priors: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> DataFrame:
     """(doc_id, source, lang, p_junk, p_toxic, keep), one row per document.
 
-    Null and empty texts have the evidence of no words; null source and lang are
-    sites of their own; equal rows all come back. Labels without id or value are
+    Null and empty texts have the evidence of no words, very long texts that of
+    all their words; null source and lang are sites of their own; equal rows all
+    come back. Labels without id or value are
     ignored; a document labelled twice takes the worse label; without labelled
     good and bad documents everything is kept. Extra columns are ignored; an
     empty table gives an empty result.
@@ -249,20 +276,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows the classifier keeps. The evidence is taken twice,
-    for the rates and for the decision, so the texts need no shuffle."""
+    """Pipeline stage: rows the classifier keeps, with the columns they came
+    with (any others may be there, under any name). The evidence is taken twice,
+    for the rates and for the decision, so the texts need no shuffle.
+
+    Null and empty texts are judged by their site and the evidence of no words;
+    null source and lang are a site of their own; repeated rows share one
+    decision; very long texts are scored whole; an empty table stays empty.
+    """
     evidence = fit_evidence(docs, read(spark, sf_dir, "labels"))
-    priors = site_priors(materialize(evidence_of(docs, evidence), "evidence"), evidence) \
-        .toDF("s_", "l_", *(f"prior_{t}_" for t in TARGETS))
-    joined = docs.join(priors, F.col("source").eqNullSafe(F.col("s_")) & F.col("lang").eqNullSafe(F.col("l_")))
+    site, path, *odds = fresh_names(docs.columns, "site", "path", *(f"odds_{t}" for t in TARGETS))
+    priors = site_priors(materialize(evidence_of(docs, evidence), "evidence"), evidence).toDF(site, path, *odds)
+    joined = docs.join(priors, quoted("source").eqNullSafe(F.col(site)) & quoted("lang").eqNullSafe(F.col(path)))
 
     columns = docs.columns
+    text, n = columns.index("text"), len(columns)
 
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            prior = np.stack([np.asarray(batch.column(names.index(f"prior_{t}_"))) for t in TARGETS], axis=1)
-            keep = (evidence.score(batch.column(names.index("text"))) + prior < 0).all(axis=1)
-            yield batch.select(columns).filter(pa.array(keep))
+            prior = np.stack([np.asarray(c) for c in batch.columns[n:]], axis=1)
+            keep = (evidence.score(batch.column(text)) + prior < 0).all(axis=1)
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], columns).filter(pa.array(keep))
 
+    # by place: mapInArrow takes no names with dots
+    joined = joined.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate([*columns, *odds])))
     return joined.mapInArrow(run, docs.schema)
