@@ -1,7 +1,7 @@
 """The corpus queries and their DuckDB statements, by name."""
 
-from . import (chat, jaccard_join, mixing, near_vectors, pieces, pii, quality, substring_dedup,
-               token_counts, topk)
+from . import (chat, fill_middle, jaccard_join, mixing, near_vectors, phrases, pieces, pii, quality,
+               substring_dedup, token_counts, token_files, topk)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_pii": pii.query,
     "op10_near_vectors": near_vectors.query,
+    "op11_phrases": phrases.query,
+    "op12_fill_middle": fill_middle.query,
+    "op13_token_files": token_files.query,
 }
 
 ORACLES = {
@@ -21,4 +24,6 @@ ORACLES = {
     "op2_jaccard_join": jaccard_join.ORACLE,
     "op7_top_k": topk.ORACLE,
     "op10_near_vectors": near_vectors.ORACLE,
+    "op11_phrases": phrases.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
 }

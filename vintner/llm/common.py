@@ -114,6 +114,18 @@ def cuts(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
 
 
+def select_in_words(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th (from 0) one in each 64-bit word, by halving."""
+    words, k, at = words.copy(), k.astype(np.int64), np.zeros(len(k), np.int64)
+    for half in (32, 16, 8, 4, 2, 1):
+        low = words & np.uint64((1 << half) - 1)
+        here = np.bitwise_count(low).astype(np.int64)
+        up = k >= here
+        k, at = np.where(up, k - here, k), at + np.where(up, half, 0)
+        words = np.where(up, words >> np.uint64(half), low)
+    return at
+
+
 def text_slices(column: pa.Array, most_bytes: int = 4 << 20):
     """Row ranges of a text column of bounded total size (a single longer text
     stays whole): bounds what a batch holds at a time."""
