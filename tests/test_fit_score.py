@@ -186,3 +186,76 @@ def test_model_by_uri_and_missing_features(spark, tmp_dir):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),)], "a double")
     by_uri = [r["prediction"] for r in score_with_model(df, ["a"], uri, linear_loader).collect()]
     assert by_uri == [r["prediction"] for r in score(df, model).collect()] == [3.0, None, None]
+
+
+def test_active_sets_match_the_gram_route(spark):
+    from vintner.operators.fit_active import fit_elastic_net_vector
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 12)) * rng.uniform(0.5, 4, 12)
+    y = x[:, 0] * 2 - x[:, 3] + 0.2 * x[:, 7] + 5 + rng.normal(size=600)
+    x[5, 2] = np.nan
+    names = [f"f{i}" for i in range(12)]
+    wide = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], [*names, "y"])
+    vectors = spark.createDataFrame([([float(v) for v in r], float(v)) for r, v in zip(x, y)] + [(None, 1.0), ([0.5] * 12, None)], "x array<double>, y double")
+    a = fit_elastic_net(wide, names, "y", 0.3, 0.5)
+    for grow in (1, 512):
+        b = fit_elastic_net_vector(vectors.repartition(5), "x", "y", names, 0.3, 0.5, grow=grow)
+        assert np.allclose(a.coefficients, b.coefficients, atol=1e-8) and abs(a.intercept - b.intercept) < 1e-8
+        assert b.n_rows == 599 and b.extra["dropped_rows"] == 3 and b.extra["active"] < 12
+    with pytest.raises(ValueError):
+        fit_elastic_net_vector(vectors, "x", "y", names, 0.3, 0.0)
+    with pytest.raises(Exception, match="features, expected 13"):
+        fit_elastic_net_vector(vectors, "x", "y", [*names, "more"])
+    with pytest.raises(ValueError, match="no complete rows"):
+        fit_elastic_net_vector(vectors.limit(0), "x", "y", names)
+
+
+def test_twenty_thousand_features(spark):
+    """No p x p matrix: 20,000 features would need 3.2 GB for one."""
+    import resource
+    from vintner.operators.fit_active import fit_elastic_net_vector
+    p, n = 20_000, 400
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    base = spark.range(n, numPartitions=8)
+    x = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: (F.pmod(F.xxhash64(F.col("id"), j), F.lit(2001)) - 1000) / 1000.0)
+    rows = base.select(x.alias("x")).withColumn("y", 4 * F.col("x")[17] - 3 * F.col("x")[19_998] + 1)
+    m = fit_elastic_net_vector(rows, "x", "y", [f"f{i}" for i in range(p)], 0.2, 0.9)
+    on = [i for i, w in enumerate(m.coefficients) if w]
+    assert {17, 19_998} <= set(on) and m.extra["active"] < 1000
+    assert m.coefficients[17] > 2 and m.coefficients[19_998] < -1.5
+    data = np.array(rows.select("x").collect(), dtype=float).reshape(n, p)
+    y = np.array([r.y for r in rows.select("y").collect()])
+    z = data - data.mean(axis=0)
+    g = z.T @ ((y - y.mean()) - z @ np.array(m.coefficients)) / n
+    w = np.array(m.coefficients)
+    assert np.abs(g[w == 0]).max() <= 0.18 + 1e-6                           # the conditions of the optimum
+    assert np.allclose(g[w != 0], 0.18 * np.sign(w[w != 0]) + 0.02 * w[w != 0], atol=1e-6)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # KB: less than 1 GB
+
+
+def test_pipelines_are_scored_by_uri(spark, tmp_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+    from vintner.operators.score import score_pipeline
+    df = spark.createDataFrame([(float(i), float(i % 7), "ab"[i % 2], 2.0 * i - i % 7, i % 2) for i in range(80)], "a double, `b.c` double, kind string, y double, flag int")
+    ready = df.withColumnRenamed("b.c", "b")
+    pipe = Pipeline(stages=[StringIndexer(inputCol="kind", outputCol="k"), VectorAssembler(inputCols=["a", "b", "k"], outputCol="raw"),
+                            StandardScaler(inputCol="raw", outputCol="features"), LinearRegression(labelCol="y")])
+    pipe.fit(ready).write().save(tmp_dir + "/pipe")
+    clash = ready.withColumns({"prediction": F.lit("mine"), "raw": F.lit(1), "features": F.lit("text"), "x.y": F.lit(2)})
+    out = score_pipeline(clash, tmp_dir + "/pipe", output="scored")
+    assert out.columns == ["scored", *clash.columns]
+    assert all(abs(r.scored - r.y) < 1e-6 and r.prediction == "mine" and r.raw == 1 and r.features == "text" for r in out.collect())
+    # bare models and nested pipelines; the vector comes from named columns
+    tree = DecisionTreeRegressor(labelCol="y").fit(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(ready))
+    tree.write().save(tmp_dir + "/tree")
+    assert score_pipeline(df, tmp_dir + "/tree", ["a", "b.c"]).count() == 80
+    nested = Pipeline(stages=[Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="v")]), LogisticRegression(featuresCol="v", labelCol="flag")])
+    nested.fit(ready).write().save(tmp_dir + "/nested")
+    assert {r[0] for r in score_pipeline(ready.drop("flag"), tmp_dir + "/nested").select("prediction").distinct().collect()} <= {0.0, 1.0}
+    with pytest.raises(ValueError, match="input lacks columns"):
+        score_pipeline(ready.drop("kind"), tmp_dir + "/pipe")
+    with pytest.raises(ValueError, match="input lacks model features"):
+        score_pipeline(ready, tmp_dir + "/tree", ["a", "missing"])

@@ -53,3 +53,31 @@ def test_metrics_use_complete_pairs(spark):
                                "label double, prediction double")
     r = regression_metrics(df, "label").first()
     assert r.n == 2 and r.mae == pytest.approx(0.75)
+
+
+def test_frame_difference_matches_plain_counts(spark):
+    import collections
+    import random
+    r = random.Random(5)
+    for n in (0, 1, 50, 3000):
+        a = [(r.choice([None, 1, 2, 3]), r.choice(["x", None, "y"]), r.choice([0.5, float("nan"), None])) for _ in range(n)]
+        b = list(a)
+        r.shuffle(b)
+        for _ in range(r.choice([0, 3])):
+            b = b[1:] + [(9, "z", 1.5)]
+        def count(rows):
+            return collections.Counter(tuple("nan" if v != v else v for v in x) for x in rows)
+        left, right = (spark.createDataFrame(x, "k int, t string, v double") for x in (a, b))
+        got = frame_difference(left.repartition(5), right.select("v", "k", "t").repartition(3)).first()
+        assert tuple(got) == ((count(a) - count(b)).total(), (count(b) - count(a)).total())
+
+
+def test_equal_frames_shuffle_no_row(spark):
+    """Only the fingerprints (a bucket, two sums, a count) and the rows of
+    differing buckets pass an exchange; here no bucket differs."""
+    from pyspark.sql import functions as F
+    a = spark.range(20_000).select((F.col("id") % 5000).alias("k"), F.lit("a long text " * 5).alias("t"))
+    per_row = frame_difference(a, a.select("t", "k").repartition(7))
+    assert tuple(per_row.first()) == (0, 0)
+    from test_plan_shapes import plan
+    assert "LeftSemi" in plan(per_row)

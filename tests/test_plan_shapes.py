@@ -64,4 +64,4 @@ def test_cleaning_is_one_projection(plans):
 
 def test_aggregates_are_partial(plans):
     assert "partial_" in plans["eval_metrics"]
-    assert "partial_max_by" in plans["run_outcomes"] and exchanges(plans["run_outcomes"]) == 1
+    assert "partial_max(" in plans["run_outcomes"] and "SortAggregate" not in plans["run_outcomes"]

@@ -112,3 +112,45 @@ def test_row_key_tells_microseconds_apart_in_any_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert keys[0] == keys[1] and len({k.split(":")[0] for k in keys[0]}) == 2
+
+
+def content_brute(rows, fraction, seed, columns):
+    import json
+    key = lambda r: hashlib.md5(f"{seed}:".encode() + hashlib.sha256(json.dumps(
+        {c: v for c, v in zip(columns, r) if v is not None}, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest().encode()).hexdigest()
+    ordered = sorted(rows, key=key)
+    return sorted(map(repr, ordered[:math.ceil(fraction * len(rows))]))
+
+
+@pytest.mark.parametrize("fraction", [0.0, 0.25, 0.5, 1.0])
+@pytest.mark.parametrize("kind", ["unique", "hot", "one", "null"])
+def test_content_split_takes_the_promised_rows(spark, fraction, kind):
+    from vintner.operators.split import content_split, content_train_test
+    rows = {"unique": [(i, f"t{i}") for i in range(997)],
+            "hot": [(1, "copy")] * 400 + [(2, "pair"), (2, "pair")] + [(i, "x") for i in range(10, 200)],
+            "one": [(7, "same")] * 101, "null": [(None, None)] * 50 + [(1, None)] * 7 + [(None, "é")] * 3}[kind]
+    df = spark.createDataFrame(rows, "a int, b string").withColumnRenamed("b", "b.c").repartition(6)
+    out = content_split(df, fraction, 40).collect()
+    assert sorted(repr(tuple(r)[:2]) for r in out) == sorted(map(repr, rows))
+    assert sorted(repr(tuple(r)[:2]) for r in out if r.is_test) == content_brute(rows, fraction, 40, ["a", "b.c"])
+    train, test = content_train_test(df, fraction, 40)
+    assert (train.count(), test.count()) == (len(rows) - math.ceil(fraction * len(rows)), math.ceil(fraction * len(rows)))
+    assert train.columns == df.columns
+
+
+def test_content_split_levels_and_empty_table(spark):
+    from vintner.operators.split import content_split, content_threshold
+    df = spark.range(3000).select((F.col("id") % 700).alias("k"))
+    assert content_threshold(df, exact_limit=1) == content_threshold(df)  # refines several levels
+    assert content_split(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        content_split(df, 1.5)
+
+
+def test_content_split_does_not_shuffle_rows(spark):
+    from test_plan_shapes import exchanges, plan
+    from vintner.operators.split import content_split
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    assert exchanges(plan(content_split(rows.select("l_orderkey", "l_linenumber")))) == 0  # no copies: a predicate
+    few = plan(content_split(rows.select("l_returnflag")))  # copies: only theirs, and counts per task
+    assert "repartition" not in few.lower() and "rangepartitioning" not in few

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vintner.functions.names import col_of
 from vintner.functions.payload import model_uri
+from vintner.operators.lastrow import last_rows
 from vintner.operators.ranking import sequence_within_groups
 
 NO_STAGE = "None"
@@ -39,9 +40,8 @@ def transition_stages(registry: DataFrame, changes: DataFrame) -> DataFrame:
     last change by ``ts`` wins, of equal ones the largest stage name. Other
     versions keep their stage (nothing is archived). ``(name, version)`` is
     unique, so the join has no hot key; a null name is a name like any other."""
-    last = (changes.groupBy("name", "version")
-            .agg(F.max_by("stage", F.struct("ts", "stage")).alias("_new_stage"))
-            .withColumnsRenamed({"name": "_name", "version": "_version"}))
+    last = last_rows(changes.select("name", "version", "ts", "stage"), ["name", "version"], ["ts"]) \
+        .select(F.col("name").alias("_name"), F.col("version").alias("_version"), F.col("stage").alias("_new_stage"))
     same = F.col("name").eqNullSafe(F.col("_name")) & F.col("version").eqNullSafe(F.col("_version"))
     return (registry.join(last, same, "left")
             .select("name", "version", F.coalesce("_new_stage", "stage").alias("stage"),
@@ -49,15 +49,13 @@ def transition_stages(registry: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def latest_in_stage(registry: DataFrame, stage: str, name: str | None = None) -> DataFrame:
-    """R3 + F1: per model name, the highest version in ``stage``. ``max_by`` is
-    a partial aggregate, so a name with millions of versions is cheap."""
+    """R3 + F1: per model name, the highest version in ``stage``. A hash
+    aggregate finds the version; run id and time are fetched for it alone."""
     rows = registry.where(F.col("stage") == stage)
     if name is not None:
         rows = rows.where(F.col("name") == name)
-    best = F.max_by(F.struct("version", "run_id", "ts"), "version")
-    return (rows.groupBy("name").agg(best.alias("_b"))
-            .select("name", F.col("_b.version").alias("version"), F.lit(stage).alias("stage"),
-                    F.col("_b.run_id").alias("run_id"), F.col("_b.ts").alias("ts")))
+    return last_rows(rows.select("name", "version", "run_id", "ts"), ["name"], ["version"]) \
+        .select("name", "version", F.lit(stage).alias("stage"), "run_id", "ts")
 
 
 def latest_version(registry: DataFrame, name: str, stage: str):

@@ -11,6 +11,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vintner.operators.ledger import DAY
+from vintner.operators.lastrow import code_of, last_rows, packed_order
+
 # Life-cycle states that end a run as failed, the terminal state,
 # and the result state that marks a terminated run as failed.
 FAILED_LIFE_CYCLE_STATES = ("INTERNAL_ERROR", "SKIPPED")
@@ -36,25 +39,50 @@ def outcome(life_cycle: Column, result: Column, strict: bool = False) -> Column:
 
 
 def job_outcomes(log: DataFrame, tie_break: str | None = None) -> DataFrame:
-    """J1 over every run id: the last record by ``(ts, tie_break)`` decides.
-    ``max_by`` aggregates partially on each task: no run's history is ever
-    gathered in one place."""
-    order = F.struct("ts", tie_break) if tie_break else F.col("ts")
-    last = F.max_by(F.struct("ts", "life_cycle_state", "result_state", "state_message"), order)
-    agg = log.groupBy("run_id").agg(last.alias("_l"), F.count(F.lit(1)).alias("records"))
-    lcs, res = F.col("_l.life_cycle_state"), F.col("_l.result_state")
-    return agg.select("run_id", F.col("_l.ts").alias("last_ts"),
-                      lcs.alias("life_cycle_state"), res.alias("result_state"),
-                      F.col("_l.state_message").alias("state_message"), "records",
-                      outcome(lcs, res).alias("outcome"),
-                      outcome(lcs, res, strict=True).alias("strict_outcome"))
+    """J1 over every run id: the last record by ``(ts, tie_break)`` decides, of
+    equal ones the greatest by its texts. A hash aggregate finds the last
+    record's order per run (:func:`vintner.operators.lastrow.last_rows`); states
+    and message are fetched for that record only."""
+    texts = ["life_cycle_state", "result_state", "state_message"]
+    order = ["ts", tie_break] if tie_break else ["ts"]
+    last = last_rows(log.select("run_id", *order, *texts), ["run_id"], order, count="records")
+    lcs, res = F.col("life_cycle_state"), F.col("result_state")
+    return last.select("run_id", F.col("ts").alias("last_ts"), *texts, "records",
+                       outcome(lcs, res).alias("outcome"),
+                       outcome(lcs, res, strict=True).alias("strict_outcome"))
+
+
+def outcome_counts(log: DataFrame, tie_break: str | None = None) -> DataFrame:
+    """J1 as a summary: ``outcome, strict_outcome, runs``. The outcome of a
+    record is a small code packed behind its order, so one hash aggregate per
+    run decides and no text leaves the scan. Of records equal in order the
+    better outcome counts; a run without any time is pending."""
+    names = ["pending", "failed", "succeeded"]
+    lcs, res = F.col("life_cycle_state"), F.col("result_state")
+
+    def code(strict: bool):
+        value = outcome(lcs, res, strict)
+        return F.when(value == names[1], F.lit(1)).when(value == names[2], F.lit(2)).otherwise(F.lit(0))
+
+    both = F.when(code(False) == 0, F.lit(0)).otherwise(code(False) + 2 * code(True))  # 0, 3 .. 6
+    packed = packed_order(log, ["ts", tie_break] if tie_break else ["ts"], both)
+    if packed is None:
+        raise TypeError(f"ts has to be a time and {tie_break!r} a whole number")
+    of = code_of(F.col("_order"))
+    lenient = F.when(of == 0, F.lit(names[0])).when(of % 2 == 1, F.lit(names[1])).otherwise(F.lit(names[2]))
+    strict = F.when(of == 0, F.lit(names[0])).when(of < 5, F.lit(names[1])).otherwise(F.lit(names[2]))
+    per_run = log.groupBy("run_id").agg(F.max(packed).alias("_order"))
+    return per_run.groupBy(F.coalesce(lenient, F.lit(names[0])).alias("outcome"),
+                           F.coalesce(strict, F.lit(names[0])).alias("strict_outcome")).agg(F.count(F.lit(1)).alias("runs"))
 
 
 def updated_within(log: DataFrame, now: dt.datetime | str, before: dt.timedelta = dt.timedelta(days=1),
                    after: dt.timedelta = dt.timedelta(days=1), ts: str = "ts") -> DataFrame:
     """rows whose ``ts`` lies in ``[now - before, now + after]`` (bounds
     included). ``now`` is a parameter, so the query is repeatable; with a
-    Parquet log the bounds are pushed into the scan."""
+    Parquet log the bounds are pushed into the scan, and of a ledger (a log with
+    a ``day`` column, :mod:`vintner.operators.ledger`) only the days between
+    them are opened."""
     if isinstance(now, str):
         now = dt.datetime.fromisoformat(now)
     # bounds take the column's own type: wall-clock for TIMESTAMP_NTZ, the
@@ -63,7 +91,10 @@ def updated_within(log: DataFrame, now: dt.datetime | str, before: dt.timedelta
 
     def bound(t: dt.datetime) -> Column:
         return F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(dtype)
-    return log.where(F.col(ts).between(bound(now - before), bound(now + after)))
+    inside = F.col(ts).between(bound(now - before), bound(now + after))
+    if DAY in log.columns and ts != DAY:
+        inside = inside & F.col(DAY).between(F.lit((now - before).date()), F.lit((now + after).date()))
+    return log.where(inside)
 
 
 def activity_class(status: Column) -> Column:
@@ -78,13 +109,19 @@ def pipeline_outcomes(activities: DataFrame, tie_break: str | None = None) -> Da
     (not only the first activity), classified, then rolled up per run: failed
     if any activity failed, pending if any is still running, else succeeded.
 
-    Input rows: ``run_id, activity, ts, status``. Both steps are partial
-    aggregates: per (run, activity) and per run.
+    Input rows: ``run_id, activity, ts, status``. Both steps are hash
+    aggregates: per (run, activity) the greatest order with the status class
+    packed behind it (of equal orders a failure counts, then a success), and
+    per run.
     """
-    order = F.struct("ts", tie_break) if tie_break else F.col("ts")
-    last = (activities.groupBy("run_id", "activity")
-            .agg(F.max_by("status", order).alias("status"))
-            .withColumn("class", activity_class(F.col("status"))))
+    names = ["pending", "succeeded", "failed"]
+    kind = activity_class(F.col("status"))
+    code = F.when(kind == names[2], F.lit(2)).when(kind == names[1], F.lit(1)).otherwise(F.lit(0))
+    packed = packed_order(activities, ["ts", tie_break] if tie_break else ["ts"], code)
+    if packed is None:
+        raise TypeError(f"ts has to be a time and {tie_break!r} a whole number")
+    last = activities.groupBy("run_id", "activity").agg(F.max(packed).alias("_order")) \
+        .withColumn("class", F.element_at(F.array(*map(F.lit, names)), F.coalesce(code_of(F.col("_order")), F.lit(0)) + 1))
     per_run = last.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("activities"),
         F.count_if(F.col("class") == "failed").alias("failed"),

@@ -113,6 +113,71 @@ def score_spark_ml(df: DataFrame, model: LinearRegressionModel, features: list[s
     return out.select(F.col("_vintner_pred").alias(output), *[col_of(c) for c in df.columns])
 
 
+_INPUTS = ("inputCol", "inputCols", "featuresCol", "itemsCol", "userCol", "itemCol")
+_OUTPUTS = ("outputCol", "outputCols", "predictionCol", "probabilityCol", "rawPredictionCol", "varianceCol", "leafCol")
+
+
+def _columns(stage, params: tuple[str, ...]) -> list[str]:
+    """The columns that a stage's parameters of these names state."""
+    out: list[str] = []
+    for name in params:
+        if stage.hasParam(name) and stage.isDefined(stage.getParam(name)):
+            value = stage.getOrDefault(stage.getParam(name))
+            out += [value] if isinstance(value, str) else list(value or [])
+    return [c for c in out if c]
+
+
+def load_stages(uri: str) -> list:
+    """S6 for any saved ``pyspark.ml`` model or fitted pipeline: its stages in
+    order, nested pipelines laid flat. The class comes from the metadata that is
+    saved with the model, so the caller need not know it."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.util import DefaultParamsReader
+    from pyspark.sql import SparkSession
+
+    def flat(stage):
+        return [x for s in stage.stages for x in flat(s)] if isinstance(stage, PipelineModel) else [stage]
+    return flat(DefaultParamsReader.loadParamsInstance(uri, SparkSession.getActiveSession()))
+
+
+def score_pipeline(df: DataFrame, uri: str, features: list[str] | None = None,
+                   output: str = PREDICTION) -> DataFrame:
+    """U1, any fitted ``pyspark.ml`` pipeline by URI: prediction first, then all
+    input columns.
+
+    Columns that the stages read must be in ``df`` or come from an earlier stage.
+    A vector column that neither gives is built from ``features``, in that order;
+    others missing raise and are named. What the stages add besides the
+    prediction is dropped, and a column of ``df`` that is called like something
+    a stage writes keeps its name and values.
+    """
+    stages = load_stages(uri)
+    made: set[str] = set()
+    needed: list[str] = []
+    for stage in stages:
+        needed += [c for c in _columns(stage, _INPUTS) if c not in made]
+        made |= set(_columns(stage, _OUTPUTS))
+    predicted = [c for s in stages for c in _columns(s, ("predictionCol",))]
+    if not predicted:
+        raise ValueError(f"no stage of {uri} predicts")
+    # own columns keep out of the stages' way under other names
+    own = [f"_vintner_in{i}" for i in range(len(df.columns))]
+    data = df.select(*[col_of(c).alias(n) for c, n in zip(df.columns, own)])
+    given = {c: n for c, n in zip(df.columns, own)}
+    missing = [c for c in dict.fromkeys(needed) if c not in given]
+    if missing:
+        if features is None or len(missing) > 1:
+            raise ValueError(f"input lacks columns {missing} of the model at {uri}")
+        lacking = [f for f in features if f not in given]
+        if lacking:
+            raise ValueError(f"input lacks model features {lacking}")
+        data = assemble(data, [given[f] for f in features], missing[0])
+    data = data.withColumns({c: F.col(given[c]) for c in dict.fromkeys(needed) if c in given})
+    for stage in stages:
+        data = stage.transform(data)
+    return data.select(F.col(predicted[-1]).alias(output), *[F.col(n).alias(c) for c, n in zip(df.columns, own)])
+
+
 def _check_features(df: DataFrame, model: LinearModel) -> None:
     missing = [f for f in model.features if f not in df.columns]
     if missing:

@@ -136,6 +136,96 @@ def first_row(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(col_of(key)).limit(1)
 
 
+def content_hash(df: DataFrame) -> Column:
+    """SHA-256 of a row's content (all columns, timestamps to the microsecond in
+    one zone)."""
+    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return F.sha2(F.to_json(F.struct(*[col_of(c) for c in df.columns]),
+                            {"timestampFormat": exact, "timestampNTZFormat": exact, "timeZone": "UTC"}), 256)
+
+
+def content_threshold(df: DataFrame, test_fraction: float = TEST_FRACTION, seed: int = SPLIT_SEED,
+                      exact_limit: int = 200_000) -> tuple[str, int, int] | None:
+    """(hash, taken, copies): the content on which the test part ends, how many
+    of its copies belong to the test part, and how many there are. ``None`` if
+    the test part is empty.
+
+    A histogram of hash prefixes weighted by copies, refined like the one of
+    :func:`split_threshold`. A prefix is refined until it holds few different
+    contents (estimated in the same pass), not few rows: a content with a
+    billion copies costs no further level.
+    """
+    if not 0.0 <= test_fraction <= 1.0:
+        raise ValueError(f"test_fraction must lie in [0, 1], got {test_fraction}")
+    hashed = df.select(_content_order(df, seed).alias(_HASH))
+    prefix, rank = "", None
+    while True:
+        depth = len(prefix)
+        inside = hashed if depth == 0 else hashed.where(F.substring(_HASH, 1, depth) == prefix)
+        counts = inside.groupBy(F.substring(_HASH, depth + 1, _DIGITS).alias("b")) \
+            .agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(_HASH).alias("contents"))
+        target = (F.ceil(F.lit(float(test_fraction)) * F.sum("n").over(Window.partitionBy()))
+                  if rank is None else F.lit(rank))
+        upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 4,096 rows
+        hit = (counts.select("b", "n", "contents", F.sum("n").over(upto).alias("cum"), target.alias("target"))
+               .where((F.col("cum") >= F.col("target")) & (F.col("target") > 0)).orderBy("b").first())
+        if hit is None:
+            return None
+        prefix, rank = prefix + hit["b"], int(hit["target"]) - (hit["cum"] - hit["n"])
+        if hit["contents"] <= exact_limit or len(prefix) >= 32:
+            break
+    upto = Window.orderBy(_HASH).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per content
+    last = (hashed.where(F.substring(_HASH, 1, len(prefix)) == prefix).groupBy(_HASH).agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("cum", F.sum("n").over(upto)).where(F.col("cum") >= rank).orderBy(_HASH).first())
+    return last[_HASH], rank - (last["cum"] - last["n"]), last["n"]
+
+
+def _content_order(df: DataFrame, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), content_hash(df)))
+
+
+def content_split(df: DataFrame, test_fraction: float = TEST_FRACTION, seed: int = SPLIT_SEED,
+                  flag: str = "is_test") -> DataFrame:
+    """L1 for a table without a key: add boolean ``flag``, true for exactly
+    ``ceil(test_fraction * n)`` rows, the first by a seeded hash of the row's
+    content. Copies of a row are neighbours in that order.
+
+    Rows before and after the one content on which the test part ends are
+    decided map-only; only copies of that content are numbered (they are equal,
+    so it does not matter which of them are taken), by their place in the scan:
+    no sort and no shuffle of rows, however many copies there are. An empty
+    table stays empty; nulls are contents like any other. Write ``df`` to files
+    first if it is expensive: each level of the search reads it once.
+    """
+    from vintner.session import materialize  # local: avoid a cycle
+
+    found = content_threshold(df, test_fraction, seed)
+    if found is None:
+        return df.withColumn(flag, F.lit(False))
+    edge, taken, copies = found
+    order = _content_order(df, seed)
+    if taken == copies:
+        return df.withColumn(flag, order <= F.lit(edge))
+    rest = df.where(order != F.lit(edge)).withColumn(flag, order < F.lit(edge))
+    # row ids count the rows of a scan task from 0, above bit 33 stands the task
+    same = materialize(df.where(order == F.lit(edge)).withColumn("_copy_id", F.monotonically_increasing_id()), "split-copies")
+    task = F.shiftright("_copy_id", 33)
+    ahead = Window.orderBy("_copy_task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    offsets = same.groupBy(task.alias("_copy_task")).agg(F.count(F.lit(1)).alias("_copy_n")) \
+        .select("_copy_task", F.coalesce(F.sum("_copy_n").over(ahead), F.lit(0)).alias("_copy_ahead"))
+    place = F.col("_copy_ahead") + F.col("_copy_id").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = same.join(offsets, task == F.col("_copy_task")).withColumn(flag, place < F.lit(taken))
+    return rest.unionByName(numbered.select(*map(col_of, df.columns), flag))
+
+
+def content_train_test(df: DataFrame, test_fraction: float = TEST_FRACTION,
+                       seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
+    """Both parts of :func:`content_split`, without the flag column."""
+    flagged = content_split(df, test_fraction, seed, "_is_test")
+    return (flagged.where(~F.col("_is_test")).drop("_is_test"),
+            flagged.where(F.col("_is_test")).drop("_is_test"))
+
+
 def with_row_key(df: DataFrame, key: str = "_row_key") -> DataFrame:
     """A unique key for a table that has none (a landed CSV): a SHA-256 of the
     row's content plus the copy number among identical rows.
@@ -153,10 +243,7 @@ def with_row_key(df: DataFrame, key: str = "_row_key") -> DataFrame:
     from vintner.operators.ranking import sequence_within_groups  # local: avoid a cycle
     from vintner.session import materialize
 
-    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # to the microsecond, in one zone
-    content = F.sha2(F.to_json(F.struct(*[col_of(c) for c in df.columns]),
-                               {"timestampFormat": exact, "timestampNTZFormat": exact, "timeZone": "UTC"}), 256)
-    tagged = materialize(df.withColumn("_content", content)
+    tagged = materialize(df.withColumn("_content", content_hash(df))
                          .withColumn("_mono", F.monotonically_increasing_id()), "row-key")
     numbered = sequence_within_groups(tagged, ["_content"], "_mono", "_copy")
     return (numbered.withColumn(key, F.concat_ws(":", "_content", F.col("_copy").cast("string")))

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +17,16 @@ from vintner.operators import clean, registry as reg, runs
 from vintner.operators.fit import (ALPHA, L1_RATIO, coefficients_frame, fit_elastic_net,
                                    fit_spark_ml, load_model, load_spark_ml, save_model,
                                    save_spark_ml)
+from vintner.operators.fit_active import fit_elastic_net_vector
 from vintner.operators.metrics import (frame_difference, regression_metrics,
                                       regression_metrics_by_sets)
+from vintner.operators.ledger import DAY, read_ledger, write_ledger
 from vintner.operators.publish import preview, publish, publish_many
 from vintner.operators.requests import batch_requests
-from vintner.operators.score import linear_loader, linear_predict_fn, score, score_with_model, score_with_udf
-from vintner.operators.split import (SPLIT_SEED, TEST_FRACTION, exact_split, first_row,
-                                     hash_split, with_row_key)
+from vintner.operators.score import (linear_loader, linear_predict_fn, score, score_pipeline,
+                                     score_with_model, score_with_udf)
+from vintner.operators.split import (SPLIT_SEED, TEST_FRACTION, content_split, exact_split,
+                                     first_row, hash_split, with_row_key)
 from vintner.plans import fixtures as fx
 from vintner.plans import oracle as sql
 from vintner.plans.baskets import ALL_FEATURES, KEY, LABEL, SPLIT_FEATURES, read_baskets
@@ -33,6 +38,7 @@ from vintner.streaming.stateless import stream_through
 DIGITS = sql.DIGITS
 ML_DIGITS = 3
 PRED_DIGITS = 4
+PIPELINE_DIGITS = 1  # pyspark.ml is off by about 1e-8, which shows at a rounding edge
 CHECK_DB = "vintner_check"
 REQUEST_ROWS = 100
 ONE_MODEL = "model-7"
@@ -72,6 +78,7 @@ def q_split_exact(spark, sf_dir):
     return _flagged(spark, sf_dir).select(KEY, "is_test")
 
 
+FLAG_COLUMNS = ["l_returnflag", "l_linestatus"]
 KEYLESS_COLUMNS = ["l_orderkey", "l_quantity", "l_returnflag"]
 
 
@@ -83,6 +90,18 @@ def q_split_keyless(spark, sf_dir):
     return exact_split(keyed, "rk").select(*KEYLESS_COLUMNS, "is_test")
 
 
+def q_split_content(spark, sf_dir):
+    """L1 on a table without a key, in the order of a seeded hash of the rows'
+    content: map-only but for the copies of one content."""
+    return content_split(read_table(spark, sf_dir, "lineitem").select(*KEYLESS_COLUMNS))
+
+
+def q_split_flags(spark, sf_dir):
+    """The same on a table of few different rows: the content on which the test
+    part ends has many copies, and some of them belong to either part."""
+    return content_split(read_table(spark, sf_dir, "lineitem").select(*FLAG_COLUMNS))
+
+
 def q_split_hash(spark, sf_dir):
     return hash_split(_baskets(spark, sf_dir), KEY).select(KEY, "is_test")
 
@@ -123,6 +142,16 @@ def q_fit_wide(spark, sf_dir):
         list(sql.WIDE_FEATURES), *sql.WIDE_LABEL), DIGITS)
 
 
+def q_fit_vector(spark, sf_dir):
+    """A5 on the same twelve features in one array column, by active sets."""
+    lines, part, orders = (read_table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
+    wide = (lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+            .join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
+    label, price = next(iter(sql.WIDE_LABEL.items()))
+    rows = materialize(wide.select(F.array(*map(F.expr, sql.WIDE_FEATURES.values())).alias("x"), F.expr(price).alias(label)), "wide-vectors")
+    return coefficients_frame(spark, fit_elastic_net_vector(rows, "x", label, list(sql.WIDE_FEATURES), grow=3), DIGITS)
+
+
 def q_fit_persisted(spark, sf_dir):
     """L3: the baskets stay cached while two models are fitted on them."""
     with persisted(_baskets(spark, sf_dir)) as cached:
@@ -151,6 +180,16 @@ def q_score_udf_by_uri(spark, sf_dir):
     return out.withColumn("prediction", F.round("prediction", PRED_DIGITS))
 
 
+def q_score_pipeline(spark, sf_dir):
+    """U1 + S6: a fitted pyspark.ml pipeline, saved and scored by its URI."""
+    flagged = _flagged(spark, sf_dir)
+    fitted, _ = fit_spark_ml(flagged.where(~F.col("is_test")), SPLIT_FEATURES, LABEL)
+    uri = scratch_path(spark, "pipeline-by-uri")
+    PipelineModel([VectorAssembler(inputCols=SPLIT_FEATURES, outputCol="features"), fitted]).write().save(uri)
+    out = score_pipeline(flagged.drop("is_test"), uri)
+    return out.withColumn("prediction", F.round("prediction", PIPELINE_DIGITS))
+
+
 def _test_scored(spark, sf_dir):
     flagged = _flagged(spark, sf_dir)
     model = _fit_on_train(flagged)
@@ -247,6 +286,14 @@ def q_land_text(spark, sf_dir):
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
 
 
+def q_sniff_text(spark, sf_dir):
+    """S5 on texts with quotes, separators and line breaks, landed with ``;``."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    path = land_once(docs, scratch_path(spark, "landing-text-semicolon"), sep=";")
+    back = read_sniffed_csv(spark, path)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"), "lang")
+
+
 def q_sniff_csv(spark, sf_dir):
     path = land_once(_raw(spark, sf_dir), scratch_path(spark, "landing-semicolon"), sep=";")
     return clean.clean_table(read_sniffed_csv(spark, path), label=fx.RAW_LABEL)
@@ -284,8 +331,8 @@ def q_publish_roundtrip(spark, sf_dir):
 
 
 def q_publish_over_itself(spark, sf_dir):
-    """K2-K4: a table published from a plan that reads it, through a staging
-    table that is dropped afterwards."""
+    """K2-K4: a table published from a plan that reads it, with a column more:
+    the new version is written beside the one that is read."""
     table = "customer_stamped"
     location = scratch_path(spark, table)
     first = publish(read_table(spark, sf_dir, "customer"), CHECK_DB, table, location=location)
@@ -406,7 +453,11 @@ def q_run_log_tall(spark, sf_dir):
 
 
 def q_runs_of_experiment(spark, sf_dir):
-    return reg.runs_of_experiment(_run_log(spark, sf_dir), "baskets-by-priority", "metric")
+    """R5 over a ledger: only the experiment's folder is opened."""
+    log = _run_log(spark, sf_dir)
+    path = write_ledger(log, scratch_path(spark, "run-ledger"), by=["experiment"])
+    found = reg.runs_of_experiment(read_ledger(spark, path, log), "baskets-by-priority", "metric")
+    return found.select(*log.columns)
 
 
 # ------------------------------------------------------------- job-run family
@@ -419,12 +470,20 @@ def q_run_outcomes(spark, sf_dir):
     return runs.job_outcomes(_job_log(spark, sf_dir), tie_break="seq")
 
 
+def q_run_outcome_counts(spark, sf_dir):
+    """J1 as a summary: runs per lenient and strict outcome."""
+    return runs.outcome_counts(_job_log(spark, sf_dir), tie_break="seq")
+
+
 def q_pipeline_outcomes(spark, sf_dir):
     return runs.pipeline_outcomes(fx.activity_log(read_table(spark, sf_dir, "events")), tie_break="seq")
 
 
 def q_runs_in_window(spark, sf_dir):
-    return runs.updated_within(_job_log(spark, sf_dir), fx.WINDOW_NOW)
+    """F2 over a ledger: only the days of the window are opened."""
+    log = _job_log(spark, sf_dir)
+    path = write_ledger(log, scratch_path(spark, "job-ledger"))
+    return runs.updated_within(read_ledger(spark, path, log), fx.WINDOW_NOW).drop(DAY)
 
 
 def q_parse_response(spark, sf_dir):
@@ -453,6 +512,7 @@ QUERIES: dict[str, Query] = {
     "score_udf_by_uri": q_score_udf_by_uri,
     "metrics_report_plain": q_metrics_report_plain,
     "land_text": q_land_text,
+    "sniff_text": q_sniff_text,
     "preview_stamped": q_preview_stamped,
     "publish_over_itself": q_publish_over_itself,
     "latest_of_model": q_latest_of_model,
@@ -460,6 +520,8 @@ QUERIES: dict[str, Query] = {
     "basket_features": q_basket_features,
     "split_exact": q_split_exact,
     "split_keyless": q_split_keyless,
+    "split_content": q_split_content,
+    "split_flags": q_split_flags,
     "split_hash": q_split_hash,
     "first_row": q_first_row,
     "fit_one_feature": q_fit_one_feature,
@@ -467,6 +529,8 @@ QUERIES: dict[str, Query] = {
     "model_roundtrip": q_model_roundtrip,
     "score_baskets": q_score_baskets,
     "score_udf": q_score_udf,
+    "score_pipeline": q_score_pipeline,
+    "fit_vector": q_fit_vector,
     "eval_metrics": q_eval_metrics,
     "eval_by_segment": q_eval_by_segment,
     "metrics_report": q_metrics_report,
@@ -496,12 +560,21 @@ QUERIES: dict[str, Query] = {
     "run_log_tall": q_run_log_tall,
     "runs_of_experiment": q_runs_of_experiment,
     "run_outcomes": q_run_outcomes,
+    "run_outcome_counts": q_run_outcome_counts,
     "pipeline_outcomes": q_pipeline_outcomes,
     "runs_in_window": q_runs_in_window,
     "parse_response": q_parse_response,
 }
 
 
+def _content_split_sql(columns: list[str]) -> str:
+    fields = ", ".join(f"'{c}': {c}" for c in columns)
+    return f"""WITH c AS (
+  SELECT {", ".join(columns)}, md5('{SPLIT_SEED}:' || sha256(CAST(to_json({{{fields}}}) AS VARCHAR))) AS h FROM lineitem)
+SELECT {", ".join(columns)}, row_number() OVER (ORDER BY h) <= ceil({TEST_FRACTION} * count(*) OVER ()) AS is_test
+FROM c"""
+
+
 def oracles() -> dict[str, str]:
     S = sql
     scored = S.scored_sql(PRED_DIGITS)
@@ -510,6 +583,8 @@ def oracles() -> dict[str, str]:
     return {
         "fit_wide": S.with_recursive(S.WIDE, S.cd_ctes("wide", list(S.WIDE_FEATURES), *S.WIDE_LABEL))
         + "\n" + S.coef_rows(list(S.WIDE_FEATURES)),
+        "fit_vector": S.with_recursive(S.WIDE, S.cd_ctes("wide", list(S.WIDE_FEATURES), *S.WIDE_LABEL))
+        + "\n" + S.coef_rows(list(S.WIDE_FEATURES)),
         "fit_persisted": S.with_recursive(S.BASKETS, S.cd_ctes("baskets", ["q"], "y", prefix="one_"),
                                           S.cd_ctes("baskets", S.ALL_FEATS, "y", prefix="all_"))
         + f"\nSELECT *, 'one' AS model FROM ({S.coef_rows(['q'], 'one_')}) a"
@@ -521,6 +596,7 @@ SELECT '  RMSE: ' || CAST(rmse AS VARCHAR) AS line FROM m
 UNION ALL SELECT '  MAE: ' || CAST(mae AS VARCHAR) FROM m
 UNION ALL SELECT '  R2: ' || CAST(r2 AS VARCHAR) FROM m""",
         "land_text": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+        "sniff_text": "SELECT doc_id, md5(text) AS text_md5, lang FROM documents",
         "preview_stamped": "SELECT *, 'checked' AS status FROM customer ORDER BY c_custkey LIMIT 20",
         "publish_over_itself": "SELECT *, 'checked' AS status FROM customer",
         "latest_of_model": f"""WITH {S.REGISTRY}, {S.STAGED}
@@ -542,6 +618,8 @@ SELECT l_orderkey, l_quantity, l_returnflag,
        row_number() OVER (ORDER BY md5('{SPLIT_SEED}:' || rk), rk)
          <= ceil({TEST_FRACTION} * count(*) OVER ()) AS is_test
 FROM keyed""",
+        "split_content": _content_split_sql(KEYLESS_COLUMNS),
+        "split_flags": _content_split_sql(FLAG_COLUMNS),
         "first_row": f"WITH {S.BASKETS} SELECT * FROM baskets ORDER BY k LIMIT 1",
         "fit_one_feature": f"""WITH {S.BASKETS}, st AS (
   SELECT covar_pop(q, y) AS cv, var_pop(q) AS vq, avg(q) AS mq, avg(y) AS my FROM baskets),
@@ -554,6 +632,7 @@ UNION ALL SELECT '(intercept)' AS term, round(my - mq * w0, {DIGITS}) + 0.0 AS e
         + "\n" + S.coef_rows(S.ALL_FEATS, digits=ML_DIGITS),
         "score_baskets": scored,
         "score_udf": scored,
+        "score_pipeline": S.scored_sql(PIPELINE_DIGITS),
         "eval_metrics": S.with_recursive(S.BASKETS, S.FLAGGED, S.TRAIN_MODEL)
         + f"\nSELECT {S.metrics_select(S.prediction_sql(S.SPLIT_FEATS, 'f'))} FROM flagged f, coef WHERE f.is_test",
         "eval_by_segment": S.segment_metrics_sql("o_orderpriority"),
@@ -611,6 +690,10 @@ FROM staged WHERE stage = 'Staging' GROUP BY name""",
 SELECT run_id, ts AS last_ts, life_cycle_state, result_state, state_message, records,
        {S.outcome_sql(False)} AS outcome, {S.outcome_sql(True)} AS strict_outcome
 FROM last WHERE rn = 1""",
+        "run_outcome_counts": f"""WITH {S.job_log_sql()}, last AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, seq DESC) AS rn FROM log)
+SELECT {S.outcome_sql(False)} AS outcome, {S.outcome_sql(True)} AS strict_outcome, count(*) AS runs
+FROM last WHERE rn = 1 GROUP BY ALL""",
         "pipeline_outcomes": f"""WITH acts AS (
   SELECT user_id AS run_id, event_type AS activity, ts, event_id AS seq,
          CASE WHEN value < {fx.ACTIVITY_IN_PROGRESS_BELOW!r} THEN 'InProgress'

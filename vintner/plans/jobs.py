@@ -1,7 +1,7 @@
 """The reference's two jobs as Spark applications.
 
 ``train_job``: land (if a landing path is given) -> read CSV as strings -> type -> publish the input table
--> keyed exact split -> elastic-net fit on the cluster -> metrics on the test
+-> exact split by content -> elastic-net fit on the cluster -> metrics on the test
 part -> save the model -> append params and metrics to the run log -> register
 a new version -> move it to a stage -> JSON result record.
 
@@ -30,15 +30,13 @@ from vintner.operators import registry as reg
 from vintner.operators.clean import LABEL, cast_features, clean_table, label_column, drop_label
 from vintner.operators.fit import ALPHA, L1_RATIO, LinearModel, fit_elastic_net, load_model, save_model
 from vintner.operators.metrics import regression_metrics
-from vintner.operators.publish import append_table, publish, publish_many, table_or_none
+from vintner.operators.publish import append_table, exclusive, publish, publish_many, table_or_none
 from vintner.operators.score import score
-from vintner.operators.split import SPLIT_SEED, TEST_FRACTION, train_test, with_row_key
-from vintner.session import materialize
+from vintner.operators.split import SPLIT_SEED, TEST_FRACTION, content_train_test
+from vintner.session import scratch_scope
 from vintner.sources.csv import read_csv_strings, read_sniffed_csv
 from vintner.sources.landing import land_once
 
-ROW_KEY = "_row_key"
-
 # Default database, input table and output table of the
 # training and batch-scoring jobs, and the stage a new version moves to.
 DEFAULT_DB = "wine"
@@ -86,6 +84,12 @@ def _read(spark: SparkSession, path: str, sniff: bool) -> DataFrame:
 
 
 def train_job(spark: SparkSession, p: TrainParams) -> dict:
+    """The training job; its scratch tables are removed when it ends."""
+    with scratch_scope(spark):
+        return _train(spark, p)
+
+
+def _train(spark: SparkSession, p: TrainParams) -> dict:
     db = sanitize_identifier(p.db)
     now = p.now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     raw = _read(spark, p.csv_path, p.sniff)
@@ -96,10 +100,9 @@ def train_job(spark: SparkSession, p: TrainParams) -> dict:
     if label is None:
         raise ValueError(f"the training table has no label column {p.label!r}")
     features = [c for c in typed.columns if c != label]
-    # the content key costs a shuffle: write the keyed table once, then the
-    # split search, both halves, the fit and the metrics read files
-    keyed = materialize(with_row_key(typed, ROW_KEY), "train-keyed")
-    train, test = train_test(keyed, ROW_KEY, p.test_fraction, p.seed)
+    # the published table has no key: its rows are split by their content, a
+    # predicate that the fit and the metrics evaluate as they scan
+    train, test = content_train_test(typed, p.test_fraction, p.seed)
     model = fit_elastic_net(train, features, p.label, p.alpha, p.l1_ratio)
     metrics = regression_metrics(score(test, model), p.label).first().asDict()
 
@@ -111,17 +114,27 @@ def train_job(spark: SparkSession, p: TrainParams) -> dict:
     append_table(reg.log_runs(run_row, p.experiment, {"alpha": p.alpha, "l1_ratio": p.l1_ratio},
                               ["rmse", "r2", "mae"], ts=F.lit(now)), db, p.runs_table)
 
-    current = table_or_none(spark, db, p.registry_table)
-    request = spark.createDataFrame([(p.model_name, run_id, now)], "name string, run_id string, ts timestamp")
-    registered = reg.register_models(current, request)
-    version = registered.where(F.col("run_id") == run_id).select("version").first()["version"]
-    change = spark.createDataFrame([(p.model_name, version, strip_spaces(p.stage), now)],
-                                   "name string, version int, stage string, ts timestamp")
-    publish(reg.transition_stages(registered, change), db, p.registry_table)
+    version = register_version(spark, db, p.registry_table, p.model_name, run_id, p.stage, now)
     return {"model_name": p.model_name, "version": version, "run_id": run_id,
             "model_uri": model_path, "metrics": metrics}
 
 
+def register_version(spark: SparkSession, db: str, registry_table: str, name: str, run_id: str, stage: str,
+                     now: dt.datetime) -> int:
+    """R1 + R2 as one step on the stored registry: the next version of ``name``,
+    moved to ``stage``. Jobs that run side by side take turns, so versions are
+    distinct and without gaps; a failing publish leaves the registry as it was."""
+    with exclusive(spark, db, registry_table):
+        current = table_or_none(spark, db, registry_table)
+        request = spark.createDataFrame([(name, run_id, now)], "name string, run_id string, ts timestamp")
+        registered = reg.register_models(current, request)
+        version = registered.where(F.col("run_id") == run_id).select("version").first()["version"]
+        change = spark.createDataFrame([(name, version, strip_spaces(stage), now)],
+                                       "name string, version int, stage string, ts timestamp")
+        publish(reg.transition_stages(registered, change), db, registry_table)
+    return version
+
+
 RUNS_SCHEME = "runs:/"
 
 
@@ -153,8 +166,9 @@ def batch_score_job(spark: SparkSession, p: ScoreParams, model_root: str | None
     if not p.tables:
         raise ValueError("no table to publish to")
     model, path = resolve_model(spark, p, model_root)
-    features = cast_features(drop_label(_read(spark, p.csv_path, p.sniff), p.label))
-    publish_many(score(features, model), sanitize_identifier(p.db), list(p.tables))
+    with scratch_scope(spark):
+        features = cast_features(drop_label(_read(spark, p.csv_path, p.sniff), p.label))
+        publish_many(score(features, model), sanitize_identifier(p.db), list(p.tables))
     return {"model_name": p.model_name, "model_uri": path}
 
 

@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: str | None = None
+_SCOPE: ContextVar[list[str] | None] = ContextVar("vintner_scratch_scope", default=None)
 
 
 def get_session(master: str | None = None, app_name: str = "vintner",
@@ -76,14 +78,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str, unique: bool = True) -> str:
     """A path for a written intermediate table: under the shared checkpoint
     folder, in one sub-folder per application (so an application's scratch
-    can be removed in one go once it has finished)."""
+    can be removed in one go once it has finished; :func:`scratch_scope`
+    removes what a job wrote)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     try:
         app = spark.sparkContext.applicationId
     except Exception:  # noqa: BLE001
         app = "session"
     leaf = f"{name}-{uuid.uuid4().hex[:12]}" if unique else name
-    return f"{base}/vintner/{app}/{leaf}"
+    path = f"{base}/vintner/{app}/{leaf}"
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
+    return path
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -99,6 +105,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str, via: str = "default.vintner__removed") -> None:
+    """Remove a folder on any storage Spark reaches, by SQL alone: a throw-away
+    managed table ``via`` is pointed at the folder and dropped, and the catalog
+    removes a managed table's files. A folder that is not there is no error."""
+    name = ".".join("`" + part.replace("`", "``") + "`" for part in via.split(".", 1))
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} (x INT) USING parquet")
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{place}'")
+    spark.sql(f"DROP TABLE {name}")
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch written inside the block is removed when it ends, also when it
+    fails. For jobs whose results are published by then: a frame over a removed
+    intermediate can no longer be read. Blocks may nest; a path belongs to the
+    innermost one of its thread."""
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPE.reset(token)
+        for path in paths:
+            remove_folder(spark, path)
+
+
 @contextmanager
 def persisted(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
     """L3: keep ``df`` cached for the block and release it afterwards (the

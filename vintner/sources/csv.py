@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Candidate separators, tried in this order of preference.
-CANDIDATE_SEPARATORS = (",", ";", "\t", "|")
+from vintner.sources.dialect import CANDIDATE_SEPARATORS, sniff_dialect
+from vintner.sources.quoted_csv import read_quoted_csv
 
 
 def read_csv_strings(spark: SparkSession, path: str, sep: str = ",",
                      quote: str = '"', multi_line: bool = False) -> DataFrame:
-    """Read CSV with a header row; ``multi_line`` for texts with line breaks in
-    quotes (such a file is then read whole by one task). No type inference: every column is a string,
-    typing is a separate, explicit step (see ``operators.clean``)."""
+    """Read CSV with a header row. No type inference: every column is a string,
+    typing is a separate, explicit step (see ``operators.clean``). ``multi_line``
+    is for texts with line breaks in quotes; such files are cut into byte ranges
+    too (:func:`vintner.sources.quoted_csv.read_quoted_csv`)."""
+    if multi_line:
+        return read_quoted_csv(spark, path, sep, quote)
     return (spark.read.option("header", True).option("sep", sep)
-            .option("quote", quote).option("escape", quote).option("multiLine", multi_line)
+            .option("quote", quote).option("escape", quote)
             .option("inferSchema", False).option("mode", "PERMISSIVE")
             .csv(path))
 
@@ -50,9 +53,17 @@ def sniff_delimiter(spark: SparkSession, path: str, sample_lines: int = 64,
     return best
 
 
-def read_sniffed_csv(spark: SparkSession, path: str, sample_lines: int = 64) -> DataFrame:
-    """Sniff the separator from a sample, then read the whole file with it."""
-    return read_csv_strings(spark, path, sep=sniff_delimiter(spark, path, sample_lines))
+def read_sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Detect separator, quote and escape (:func:`vintner.sources.dialect.sniff_dialect`),
+    then read the files with them, by byte ranges also where quoted fields hold
+    line breaks."""
+    d = sniff_dialect(spark, path)
+    if d.escape == "double":
+        return read_csv_strings(spark, path, d.sep, d.quote, multi_line=d.line_breaks)
+    # a quote behind a backslash does not end a field: no parity to go by, so
+    # with line breaks in quotes Spark reads a file in one task
+    return (spark.read.option("header", True).option("sep", d.sep).option("quote", d.quote).option("escape", "\\")
+            .option("multiLine", d.line_breaks).option("mode", "PERMISSIVE").csv(path))
 
 
 def _regex_literal(ch: str) -> str:
