@@ -103,7 +103,7 @@ def library():
 def test_token_files_hold_what_the_library_encodes(spark, tmp_path, monkeypatch, sizes):  # noqa: F811
     rows, df = frame(spark, odd_texts())
     if sizes:  # several segments per file
-        monkeypatch.setattr(token_files, "text_slices", lambda c: common.text_slices(c, 2000))
+        monkeypatch.setattr(token_files, "text_slices", lambda c, most: common.text_slices(c, 2000))
     lib = library()
     path = token_files.write_token_files(df, str(tmp_path / "ids"), **sizes)
     out = token_files.read_token_files(spark, path).orderBy("start").collect()

@@ -3,6 +3,8 @@ packing and connected components."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +20,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what is written inside the
+    block: bounds the buffers that a task holds on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Total UTF-8 bytes of a text column: sizes blocks and buckets."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
@@ -158,17 +173,47 @@ class Union:
         return self.up
 
 
+def contracted(batches):
+    """Edges (u, v) of one task as stars: every node with the smallest node that
+    the task's edges reach from it. A task holds one shuffle partition."""
+    parts = [np.stack([np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64)]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    ends = np.concatenate(parts, axis=1)
+    nodes, at = np.unique(ends, return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = label != np.arange(len(nodes))
+    u, v = nodes[far], nodes[label[far]]
+    for i in range(0, len(u), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(u[i:i + (1 << 16)]), pa.array(v[i:i + (1 << 16)])], ["u", "v"])
+
+
 def connected_components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (u, v), for every
     node that has an edge to another one.
 
-    Alternating large-star and small-star steps; each round is written to the
+    Alternating large-star and small-star steps over edges that each task has
+    contracted to stars; each round is written to the
     shared checkpoint folder, so the lineage stays short and a lost executor
     costs one round. A hub's rows are joined, not collected, so adaptive skew
     joins can split them. The number of rounds grows with the logarithm of the
     longest path; more than ``rounds`` raise an error, nothing is dropped.
     """
-    cur = materialize(edges.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), name)
+    def write(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.distinct().mapInArrow(contracted, "u long, v long"), name)
+
+    cur = write(edges.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v"))
 
     def star(pairs: DataFrame) -> DataFrame:
         return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
@@ -180,8 +225,8 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
         large = both.join(lows, "u").where("v > u").selectExpr("v u", "m v").distinct()
         linked = star(large)
         small = (linked.where("v <> m").selectExpr("v u", "m v")
-                 .unionByName(linked.selectExpr("u", "m v")).distinct())
-        cur = materialize(small, name)
+                 .unionByName(linked.selectExpr("u", "m v")))
+        cur = write(small)
         state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             roots = cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vintner.session import scratch_path
 
-from .common import quoted, read, select_in_words, text_bytes, text_slices, word_codes
+from .common import arrow_rows, quoted, read, select_in_words, text_bytes, text_slices
 from .pieces import model_path
 
 MAGIC = b"TOKENEF1"
@@ -169,36 +168,109 @@ def segments(content: bytes):
         at += one.size + 1  # the writer's line break
 
 
+# classes of bytes: white space, letter (also both bytes of U+00C0..U+017F but
+# for those below), digit, other ASCII, and bytes that leave a word to the library
+_SPACE, _LETTER, _DIGIT, _OTHER, _RARE = range(5)
+
+
+def _byte_classes() -> np.ndarray:
+    table = np.full(256, _RARE, np.uint8)
+    for c in range(0x21, 0x7F):
+        table[c] = _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _OTHER
+    table[ord("'")] = _RARE                    # contractions
+    table[[0x20, *range(0x09, 0x0E)]] = _SPACE
+    table[0x80:0xC0] = table[0xC3:0xC6] = _LETTER
+    return table
+
+
+_CLASS = _byte_classes()
+_SMALL = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def split_items(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(code of every item, items per text, distinct items, which of these are
+    single pre-tokens): runs of letters, single digits and runs of other
+    characters, with A-Z lowered as the tokenizer does; a word with an
+    apostrophe, a special token's begin, a control character or a code point
+    beyond U+017F is one item that the library splits itself."""
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]).translate(_SMALL), np.uint8)
+    kind = _CLASS[data]
+    word = kind != _SPACE
+    rare = kind == _RARE
+    lead = np.concatenate([[0], data[:-1]])
+    # no letters: the signs U+00D7 and U+00F7; U+0130 turns into two code points
+    rare |= (lead == 0xC3) & ((data == 0x97) | (data == 0xB7)) | (lead == 0xC4) & (data == 0xB0)
+    rare |= (lead == ord("<")) & (data == ord("|"))
+    # later bytes of rare code points belong to a word that is rare by its first
+    begins = word & ~np.concatenate([[False], word[:-1]])
+    number = np.cumsum(begins) - 1                       # of the word at or before each byte
+    odd = np.zeros(int(number[-1]) + 1 if len(number) else 0, bool)
+    odd[number[rare & word]] = True
+    plain = word & ~odd[number] if len(odd) else word
+    new = begins | plain & ((kind != np.concatenate([[_SPACE], kind[:-1]])) | (kind == _DIGIT))
+    at = np.flatnonzero(new)
+    inside = np.concatenate([[0], np.cumsum(word)])
+    offsets = np.append(inside[at], inside[-1]).astype(np.int32)
+    items = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[word].tobytes())])
+    coded = items.dictionary_encode()
+    codes = np.asarray(coded.indices, np.int64)
+    text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), at, "right")
+    single = np.zeros(len(coded.dictionary), bool)
+    single[codes] = plain[at]
+    return codes, np.bincount(text, minlength=len(texts)), coded.dictionary.to_pylist(), single
+
+
 class _Encoder:
-    """Ids of texts by the tokenizers library. Its pre-tokens never hold white
-    space, so the words between ASCII white space are encoded once each and put
-    together again; words are kept from slice to slice up to ``most`` of them."""
+    """Ids of texts by the tokenizers library, each distinct item once. Items
+    that are single pre-tokens are encoded as one long text, cut behind the
+    tokens that end a pre-token; the others one by one. Items are kept from slice
+    to slice as bytes of their ids, up to ``most`` of them."""
 
     def __init__(self, path: str, most: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's cores are Spark's to deal
         from tokenizers import Tokenizer
         self.lib, self.most, self.known = Tokenizer.from_file(path), most, {}
+        vocab = self.lib.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, items: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in self.lib.encode_batch_fast([i.decode() for i in items], add_special_tokens=False)]
+
+    def _learn(self, items: list[bytes], run: int = 4096) -> None:
+        """Ids of new single pre-tokens."""
+        for k in range(0, len(items), run):
+            part = items[k:k + run]
+            ids = np.array(self.lib.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):  # a vocabulary without word ends
+                self.known.update(zip(part, self._encode(part)))
+                continue
+            ids, ends = ids.tobytes(), (4 * ends).tolist()
+            self.known.update((w, ids[a:b]) for w, a, b in zip(part, [0, *ends], ends))
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by ``end_id``; ids per text)."""
-        codes, sizes, vocab = word_codes(texts)
+        codes, sizes, vocab, single = split_items([t or "" for t in texts.to_pylist()])
         if len(self.known) > self.most:
             self.known.clear()
-        fresh = [w for w in vocab if w not in self.known]
-        if fresh:
-            self.known.update(zip(fresh, (e.ids for e in self.lib.encode_batch_fast(fresh, add_special_tokens=False))))
-        rows = [self.known[w] for w in vocab]
-        length = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter(chain.from_iterable(rows), np.int32, int(length.sum()))
-        per_word = length[codes] if len(codes) else np.zeros(0, np.int64)
+        known = self.known
+        simple = [w for w, one in zip(vocab, single.tolist()) if one and w not in known]
+        rest = [w for w, one in zip(vocab, single.tolist()) if not one and w not in known]
+        self._learn(simple)
+        known.update(zip(rest, self._encode(rest)))
+        rows = [known[w] for w in vocab]
+        length = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        flat = np.frombuffer(b"".join(rows), np.int32)
+        per_item = length[codes] if len(codes) else np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
-        total = np.concatenate([[0], np.cumsum(per_word)])
+        total = np.concatenate([[0], np.cumsum(per_item)])
         n = total[ends] - total[ends - sizes]
         out = np.full(int(n.sum()) + len(n), end_id, np.int32)
-        if len(per_word):
+        if len(per_item):
             start = (np.cumsum(length) - length)[codes]
-            begin = total[:-1]
-            source = np.repeat(start - begin, per_word) + np.arange(int(total[-1]))
+            source = np.repeat(start - total[:-1], per_item) + np.arange(int(total[-1]))
             text = np.repeat(np.arange(len(n)), n)  # one end id more before each text
             out[np.arange(int(total[-1])) + text] = flat[source]
         return out, n + 1
@@ -234,7 +306,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["segment"])
 
         for batch in batches:
-            for a, b in text_slices(batch.column(1)):
+            for a, b in text_slices(batch.column(1), 2 << 20):
                 tokens, n = encoder(batch.column(1).slice(a, b - a), end_id)
                 doc_ids += batch.column(0).slice(a, b - a).to_pylist()
                 ids.append(tokens), sizes.append(n)
@@ -244,8 +316,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                     doc_ids, ids, sizes, held, place = [], [], [], 0, place + 1
         if held:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
-    ranged.mapInArrow(pack, "segment binary").select(F.col("segment").cast("string")).write.mode("overwrite").text(path)
+    with arrow_rows(docs.sparkSession, 1000):
+        ranged.mapInArrow(pack, "segment binary").select(F.col("segment").cast("string")).write.mode("overwrite").text(path)
     return path
 
 
