@@ -1,15 +1,19 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
 Pivots (a bounded sample) deal all vectors, queries among them, into cells; a
-cell's rows go to blocks of bounded size, each the root of a cover tree: every
-node covers its descendants within a radius. A query group has a centre and a
-radius too, and the worst of its queries' k-th scores so far. With query centre
-p, node centre c and radii a, b no inner product exceeds
-``<p, c> + |p| b + |c| a + a b``: a pair below the worst k-th score is pruned.
-
-Round 1 searches every query's own block. Round 2 prunes (query group, block)
-pairs by the block roots, then searches what is left. Queries meet a block in
-bundles of bounded size, so neither side of a task grows with the input.
+cell's rows go to blocks of bounded size, and each block is a cover tree: every
+node covers its rows within a radius. The queries that meet a block form a cover
+tree too, and pairs of nodes are searched, one from each tree. With query centre
+p, data centre c and radii a, b no inner product of the pair exceeds
+``<p, c> + |p| b + |c| a + a b``: below the worst k-th score of the query node's
+queries the whole pair is pruned, else the wider node is opened. Only pairs of
+leaves compute scores.
+
+Round 1 searches the block of each query. Round 2 prunes (query cell, block)
+pairs by the blocks' roots, then searches what is left. Queries meet a block in
+bundles of bounded size, so neither side of a task grows with the input. Every
+query is sent to each block that survives: copies of queries grow with the
+number of blocks that no bound excludes.
 """
 
 from __future__ import annotations
@@ -25,65 +29,88 @@ from vintner.session import materialize
 
 from .common import cuts, read
 
-_LEAF = 16
-_WIDE = 512
+_LEAF = 32   # rows of a leaf, at most (equal rows aside)
+_WIDE = 2048  # node pairs looked at together
+_SEED = 64    # data centres that every query meets first, for a k-th score to start with
 
 
 class CoverTree:
     """Nodes in breadth-first order: centre row, radius, range of children, and
-    whether the centre appears here for the first time."""
+    of a leaf (a node without children) its rows."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
         self.norm2 = (x * x).sum(axis=1)
-        center, radius, lo, hi, fresh = [0], [0.0], [0], [0], [True]
-        d = self._far(0, np.arange(1, len(x)))
-        todo = [(0, np.arange(1, len(x)), d)]
-        for node, rows, dist in todo:  # grows while it is read
+        center, radius, lo, hi, parent, self.rows = [0], [0.0], [0], [0], [0], {}
+        every = np.arange(len(x))
+        todo = [(every, self._far(0, every))]
+        for node, (rows, dist) in enumerate(todo):  # grows while it is read
             radius[node] = float(dist.max()) if len(rows) else 0.0
             lo[node] = len(center)
             if len(rows) <= _LEAF or radius[node] == 0.0:
-                groups = [(int(r), rows[:0], dist[:0], True) for r in rows]
+                self.rows[node] = rows
             else:
-                groups = self._net(center[node], rows, dist, radius[node] / 2)
-            for c, members, away, new in groups:
-                if len(members):
-                    todo.append((len(center), members, away))
-                center.append(c), radius.append(0.0), lo.append(0), hi.append(0), fresh.append(new)
+                for c, members, away in self._net(center[node], rows, dist, radius[node] / 2):
+                    todo.append((members, away))
+                    center.append(c), radius.append(0.0), lo.append(0), hi.append(0), parent.append(node)
             hi[node] = len(center)
-        self.center, self.radius = np.array(center), np.array(radius)
-        self.lo, self.hi, self.fresh = np.array(lo), np.array(hi), np.array(fresh)
+        self.center, self.radius, self.parent = np.array(center), np.array(radius), np.array(parent)
+        self.lo, self.hi = np.array(lo), np.array(hi)
+        self.leaf = self.lo == self.hi
+        self.length = np.sqrt(self.norm2[self.center]) if len(x) else np.zeros(1)
+        # nodes of one depth follow each other: the begins of the depths
+        depth = [0, 1]
+        while depth[-1] < len(center):
+            depth.append(int(self.hi[depth[-2]:depth[-1]].max()))
+        self.depths = depth
 
     def _far(self, c: int, rows: np.ndarray) -> np.ndarray:
+        if not len(rows):
+            return np.zeros(0)
         d2 = self.norm2[rows] + self.norm2[c] - 2 * (self.x[rows] @ self.x[c])
-        return np.sqrt(np.maximum(d2, 0))
+        return np.where(rows == c, 0.0, np.sqrt(np.maximum(d2, 0)))
 
     def _net(self, c: int, rows: np.ndarray, dist: np.ndarray, cover: float) -> list:
-        """Children whose centres are more than ``cover`` apart: the node's own
-        centre first, then always the row furthest from the centres so far."""
+        """Children (centre, rows, distances) whose centres are more than
+        ``cover`` apart: the node's own centre first, then always the row
+        furthest from the centres so far."""
         near = dist <= cover
-        out = [(c, rows[near], dist[near], False)] if near.any() else []
+        out = [(c, rows[near], dist[near])]
         rows, least = rows[~near], dist[~near]
         while len(rows):
             pick = int(rows[least.argmax()])
-            rows, least = rows[rows != pick], least[rows != pick]
             away = self._far(pick, rows)
             near = away <= cover
-            out.append((pick, rows[near], away[near], True))
+            out.append((pick, rows[near], away[near]))
             rows, least = rows[~near], np.minimum(least, away)[~near]
         return out
 
+    def lowest(self, values: np.ndarray) -> np.ndarray:
+        """Of every node, the least value among its rows."""
+        out = np.full(len(self.center), np.inf)
+        for node, rows in self.rows.items():
+            if len(rows):
+                out[node] = values[rows].min()
+        for a, b in zip(self.depths[-2:0:-1], self.depths[:0:-1]):
+            np.minimum.at(out, self.parent[a:b], out[a:b])
+        return out
+
 
 class _Best:
-    """The k best (score, id) of each query of a group."""
+    """The k best (score, id) of each query, an id once; ``pruned`` and ``met``
+    count pairs of nodes."""
 
     def __init__(self, floor: np.ndarray, k: int):
         self.k, self.kth = k, floor.astype(np.float64).copy()
         self.q, self.s, self.i = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        self.pruned = self.met = 0
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
-        q, j = np.nonzero((scores >= self.kth[:, None]) & (ids[None, :] != own[:, None]))
-        q, s, i = np.concatenate([self.q, q]), np.concatenate([self.s, scores[q, j]]), np.concatenate([self.i, ids[j]])
+    def add(self, q: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
+        q, s, i = np.concatenate([self.q, q]), np.concatenate([self.s, s]), np.concatenate([self.i, i])
+        order = np.lexsort((-s, i, q))
+        q, s, i = q[order], s[order], i[order]
+        once = np.concatenate([[True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])])[:len(q)]
+        q, s, i = q[once], s[once], i[once]
         order = np.lexsort((i, -s, q))
         q, s, i = q[order], s[order], i[order]
         at = cuts(q)
@@ -93,34 +120,45 @@ class _Best:
         self.kth[q[last]] = np.maximum(self.kth[q[last]], s[last])
 
 
-def search(tree: CoverTree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> _Best:
-    """Best rows of a tree for one query group; ``floor``: scores below which a
-    query needs nothing."""
+def dual_search(asked: CoverTree, own: np.ndarray, floor: np.ndarray, data: CoverTree, ids: np.ndarray, k: int) -> _Best:
+    """The k best rows of ``data`` for the queries of ``asked`` (whose ids are
+    ``own``); ``floor``: scores below which a query needs nothing."""
     best = _Best(floor, k)
-    mid = queries.mean(axis=0)
-    wide = float(np.sqrt(((queries - mid) ** 2).sum(axis=1).max()))
-    q_norm, mid_norm = np.sqrt((queries ** 2).sum(axis=1)), float(np.sqrt((mid ** 2).sum()))
-    c_norm = np.sqrt(tree.norm2)
-    front = np.array([0])
-    while len(front):
-        following = []
-        # most promising nodes first: they raise the k-th scores for the rest
-        bound = tree.x[tree.center[front]] @ mid + mid_norm * tree.radius[front] + c_norm[tree.center[front]] * wide + wide * tree.radius[front]
-        order = np.argsort(-bound, kind="stable")
-        front, bound = front[order], bound[order]
-        for a in range(0, len(front), _WIDE):
-            part, top = front[a:a + _WIDE], bound[a:a + _WIDE]
-            part = part[top + 1e-9 * np.abs(top) + 1e-6 >= best.kth.min()]
-            if not len(part):
-                break
-            scores = queries @ tree.x[tree.center[part]].T
-            new = tree.fresh[part]
-            if new.any():
-                best.add(scores[:, new], ids[tree.center[part[new]]], own)
-            reach = scores + q_norm[:, None] * tree.radius[part][None, :]
-            open_ = (reach + 1e-9 * np.abs(reach) + 1e-6 >= best.kth[:, None]).any(axis=0) & (tree.hi[part] > tree.lo[part])
-            following += [np.arange(tree.lo[p], tree.hi[p]) for p in part[open_]]
-        front = np.concatenate(following) if following else np.empty(0, np.int64)
+    if not (len(asked.x) and len(data.x)):
+        return best
+
+    def meet(rows, others):
+        """Candidates among the scores of some queries with some rows."""
+        scores = asked.x[rows] @ data.x[others].T
+        q, j = np.nonzero((scores >= best.kth[rows][:, None]) & (ids[others][None, :] != own[rows][:, None]))
+        return rows[q], scores[q, j], ids[others[j]]
+
+    best.add(*meet(np.arange(len(asked.x)), np.unique(data.center[:_SEED])))
+    stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        q, d = stack.pop()
+        bound = (asked.x[asked.center[q]] * data.x[data.center[d]]).sum(axis=1) + asked.length[q] * data.radius[d] \
+            + data.length[d] * asked.radius[q] + asked.radius[q] * data.radius[d]
+        reach = bound + 1e-9 * np.abs(bound) + 1e-6
+        order = np.flatnonzero(reach >= asked.lowest(best.kth)[q])
+        best.pruned, best.met = best.pruned + len(q) - len(order), best.met + len(q)
+        order = order[np.argsort(-bound[order], kind="stable")]  # most promising first: they raise the k-th scores
+        q, d, reach = q[order], d[order], reach[order]
+        both = asked.leaf[q] & data.leaf[d]
+        found = [meet(asked.rows[a], data.rows[b]) for a, b, top in zip(q[both].tolist(), d[both].tolist(), reach[both].tolist())
+                 if top >= best.kth[asked.rows[a]].min()]
+        if found:
+            best.add(*(np.concatenate(column) for column in zip(*found)))
+        q, d = q[~both], d[~both]
+        wide = ~data.leaf[d] & (asked.leaf[q] | (data.radius[d] >= asked.radius[q]))
+        pairs = []
+        for tree, open_, other, swap in ((data, d[wide], q[wide], False), (asked, q[~wide], d[~wide], True)):
+            n = tree.hi[open_] - tree.lo[open_]
+            child = np.repeat(tree.lo[open_] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pairs.append((child, np.repeat(other, n)) if swap else (np.repeat(other, n), child))
+        q, d = (np.concatenate(column) for column in zip(*pairs))
+        for a in range((len(q) - 1) // _WIDE * _WIDE if len(q) else -1, -1, -_WIDE):
+            stack.append((q[a:a + _WIDE], d[a:a + _WIDE]))
     return best
 
 
@@ -182,30 +220,18 @@ def exact_top_k(rows: DataFrame, k: int = 5, block_rows: int = 4096, max_pivots:
         return pa.table({"query_id": pa.array(query_ids[best.q], pa.int64()), "vec_id": pa.array(best.i, pa.int64()),
                          "score": pa.array(best.s, pa.float64()), "kth": pa.array(best.kth[best.q], pa.float64())})
 
-    def groups(x, cells):
-        """Query groups: a cell's queries, in runs of 64 along their first axes."""
-        order = np.lexsort((x[:, 0] if x.shape[1] else np.zeros(len(x)), cells))
-        at = cuts(cells[order])
-        for a, b in zip(at, [*at[1:], len(order)]):
-            for c in range(a, b, 64):
-                yield order[c:min(c + 64, b)]
-
     def own_block(table):
         x, ids = _matrix(table.column("vec"), width), np.asarray(table.column("id"))
         ask = np.flatnonzero(np.asarray(table.column("is_query")))
         if not len(ask):
             return found(np.empty(0, np.int64), _Best(np.empty(0), k))
-        tree, cells = CoverTree(x), np.asarray(table.column("cell"))[ask]
-        return pa.concat_tables(found(ids[ask[g]], search(tree, ids, x[ask[g]], ids[ask[g]], np.full(len(g), -np.inf), k))
-                                for g in groups(x[ask], cells))
+        return found(ids[ask], dual_search(CoverTree(x[ask]), ids[ask], np.full(len(ask), -np.inf), CoverTree(x), ids, k))
 
     def other_blocks(left, right):
         if not (left.num_rows and right.num_rows):
             return found(np.empty(0, np.int64), _Best(np.empty(0), k))
-        tree, ids = CoverTree(_matrix(left.column("vec"), width)), np.asarray(left.column("id"))
         x, q, floor = _matrix(right.column("vec"), width), np.asarray(right.column("id")), np.asarray(right.column("kth"))
-        return pa.concat_tables(found(q[g], search(tree, ids, x[g], q[g], floor[g], k))
-                                for g in groups(x, np.asarray(right.column("cell"))))
+        return found(q, dual_search(CoverTree(x), q, floor, CoverTree(_matrix(left.column("vec"), width)), np.asarray(left.column("id")), k))
 
     near = materialize(blocked.groupBy("block").applyInArrow(own_block, found_type), "near")
     kth = near.groupBy(F.col("query_id").alias("id")).agg(F.max("kth").alias("kth"))
