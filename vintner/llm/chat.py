@@ -98,8 +98,9 @@ class RoleModel:
 def fit_roles(turns: DataFrame) -> RoleModel:
     """Counts over all turns with a marker; transitions between neighbouring
     turns of a conversation that both have one. ``place`` numbers the turns of a
-    partition without gaps. Turns read in one go form a run; the driver counts
-    between the end of each run and the start of the next (two rows a run)."""
+    partition without gaps. Turns read in one go form a run; between the end of
+    each run and the start of the next (two rows a run) is counted on the cluster,
+    so only sums reach the driver."""
     n, k = len(ROLES), _LENGTHS + _LINES + 4
 
     def count(batches):
@@ -146,18 +147,34 @@ def fit_roles(turns: DataFrame) -> RoleModel:
         elif after[2] >= 0 and before[2] >= 0:
             total[before[2], 1 + after[2]] += 1
 
-    out, heads, tails = np.zeros((n, 1 + n + k)), [], []
-    for r in turns.mapInArrow(count, "i long, j long, place long, conv long, n long").groupBy("i", "j", "place", "conv").agg(F.sum("n").alias("n")).collect():
-        if r["i"] < 0:
-            (heads if r["i"] == -1 else tails).append((r["place"], r["conv"], r["j"]))
-        else:
-            out[r["i"], r["j"]] = r["n"]
-    heads, tails = (sorted(x, key=lambda t: t[0]) for x in (heads, tails))
-    for before, after in zip([(-1, object(), -1), *tails], heads):
-        between(out, before, after)
+    made = materialize(turns.mapInArrow(count, "i long, j long, place long, conv long, n long"), "role-counts")
+    counts = made.where("i >= 0").select("i", "j", "n").unionByName(_between_runs(made.where("i < 0")))
+    out = np.zeros((n, 1 + n + k))
+    for r in counts.groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+        out[r["i"], r["j"]] = r["n"]
     return RoleModel(out[:, 0], out[:, 1:1 + n], np.split(out[:, 1 + n:], [_LENGTHS, _LENGTHS + _LINES], axis=1))
 
 
+def _between_runs(ends: DataFrame, group: int = 1000) -> DataFrame:
+    """(i, j, n): counts of the first turns of runs, given the last turn of the
+    run before. ``ends`` holds the first (i = -1) and last (i = -2) turn of every
+    run with its mark j. Neighbours meet within groups of partitions; only the
+    border turns of the groups pass a window without a key."""
+    part = F.shiftright("place", 33)  # the partition of a row id
+    ends = ends.select((F.floor(part / group)).alias("g"), "place", "i", "conv", F.col("j").alias("mark"))
+    turn = F.struct("place", (-F.col("i")).alias("late"), "conv", "mark")
+    inside = Window.partitionBy("g").orderBy("place", F.col("i").desc())
+    near = ends.withColumns({"before": F.lag(turn).over(inside), "turn": turn})
+    outer = Window.orderBy("g")
+    border = ends.groupBy("g").agg(F.max(turn).alias("last")).select(F.col("g").alias("g_"), F.lag("last").over(outer).alias("last"))
+    near = near.where("i = -1").join(border, F.col("g") == F.col("g_")).withColumn("before", F.coalesce("before", "last")) \
+        .where("mark >= 0")
+    same = F.col("before").isNotNull() & F.col("conv").eqNullSafe(F.col("before.conv"))
+    starts = near.where(~same).select(F.col("mark").alias("i"), F.lit(0).cast("long").alias("j"))
+    steps = near.where(same & (F.col("before.mark") >= 0)).select(F.col("before.mark").alias("i"), (1 + F.col("mark")).alias("j"))
+    return starts.unionByName(steps).select("i", "j", F.lit(1).cast("long").alias("n"))
+
+
 def _observed(b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
     names = b.schema.names
     got = [_observe(r, t) for r, t in zip(b.column(names.index("role")).to_pylist(), b.column(names.index("text")).to_pylist())]
