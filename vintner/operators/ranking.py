@@ -1,7 +1,7 @@
 """Position of each row inside its group, by one path for every size.
 
-Rows are range-partitioned by (group, order, hash of the row) and written once
-with the number of their partition. Rows are counted per (group, partition); a
+Rows are range-partitioned by (group, order, hash of the row, place in the input)
+and written once with the number of their partition. Rows are counted per (group, partition); a
 prefix sum over these few counts gives each partition its offset, and
 ``row_number`` runs per (group, partition). A group that holds a third of the
 table, or rows that share one order value, spread over many partitions; nothing
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from vintner.functions.names import col_of
 from vintner.session import materialize
 
-_P = "_rank_part"
+_P, _ROW = "_rank_part", "_rank_row"
 
 
 def sequence_within_groups(df: DataFrame, groups: Sequence[str], order: str,
@@ -39,7 +39,10 @@ def sequence_within_groups(df: DataFrame, groups: Sequence[str], order: str,
     tie = F.xxhash64(*[col_of(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
     by = [*keys, col_of(order), tie]
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(n, *by).withColumn(_P, F.spark_partition_id()), "ranked")
+    # rows that are equal in all columns are told apart by their place in the
+    # input, so that a large group of them makes no hot range
+    placed = df.withColumn(_ROW, F.monotonically_increasing_id())
+    ranged = materialize(placed.repartitionByRange(n, *by, F.col(_ROW)).drop(_ROW).withColumn(_P, F.spark_partition_id()), "ranked")
     names = [f"_k{i}" for i in range(len(keys))]
     counts = ranged.groupBy(*[k.alias(a) for k, a in zip(keys, names)], F.col(_P).alias("_kp")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*(names or [F.lit(0)])).orderBy("_kp").rowsBetween(Window.unboundedPreceding, -1)

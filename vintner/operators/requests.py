@@ -22,8 +22,8 @@ from vintner.operators.ranking import sequence_within_groups
 def batch_requests(df: DataFrame, order: str, columns: Sequence[str],
                    rows_per_request: int = 100) -> DataFrame:
     """``(request_id, n_rows, request)``; ``order`` must be unique. ``df`` is
-    read three times (see ``ranking``): pass a written table, not a long
-    lineage."""
+    read once for the positions and sampled once for their ranges (see
+    ``ranking``): pass a written table, not a long lineage."""
     if rows_per_request < 1:
         raise ValueError("rows_per_request must be at least 1")
     cols = list(columns)

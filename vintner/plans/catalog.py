@@ -203,7 +203,7 @@ def q_eval_metrics(spark, sf_dir):
 def q_metrics_report(spark, sf_dir):
     """X10 + X5: the run summary as report lines, one row per line."""
     m = regression_metrics(_test_scored(spark, sf_dir), LABEL)
-    header = F.format_string("Elasticnet model (alpha=%f, l1_ratio=%f):", F.lit(ALPHA), F.lit(L1_RATIO))
+    header = F.format_string(sql.REPORT_HEADER, F.lit(ALPHA), F.lit(L1_RATIO))
     lines = F.array(
         F.struct(F.lit(0).alias("line_no"), header.alias("line")),
         F.struct(F.lit(1).alias("line_no"), metric_line("RMSE", F.col("rmse")).alias("line")),
@@ -247,7 +247,7 @@ def q_request_payload(spark, sf_dir):
 
 def q_batch_requests(spark, sf_dir):
     """X7 batch form: one request per 100 baskets in key order. The numbering
-    reads its input three times, so the baskets are written once first."""
+    reads its input and samples it, so the baskets are written once first."""
     return batch_requests(materialize(read_baskets(spark, sf_dir), "baskets"), KEY, ALL_FEATURES,
                           REQUEST_ROWS)
 

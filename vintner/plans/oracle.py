@@ -82,6 +82,9 @@ ALL_FEATS = ["q", "c", "d"]
 TRAIN_MODEL = cd_ctes("(SELECT * FROM flagged WHERE NOT is_test)", SPLIT_FEATS, "y")
 
 
+# Fixed value: the first line of a run's printed summary.
+REPORT_HEADER = "Elasticnet model (alpha=%f, l1_ratio=%f):"
+
 # name -> expression, the same in Spark and in DuckDB
 WIDE_FEATURES = {
     "quantity": "l_quantity",
@@ -129,7 +132,7 @@ def metrics_report_sql() -> str:
 , m AS (SELECT sqrt(avg((f.y - {pred}) * (f.y - {pred}))) AS rmse, avg(abs(f.y - {pred})) AS mae,
                1 - sum((f.y - {pred}) * (f.y - {pred})) / (var_pop(f.y) * count(f.y)) AS r2
         FROM flagged f, coef WHERE f.is_test)
-SELECT 0 AS line_no, printf('Elasticnet model (alpha=%f, l1_ratio=%f):', {ALPHA!r}, {L1_RATIO!r}) AS line FROM m
+SELECT 0 AS line_no, printf('{REPORT_HEADER}', {ALPHA!r}, {L1_RATIO!r}) AS line FROM m
 UNION ALL SELECT 1, printf('  RMSE: %f', rmse) FROM m
 UNION ALL SELECT 2, printf('  MAE: %f', mae) FROM m
 UNION ALL SELECT 3, printf('  R2: %f', r2) FROM m""")

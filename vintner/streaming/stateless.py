@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +18,10 @@ def stream_through(spark: SparkSession, source: str, transform: Callable[[DataFr
     restarted query resumes where it stopped and the file sink stays
     exactly-once.
     """
-    schema = spark.read.format(fmt).load(source).schema
+    batch = spark.read.format(fmt).load(source)
+    schema = batch.schema
     reader = spark.readStream.schema(schema).format(fmt)
-    if source.rstrip("/").endswith(f".{fmt}") and not _is_dir(spark, source):
+    if source.rstrip("/").endswith(f".{fmt}") and not _is_dir(batch.inputFiles(), source):
         # a file stream source watches a folder: watch the parent, this file only
         folder, name = source.rstrip("/").rsplit("/", 1)
         stream = reader.option("pathGlobFilter", name).load(folder)
@@ -33,8 +35,7 @@ def stream_through(spark: SparkSession, source: str, transform: Callable[[DataFr
     return spark.read.parquet(f"{sink}/data")
 
 
-def _is_dir(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+def _is_dir(files: list[str], path: str) -> bool:
+    """Whether the files that a path stands for lie below it."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    return not (len(files) == 1 and unquote(files[0]).rsplit("/", 1)[-1] == name)
