@@ -10,7 +10,7 @@ subsumption maxima (greatest entry of its own stripe for a word more behind, and
 of the stripes it ends for a word more in front).
 
 Only prefixes and endings that occur often enough can grow, so the words are
-counted level by level: a chunk of a few million words counts the pairs of
+counted level by level: a chunk of about half a million words counts the pairs of
 neighbouring frequent grams of the level before (first gram = prefix, second =
 the prefix without its first word and with the next word, so the two ids say
 exactly which longer gram it is), sends each distinct pair once, and receives
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vintner.session import materialize
 
-from .common import cuts, hash_words, mix, pack, pack_sorted, quoted, read, text_bytes, text_slices, unpack, unpack_sorted
+from .common import arrow_rows, cuts, hash_words, mix, pack, pack_sorted, quoted, read, text_bytes, text_slices, unpack, unpack_sorted
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _KIND = np.zeros(256, np.uint8)  # of a byte: 0 in a word, 1 between words, 2 between pieces
@@ -178,7 +178,7 @@ def _merge(table: pa.Table, bucket: int, n_buckets: int, least: int, last: bool)
 
 
 def count_stripes(docs: DataFrame, longest: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang",
-                  chunk_words: int = 1 << 22, bucket_words: int = 1 << 20, sub_entries: int = 1 << 18) -> tuple[list[DataFrame], DataFrame]:
+                  chunk_words: int = 1 << 19, bucket_words: int = 1 << 20, sub_entries: int = 1 << 18) -> tuple[list[DataFrame], DataFrame]:
     """The merged stripes per level (rows of one prefix or part of one), and
     (lang, n): the words of each language."""
     spark = docs.sparkSession
@@ -189,7 +189,7 @@ def count_stripes(docs: DataFrame, longest: int = 4, least: int = 30, text_col:
         from pyspark import TaskContext
         task, chunk = TaskContext.get().partitionId() << 32, _Chunk()
         for batch in batches:
-            for a, b in text_slices(batch.column(1)):
+            for a, b in text_slices(batch.column(1), 2 << 20):
                 chunk.add(batch.column(0).slice(a, b - a).to_pylist(), [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 if chunk.n >= chunk_words or len(chunk.names) >= chunk_words // 2:
                     yield chunk.rows(task, n_buckets)
@@ -197,7 +197,8 @@ def count_stripes(docs: DataFrame, longest: int = 4, least: int = 30, text_col:
         if chunk.n:
             yield chunk.rows(task, n_buckets)
 
-    chunks = materialize(rows.mapInArrow(start, _CHUNK_SQL), "phrase-words")
+    with arrow_rows(spark, 1000):
+        chunks = materialize(rows.mapInArrow(start, _CHUNK_SQL), "phrase-words")
     sizes = chunks.where("bucket < 0").select(F.explode(F.arrays_zip("langs", "sizes")).alias("x")) \
         .groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.sizes").alias("n"))
     def merging(last):
