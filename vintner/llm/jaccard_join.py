@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vintner.session import materialize
 
-from .common import (Union, connected_components, cuts, hash_words, mix, pack, pack_sorted, quoted,
+from .common import (Union, arrow_rows, connected_components, cuts, hash_words, mix, pack, pack_sorted, quoted,
                      read, text_bytes, text_slices, unpack, unpack_sorted, word_codes)
 
 _AXES = 64          # coordinates of a count vector
@@ -280,7 +280,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         return pa.table({"key": pa.array(keys[many].view(np.int64)), "id": pa.array(ids[many], pa.int64()), "low": pa.array(low[many], pa.int64())})
 
     ddl = "id long, n long, fa long, fb long, counts binary, bucket int, hashes binary, owners binary, ids binary"
-    made = materialize(rows.mapInArrow(features, ddl), "shingles")
+    with arrow_rows(spark, 1000):
+        made = materialize(rows.mapInArrow(features, ddl), "shingles")
     member = made.where("bucket IS NULL").select("id", "n", "fa", "fb")
     classes = member.where("fa IS NOT NULL").groupBy("fa", "fb").agg(F.min("id").alias("rep"))
     member = materialize(member.join(classes, ["fa", "fb"], "left")
