@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vintner.session import scratch_path
+from vintner.session import materialize, scratch_path
 
 from .common import arrow_rows, quoted, read, select_in_words, text_bytes, text_slices
 from .pieces import model_path
@@ -204,21 +204,25 @@ def split_items(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes],
     rare |= (lead == ord("<")) & (data == ord("|"))
     # later bytes of rare code points belong to a word that is rare by its first
     begins = word & ~np.concatenate([[False], word[:-1]])
-    number = np.cumsum(begins) - 1                       # of the word at or before each byte
-    odd = np.zeros(int(number[-1]) + 1 if len(number) else 0, bool)
-    odd[number[rare & word]] = True
-    plain = word & ~odd[number] if len(odd) else word
+    plain = word.copy()
+    if (found := np.flatnonzero(rare & word)).size:
+        begin = np.flatnonzero(begins)
+        odd = np.unique(np.searchsorted(begin, found, "right") - 1)
+        border = np.zeros(len(data) + 1, np.int8)        # from an odd word's begin to the next word
+        border[begin[odd]] += 1
+        border[np.append(begin, len(data))[odd + 1]] -= 1
+        plain &= np.cumsum(border[:-1], dtype=np.int8) == 0
     new = begins | plain & ((kind != np.concatenate([[_SPACE], kind[:-1]])) | (kind == _DIGIT))
     at = np.flatnonzero(new)
-    inside = np.concatenate([[0], np.cumsum(word)])
-    offsets = np.append(inside[at], inside[-1]).astype(np.int32)
+    inside = np.cumsum(word, dtype=np.int32)
+    offsets = np.append(inside[at] - 1, inside[-1:]).astype(np.int32)
     items = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[word].tobytes())])
     coded = items.dictionary_encode()
     codes = np.asarray(coded.indices, np.int64)
-    text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), at, "right")
+    sizes = np.diff(np.searchsorted(at, np.cumsum([0, *(len(r) + 1 for r in raw)])))
     single = np.zeros(len(coded.dictionary), bool)
     single[codes] = plain[at]
-    return codes, np.bincount(text, minlength=len(texts)), coded.dictionary.to_pylist(), single
+    return codes, sizes, coded.dictionary.to_pylist(), single
 
 
 class _Encoder:
@@ -227,7 +231,7 @@ class _Encoder:
     tokens that end a pre-token; the others one by one. Items are kept from slice
     to slice as bytes of their ids, up to ``most`` of them."""
 
-    def __init__(self, path: str, most: int = 1 << 18):
+    def __init__(self, path: str, most: int = 1 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's cores are Spark's to deal
         from tokenizers import Tokenizer
         self.lib, self.most, self.known = Tokenizer.from_file(path), most, {}
@@ -240,15 +244,15 @@ class _Encoder:
 
     def _learn(self, items: list[bytes], run: int = 4096) -> None:
         """Ids of new single pre-tokens."""
-        for k in range(0, len(items), run):
-            part = items[k:k + run]
-            ids = np.array(self.lib.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.int32)
+        runs = [items[k:k + run] for k in range(0, len(items), run)]
+        for part, found in zip(runs, self._encode([b" ".join(r) for r in runs])):
+            ids = np.frombuffer(found, np.int32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(part):  # a vocabulary without word ends
                 self.known.update(zip(part, self._encode(part)))
                 continue
-            ids, ends = ids.tobytes(), (4 * ends).tolist()
-            self.known.update((w, ids[a:b]) for w, a, b in zip(part, [0, *ends], ends))
+            ends = (4 * ends).tolist()
+            self.known.update((w, found[a:b]) for w, a, b in zip(part, [0, *ends], ends))
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by ``end_id``; ids per text)."""
@@ -256,24 +260,22 @@ class _Encoder:
         if len(self.known) > self.most:
             self.known.clear()
         known = self.known
-        simple = [w for w, one in zip(vocab, single.tolist()) if one and w not in known]
-        rest = [w for w, one in zip(vocab, single.tolist()) if not one and w not in known]
-        self._learn(simple)
-        known.update(zip(rest, self._encode(rest)))
+        fresh = [(w, one) for w, one in zip(vocab, single.tolist()) if w not in known]
+        self._learn([w for w, one in fresh if one])
+        if rest := [w for w, one in fresh if not one]:
+            known.update(zip(rest, self._encode(rest)))
         rows = [known[w] for w in vocab]
         length = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
         flat = np.frombuffer(b"".join(rows), np.int32)
-        per_item = length[codes] if len(codes) else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(length[codes] if len(codes) else codes)])
         ends = np.cumsum(sizes)
-        total = np.concatenate([[0], np.cumsum(per_item)])
-        n = total[ends] - total[ends - sizes]
-        out = np.full(int(n.sum()) + len(n), end_id, np.int32)
-        if len(per_item):
-            start = (np.cumsum(length) - length)[codes]
-            source = np.repeat(start - total[:-1], per_item) + np.arange(int(total[-1]))
-            text = np.repeat(np.arange(len(n)), n)  # one end id more before each text
-            out[np.arange(int(total[-1])) + text] = flat[source]
-        return out, n + 1
+        n = total[ends] - total[ends - sizes] + 1
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flat))
+        out = np.full(int(n.sum()), end_id, np.int32)
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(n) - 1] = False
+        out[inner] = np.asarray(lists.take(pa.array(codes)).flatten())
+        return out, n
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id",
@@ -341,11 +343,12 @@ def map_documents(spark: SparkSession, path: str, fields: str, work) -> DataFram
         .mapInArrow(run, f"doc_id long, part long, place long, start long, n_tokens long, {fields}")
 
 
-def with_global_starts(local: DataFrame, documents: DataFrame) -> DataFrame:
+def with_global_starts(local: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """``start`` counted over all files: adds the ids of the segments before. The
-    window runs over one row per segment (``segment_ids`` ids or more each)."""
+    window runs over one row per segment (``segment_ids`` ids or more each). The
+    segments are those of ``documents`` (of ``local``, if not given)."""
     ahead = Window.orderBy("p", "q").rowsBetween(Window.unboundedPreceding, -1)
-    before = documents.groupBy(F.col("part").alias("p"), F.col("place").alias("q")).agg(F.sum("n_tokens").alias("n")) \
+    before = (local if documents is None else documents).groupBy(F.col("part").alias("p"), F.col("place").alias("q")).agg(F.sum("n_tokens").alias("n")) \
         .select("p", "q", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     return local.join(before, (F.col("part") == F.col("p")) & (F.col("place") == F.col("q"))) \
         .withColumn("start", F.col("start") + F.col("ahead")).drop("part", "place", "p", "q", "ahead")
@@ -386,5 +389,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids = s.ids.astype("<u4")
         return [pa.array([zlib.crc32(ids[a:b]) for a, b in zip(start.tolist(), end.tolist())], pa.int64())]
 
-    out = map_documents(spark, path, "ids_crc32 long", digest)
-    return with_global_starts(out, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # written, as it is small and read twice: the files are parsed once
+    out = materialize(map_documents(spark, path, "ids_crc32 long", digest), "token-documents")
+    return with_global_starts(out).select("doc_id", "start", "n_tokens", "ids_crc32")
