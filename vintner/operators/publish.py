@@ -69,7 +69,7 @@ def drop_table(spark: SparkSession, db: str, table: str) -> None:
     kept = snapshots_of(spark, db, table) if _exists(spark, name) else []
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     for folder in kept:
-        remove_folder(spark, folder, f"{sanitize_identifier(db)}.{table}__removed")
+        remove_folder(spark, folder, sanitize_identifier(db))
 
 
 def _base_folder(spark: SparkSession, db: str, table: str, location: str | None) -> str:
@@ -137,19 +137,22 @@ def overwrite_table(df: DataFrame, db: str, table: str, fmt: str = "parquet",
     _heal(spark, db, table)
     stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S")
     folder = f"{_base_folder(spark, db, table, location)}/snapshot-{stamp}-{uuid.uuid4().hex[:12]}"
-    removed = f"{sanitize_identifier(db)}.{table}__removed"
     try:
         df.write.format(fmt).save(folder)
     except Exception:
-        remove_folder(spark, folder, removed)
+        remove_folder(spark, folder, sanitize_identifier(db))
         raise
     before = snapshots_of(spark, db, table) if _exists(spark, name) else []
     schema = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in df.schema])
     _point_table(spark, db, table, fmt, schema, folder)
+    left = []
     for old in before[keep:]:
-        remove_folder(spark, old, removed)
+        try:
+            remove_folder(spark, old, sanitize_identifier(db))
+        except AnalysisException:  # the new rows are published: the next one tries again
+            left.append(old)
     # last: a publisher that dies before this leaves folders behind, no wrong list
-    kept = "\n".join([folder, *before[:keep]])
+    kept = "\n".join([folder, *before[:keep], *left])
     spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({_text(_SNAPSHOTS)} = {_text(kept)})")
     return name
 

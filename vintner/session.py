@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -12,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: str | None = None
+_PROCESS, _REMOVING = uuid.uuid4().hex[:12], threading.Lock()
 _SCOPE: ContextVar[list[str] | None] = ContextVar("vintner_scratch_scope", default=None)
 
 
@@ -105,16 +107,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def remove_folder(spark: SparkSession, path: str, via: str = "default.vintner__removed") -> None:
+def remove_folder(spark: SparkSession, path: str, db: str = "default") -> None:
     """Remove a folder on any storage Spark reaches, by SQL alone: a throw-away
-    managed table ``via`` is pointed at the folder and dropped, and the catalog
-    removes a managed table's files. A folder that is not there is no error."""
-    name = ".".join("`" + part.replace("`", "``") + "`" for part in via.split(".", 1))
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"CREATE TABLE {name} (x INT) USING parquet")
+    managed table in ``db`` is pointed at the folder and dropped, and the catalog
+    removes a managed table's files. The table has a name of this process, so
+    callers do not meet (threads take turns). A folder that is not there is no
+    error."""
+    name = f"`{db.replace('`', '``')}`.`vintner__removed_{_PROCESS}`"
     place = path.replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(f"ALTER TABLE {name} SET LOCATION '{place}'")
-    spark.sql(f"DROP TABLE {name}")
+    with _REMOVING:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} (x INT) USING parquet")
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{place}'")
+        spark.sql(f"DROP TABLE {name}")
 
 
 @contextmanager
