@@ -128,3 +128,21 @@ def test_roles_are_the_best_of_all_paths(spark, monkeypatch):  # noqa: F811
                 return total + sum(model.step[a][b] + emit[i][b] for i, (a, b) in enumerate(zip(path, path[1:]), 1))
             got = [chat.ROLES.index(x.role) for x in sorted(turns, key=lambda x: x.turn)]
             assert score(got) == max(score(p) for p in itertools.product(range(len(chat.ROLES)), repeat=len(mine)))
+
+
+def test_longer_codes_keep_their_recall():
+    """Codes of 1, 2 and 3 rotations (larger labels take longer ones and more
+    tables): pairs at the cosine of the query share a bucket."""
+    from vintner.llm import near_vectors
+    r = np.random.default_rng(12)
+    for dims in (32, 64, 384):
+        x = r.normal(size=(300, dims))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        side = r.normal(size=x.shape)
+        side -= (side * x).sum(axis=1, keepdims=True) * x
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        y = 0.98 * x + np.sqrt(1 - 0.98 ** 2) * side
+        for hashes in (1, 2, 3):
+            a, b = (near_vectors.codes(v, 6 * hashes, hashes, 3) for v in (x, y))
+            met = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)])
+            assert met >= 0.97, (dims, hashes, met)
