@@ -64,6 +64,7 @@ def shingle_sets(texts: pa.Array, width: int):
             yield None
 
 
+_SLICE = 1 << 20  # bytes of text worked on at a time
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -197,7 +198,7 @@ def linked(sets: list[np.ndarray], roots: np.ndarray, num: int, den: int) -> np.
 
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                    text_col: str = "text", block_docs: int = 4000, key_docs: int = 4096, bucket_keys: int = 1 << 20, task_rows: int = 20_000,
-                   task_keys: int = 2_000_000) -> DataFrame:
+                   task_keys: int = 1_000_000) -> DataFrame:
     r"""(id, n_shingles, component): for every row its number of distinct
     ``width``-word shingles and the smallest id reachable over links.
 
@@ -240,7 +241,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         seen: set = set()
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), {k: [] for k, _ in fields}
-            sets = (s for a, b in text_slices(batch.column(1)) for s in shingle_sets(batch.column(1).slice(a, b - a), width))
+            sets = (s for a, b in text_slices(batch.column(1), _SLICE) for s in shingle_sets(batch.column(1).slice(a, b - a), width))
             for i, s in zip(ids, sets):
                 fa = fb = counts = None
                 if s is not None:
@@ -263,6 +264,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
                 n_held = 0
         if n_held:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     def share(table):
         """(key, id, low) for the keys of this range that several documents
@@ -299,7 +301,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
 
     def check(table):
         texts = table.column("text").combine_chunks()
-        sets = [s for a, b in text_slices(texts) for s in shingle_sets(texts.slice(a, b - a), width)]
+        sets = [s for a, b in text_slices(texts, _SLICE) for s in shingle_sets(texts.slice(a, b - a), width)]
         ids = np.asarray(table.column("id").combine_chunks(), np.int64)
         label = np.asarray(table.column("label").combine_chunks(), np.int64)
         ok = np.array([s is not None for s in sets], bool)
