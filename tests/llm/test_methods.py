@@ -146,3 +146,20 @@ def test_longer_codes_keep_their_recall():
             a, b = (near_vectors.codes(v, 6 * hashes, hashes, 3) for v in (x, y))
             met = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)])
             assert met >= 0.97, (dims, hashes, met)
+
+
+def test_texts_with_shingles_of_their_own_file_no_keys(spark, monkeypatch):  # noqa: F811
+    from vintner.llm import jaccard_join
+    r, made = random.Random(3), {}
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, passage + " " + " ".join(word() for _ in range(120))) for i in range(40)]
+    rows += [(100, rows[7][1] + " end"), (101, rows[7][1])]
+
+    def kept(df, name, write=jaccard_join.materialize):
+        made[name] = write(df, name)
+        return made[name]
+    monkeypatch.setattr(jaccard_join, "materialize", kept)
+    out = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.id: x.component for x in out} == {i: 7 if i >= 100 else i for i, _ in rows}
+    assert {x.id for x in made["shared"].select("id").distinct().collect()} == {7, 100}  # the passage alone makes no candidates

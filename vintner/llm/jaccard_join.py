@@ -1,6 +1,9 @@
 r"""N-gram Jaccard join over a count-vector R-tree.
 
-1. Every document's distinct word shingles are hashed into groups; the content
+0. A third of all shingle hashes are looked up among all texts: a text with more
+   shingles that no other text has than a link leaves room for links with
+   nothing, exactly, and takes no further part.
+1. Every other document's distinct word shingles are hashed into groups; the content
    of one group (its combined hash) is a block key. With more groups than two
    linked sets can differ in, two linked sets agree on the whole content of at
    least one group: no link is lost. Keys of a map task travel as packed arrays
@@ -31,13 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vintner.session import materialize
 
-from .common import (Union, arrow_rows, connected_components, cuts, hash_words, mix, pack, pack_sorted, quoted,
-                     read, text_bytes, text_slices, unpack, unpack_sorted, word_codes)
+from .common import (Union, arrow_rows, connected_components, contracted, cuts, hash_words, mix, pack, pack_sorted,
+                     quoted, read, text_bytes, text_slices, unpack, unpack_sorted, word_codes)
 
 _AXES = 64          # coordinates of a count vector
 _LEAF = 32          # points of an R-tree leaf
 _SPARE = 3          # groups beyond the number that can differ
 _CLASS_RATIO = 1.5  # set sizes from one size class to the next
+_PROBE = 3          # one in so many hashes is looked up among all classes
 
 
 def shingle_sets(texts: pa.Array, width: int):
@@ -107,6 +111,31 @@ def block_keys(hashes: np.ndarray, num: int, den: int, memo: dict) -> np.ndarray
     return np.concatenate(out)
 
 
+def by_bucket(keys: np.ndarray, ids: np.ndarray, n_buckets: int) -> dict[str, list]:
+    """Keys and the ids that hold them, packed, a row for each bucket of keys."""
+    bucket = (keys % np.uint64(n_buckets)).astype(np.int64)
+    order = np.lexsort((keys, bucket))
+    at = cuts(bucket[order])
+    out = {"bucket": [], "hashes": [], "owners": [], "ids": []}
+    for a, b in zip(at, [*at[1:], len(order)]):
+        part = order[a:b]
+        own, where = np.unique(ids[part], return_inverse=True)
+        for k, v in zip(out, (int(bucket[part[0]]), pack_sorted(keys[part]), pack(where.astype(np.uint32)), pack_sorted(own))):
+            out[k].append(v)
+    return out
+
+
+def from_buckets(table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the packed rows of a bucket and the ids that hold them, ordered by both."""
+    keys, ids = [], []
+    for h, o, i in zip(*(table.column(c).to_pylist() for c in ("hashes", "owners", "ids"))):
+        keys.append(unpack_sorted(h, np.uint64))
+        ids.append(unpack_sorted(i, np.int64)[unpack(o, np.uint32)])
+    keys, ids = np.concatenate(keys), np.concatenate(ids)
+    order = np.lexsort((ids, keys))
+    return keys[order], ids[order]
+
+
 class _RTree:
     """Packed R-tree over count vectors, sorted by size, then tiled by the
     coordinates; level 0 are the leaves."""
@@ -213,54 +242,104 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     num, den = percent, 100
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
-    n_buckets = max(1, math.ceil(text_bytes(rows) / 6 * (100 - percent) / 50 / bucket_keys))
-    fields = [("id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()),
-              ("counts", pa.binary()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("ids", pa.binary())]
+    probe = max(1, min(_PROBE, 60 // max(1, 100 - percent)))
+    key_fields = [("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("ids", pa.binary())]
+    key_ddl = "bucket int, hashes binary, owners binary, ids binary"
+
+    def prints(s):
+        """Class of a set: two sums over its hashes."""
+        return (int(mix(s).sum(dtype=np.uint64).view(np.int64)),
+                int(mix(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64).view(np.int64)))
+
+    # 1. sets, classes, and a sample of the hashes to count the classes that hold each
+    n_probes = max(1, math.ceil(text_bytes(rows) / 6 / probe / bucket_keys))
+    fields = [("id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), *key_fields]
     schema = pa.schema(fields)
 
     def features(batches):
-        held_keys, held_owner, held_ids, n_held = [], [], [], 0
-        memo: dict = {}
+        held, owner, n_held, seen = [], [], 0, set()
 
         def flush():
-            keys, ids = np.concatenate(held_keys), np.array(held_ids, np.int64)
-            owner = np.concatenate(held_owner)
-            bucket = ((keys >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.lexsort((keys, bucket))
-            at = cuts(bucket[order])
-            out = {k: [] for k, _ in fields}
-            for a, b in zip(at, [*at[1:], len(order)]):
-                part = order[a:b]
-                own, where = np.unique(ids[owner[part]], return_inverse=True)
-                for k, v in zip(out, (None, None, None, None, None, int(bucket[part[0]]), pack_sorted(keys[part]),
-                                      pack(where.astype(np.uint32)), pack_sorted(own))):
-                    out[k].append(v)
-            held_keys.clear(), held_owner.clear(), held_ids.clear()
-            return pa.RecordBatch.from_pydict(out, schema=schema)
+            keys, own = np.concatenate(held), np.repeat(np.array(owner, np.int64), [len(h) for h in held])
+            order = np.lexsort((own, keys))
+            keys, own = keys[order], own[order]
+            at = cuts(keys)
+            two = np.arange(len(keys)) - np.repeat(at, np.diff(np.append(at, len(keys)))) < 2  # two holders say as much as more
+            held.clear(), owner.clear(), seen.clear()
+            made = by_bucket(keys[two], own[two], n_probes)
+            return pa.RecordBatch.from_pydict({k: [None] * len(made["bucket"]) for k, _ in fields[:4]} | made, schema=schema)
 
-        seen: set = set()
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), {k: [] for k, _ in fields}
             sets = (s for a, b in text_slices(batch.column(1), _SLICE) for s in shingle_sets(batch.column(1).slice(a, b - a), width))
             for i, s in zip(ids, sets):
-                fa = fb = counts = None
+                fa = fb = None
                 if s is not None:
-                    counts = pack(count_vector(s))
-                    fa = int(mix(s).sum(dtype=np.uint64).view(np.int64))
-                    fb = int(mix(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64).view(np.int64))
+                    fa, fb = prints(s)
                     if i is not None and (fa, fb) not in seen:  # a task files a class of copies once
                         seen.add((fa, fb))
-                        keys = block_keys(s, num, den, memo)
-                        held_keys.append(keys)
-                        held_owner.append(np.full(len(keys), len(held_ids), np.int64))
-                        held_ids.append(i)
+                        keys = s[s % np.uint64(probe) == 0] >> np.uint64(24)
+                        held.append(keys[cuts(keys)])
+                        owner.append(fa)
                         n_held += len(keys)
-                for k, v in zip(out, (i, 0 if s is None else len(s), fa, fb, counts, None, None, None, None)):
+                for k, v in zip(out, (i, 0 if s is None else len(s), fa, fb, None, None, None, None)):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
             if n_held > task_keys:
                 yield flush()
-                seen.clear()
+                n_held = 0
+        if n_held:
+            yield flush()
+        pa.default_memory_pool().release_unused()
+
+    def lone(table):
+        """(fa, lone): for each class how many hashes of this range only it holds."""
+        keys, own = from_buckets(table)
+        at = cuts(keys)
+        only = own[at][own[at] == np.maximum.reduceat(own, at)]
+        fa, n = np.unique(only, return_counts=True)
+        return pa.table({"fa": pa.array(fa, pa.int64()), "lone": pa.array(n, pa.int64())})
+
+    with arrow_rows(spark, 1000):
+        made = materialize(rows.mapInArrow(features, "id long, n long, fa long, fb long, " + key_ddl), "shingles")
+    member = made.where("bucket IS NULL").select("id", "n", "fa", "fb")
+    classes = materialize(member.where("fa IS NOT NULL").groupBy("fa", "fb").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
+    member = materialize(member.join(classes.drop("n"), ["fa", "fb"], "left")
+                         .select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
+    # shingles that no linked partner can have: more of them than a link leaves room for, and the class has no link
+    lonely = made.where("bucket IS NOT NULL").select("bucket", "hashes", "owners", "ids") \
+        .groupBy("bucket").applyInArrow(lone, "fa long, lone long").groupBy("fa").agg(F.sum("lone").alias("lone"))
+    reps = materialize(classes.where("rep IS NOT NULL").join(lonely, "fa", "left")
+                       .where(F.coalesce("lone", F.lit(0)) * den <= (den - num) * F.col("n")).select(F.col("rep").alias("id"), "fa", "n"), "open")
+
+    # 2. block keys of the classes that may have a link
+    n_buckets = max(1, math.ceil((reps.agg(F.sum("n")).first()[0] or 0) * (100 - percent) / 50 / bucket_keys))
+    open_fields = [("id", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("counts", pa.binary()), *key_fields]
+    open_schema = pa.schema(open_fields)
+
+    def filed(batches):
+        held, owner, n_held, seen, memo = [], [], 0, set(), {}
+
+        def flush():
+            made = by_bucket(np.concatenate(held), np.repeat(np.array(owner, np.int64), [len(h) for h in held]), n_buckets)
+            held.clear(), owner.clear()
+            return pa.RecordBatch.from_pydict({k: [None] * len(made["bucket"]) for k, _ in open_fields[:4]} | made, schema=open_schema)
+
+        for batch in batches:
+            out = {k: [] for k, _ in open_fields}
+            sets = (s for a, b in text_slices(batch.column(1), _SLICE) for s in shingle_sets(batch.column(1).slice(a, b - a), width))
+            for i, text, fa, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), sets):
+                if s is None or (i, fa) in seen or prints(s)[0] != fa:  # equal rows, and rows of the id that are of another class
+                    continue
+                seen.add((i, fa))
+                held.append(block_keys(s, num, den, memo))
+                owner.append(i)
+                n_held += len(held[-1])
+                for k, v in zip(out, (i, text, len(s), pack(count_vector(s)), None, None, None, None)):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=open_schema)
+            if n_held > task_keys:
+                yield flush()
                 n_held = 0
         if n_held:
             yield flush()
@@ -269,31 +348,20 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     def share(table):
         """(key, id, low) for the keys of this range that several documents
         have; low: the smallest of them."""
-        keys, ids = [], []
-        for h, o, i in zip(*(table.column(c).to_pylist() for c in ("hashes", "owners", "ids"))):
-            keys.append(unpack_sorted(h, np.uint64))
-            ids.append(unpack_sorted(i, np.int64)[unpack(o, np.uint32)])
-        keys, ids = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
+        keys, ids = from_buckets(table)
         at = cuts(keys)
         n = np.diff(np.append(at, len(ids)))
         low, many = np.repeat(ids[at], n), np.repeat(ids[at] != np.maximum.reduceat(ids, at), n)
         return pa.table({"key": pa.array(keys[many].view(np.int64)), "id": pa.array(ids[many], pa.int64()), "low": pa.array(low[many], pa.int64())})
 
-    ddl = "id long, n long, fa long, fb long, counts binary, bucket int, hashes binary, owners binary, ids binary"
     with arrow_rows(spark, 1000):
-        made = materialize(rows.mapInArrow(features, ddl), "shingles")
-    member = made.where("bucket IS NULL").select("id", "n", "fa", "fb")
-    classes = member.where("fa IS NOT NULL").groupBy("fa", "fb").agg(F.min("id").alias("rep"))
-    member = materialize(member.join(classes, ["fa", "fb"], "left")
-                         .select("id", "n", F.coalesce("rep", "id").alias("rep")), "classes")
-    to_rep = member.where("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("rep"))
+        made = materialize(rows.join(reps.select("id", "fa").hint("merge"), "id").select("id", "text", "fa")
+                           .mapInArrow(filed, "id long, text string, n long, counts binary, " + key_ddl), "keys")
+    texts = made.where("bucket IS NULL").select("id", "text")
     shared = materialize(made.where("bucket IS NOT NULL").select("bucket", "hashes", "owners", "ids")
                          .groupBy("bucket").applyInArrow(share, "key long, id long, low long"), "shared")
-    edges = shared.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
-    edges = (edges.join(to_rep.toDF("u", "ru"), "u").join(to_rep.toDF("v", "rv"), "v")
-             .selectExpr("ru u", "rv v").where("u <> v").distinct())
+    # stars of each task first: a document has one edge a task, not one for each smallest holder of its keys
+    edges = shared.where("id <> low").selectExpr("id u", "low v").mapInArrow(contracted, "u long, v long")
     near = connected_components(edges, "candidates")
     counts = near.groupBy("root").agg(F.count("*").alias("docs"))
     near = materialize(near.join(counts, "root"), "candidates")
@@ -314,7 +382,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     def verified(blocks: DataFrame) -> DataFrame:
         """Links found among the documents of each block (id, block, label). The
         candidates grow with the table, so they are never broadcast."""
-        return (rows.join(blocks.hint("merge"), "id").select("id", "text", "label", "block")
+        return (texts.join(blocks.hint("merge"), "id").select("id", "text", "label", "block")
                 .groupBy("block").applyInArrow(check, "u long, v long").where("u <> v"))
 
     salts = F.ceil(F.col("docs") / F.lit(block_docs)).cast("long")
@@ -333,7 +401,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     left = materialize(state.join(open_, "root").select("node", "part"), "unsettled")
     if left.limit(1).count():
         vectors = made.where("counts IS NOT NULL").select(F.col("id").alias("v"), "n", "counts")
-        met = shared.join(to_rep.toDF("id", "node"), "id").select("key", "node").distinct().join(left.hint("merge"), "node")
+        met = shared.selectExpr("key", "id node").distinct().join(left.hint("merge"), "node")
         met = materialize(met, "shared_keys")
         met_rows = max(1, met.count())
         mixed = met.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / key_docs).alias("subs")) \
