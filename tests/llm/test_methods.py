@@ -163,3 +163,9 @@ def test_texts_with_shingles_of_their_own_file_no_keys(spark, monkeypatch):  # n
     out = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.id: x.component for x in out} == {i: 7 if i >= 100 else i for i, _ in rows}
     assert {x.id for x in made["shared"].select("id").distinct().collect()} == {7, 100}  # the passage alone makes no candidates
+
+
+def test_no_tree_node_has_a_child_per_row():
+    x = np.random.default_rng(8).normal(size=(3000, 64)) * 40  # many dimensions: no row is near another
+    tree = topk.CoverTree(np.floor(x))
+    assert len(tree.center) < 300 and (tree.hi - tree.lo).max() <= 16

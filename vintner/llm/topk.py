@@ -29,7 +29,8 @@ from vintner.session import materialize
 
 from .common import cuts, read
 
-_LEAF = 32   # rows of a leaf, at most (equal rows aside)
+_LEAF = 256  # rows of a leaf, at most (equal rows aside)
+_FAN = 16     # children of a node, at most
 _WIDE = 2048  # node pairs looked at together
 _SEED = 64    # data centres that every query meets first, for a k-th score to start with
 
@@ -71,19 +72,18 @@ class CoverTree:
         return np.where(rows == c, 0.0, np.sqrt(np.maximum(d2, 0)))
 
     def _net(self, c: int, rows: np.ndarray, dist: np.ndarray, cover: float) -> list:
-        """Children (centre, rows, distances) whose centres are more than
-        ``cover`` apart: the node's own centre first, then always the row
-        furthest from the centres so far."""
-        near = dist <= cover
-        out = [(c, rows[near], dist[near])]
-        rows, least = rows[~near], dist[~near]
-        while len(rows):
-            pick = int(rows[least.argmax()])
-            away = self._far(pick, rows)
-            near = away <= cover
-            out.append((pick, rows[near], away[near]))
-            rows, least = rows[~near], np.minimum(least, away)[~near]
-        return out
+        """Children (centre, rows, distances): the node's own centre first, then
+        always the row furthest from the centres so far, until every row lies
+        within ``cover`` of one or there are _FAN. A row goes to its nearest
+        centre, so many dimensions, where no row is near, do not make every row
+        a node."""
+        centers, child, least = [c], np.zeros(len(rows), np.int64), dist.copy()
+        while len(centers) < _FAN and least.max() > cover:
+            centers.append(int(rows[least.argmax()]))
+            away = self._far(centers[-1], rows)
+            near = away < least
+            child[near], least = len(centers) - 1, np.minimum(least, away)
+        return [(c, rows[child == k], least[child == k]) for k, c in enumerate(centers)]
 
     def lowest(self, values: np.ndarray) -> np.ndarray:
         """Of every node, the least value among its rows."""
