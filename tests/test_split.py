@@ -154,3 +154,18 @@ def test_content_split_does_not_shuffle_rows(spark):
     assert exchanges(plan(content_split(rows.select("l_orderkey", "l_linenumber")))) == 0  # no copies: a predicate
     few = plan(content_split(rows.select("l_returnflag")))  # copies: only theirs, and counts per task
     assert "repartition" not in few.lower() and "rangepartitioning" not in few
+
+
+def test_row_key_counts_plain_rows_without_sorting_them(spark):
+    from vintner.operators.split import with_row_key
+    rows = [(1, "a", 0.5)] * 9000 + [(1, "a", -0.0)] * 3 + [(1, "a", 0.0)] * 2 + [(None, None, None)] * 12 + [(i, "b", float("nan")) for i in range(50)]
+    out = with_row_key(spark.createDataFrame(rows, "k long, `s.x` string, x double").repartition(7), "rk")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    got = out.collect()
+    assert sorted(map(repr, (tuple(r)[:3] for r in got))) == sorted(map(repr, rows))
+    copies = {}
+    for r in got:
+        copies.setdefault(r["rk"].split(":")[0], []).append(int(r["rk"].split(":")[1]))
+    assert sorted(map(len, copies.values())) == sorted([9000, 3, 2, 12] + [1] * 50)
+    assert all(sorted(c) == list(range(1, len(c) + 1)) for c in copies.values())

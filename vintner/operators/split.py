@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vintner.functions.names import col_of
 
@@ -230,12 +231,15 @@ def with_row_key(df: DataFrame, key: str = "_row_key") -> DataFrame:
     """A unique key for a table that has none (a landed CSV): a SHA-256 of the
     row's content plus the copy number among identical rows.
 
-    Copies of a row are numbered with the skew-safe sequence (a group of
-    copies may be huge); which physical copy gets which number does not
-    matter, they are identical, so the split built on this key selects the
-    same multiset of rows on every run and every partitioning.
+    Copies are identical, so it does not matter which physical copy gets which
+    number, and the split built on this key selects the same multiset of rows on
+    every run and every partitioning. Rows of plain columns are counted per
+    content, written once with their number, and dealt out again: one shuffle of
+    the different rows. A content with many copies is dealt out in pieces by many
+    tasks.
 
-    The tagged rows (content hash, row id) are written once to the shared
+    Rows with other columns (arrays, structs, maps, binary) are numbered with the
+    skew-safe sequence. There the tagged rows (content hash, row id) are written once to the shared
     checkpoint folder before numbering: the sequence reads its input three
     times, and a ``monotonically_increasing_id`` re-evaluated over a shuffled
     input could differ between those reads.
@@ -243,6 +247,8 @@ def with_row_key(df: DataFrame, key: str = "_row_key") -> DataFrame:
     from vintner.operators.ranking import sequence_within_groups  # local: avoid a cycle
     from vintner.session import materialize
 
+    if all(f.dataType in _PLAIN or isinstance(f.dataType, T.DecimalType) for f in df.schema.fields):
+        return _counted_key(df, key)
     tagged = materialize(df.withColumn("_content", content_hash(df))
                          .withColumn("_mono", F.monotonically_increasing_id()), "row-key")
     numbered = sequence_within_groups(tagged, ["_content"], "_mono", "_copy")
@@ -250,6 +256,35 @@ def with_row_key(df: DataFrame, key: str = "_row_key") -> DataFrame:
             .drop("_content", "_mono", "_copy"))
 
 
+_PLAIN = (T.StringType(), T.BooleanType(), T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(),
+          T.FloatType(), T.DoubleType(), T.DateType(), T.TimestampType(), T.TimestampNTZType())
+_FEW, _PIECE = 8, 4096  # copies dealt out where their count lies; copies that a task makes of one row
+
+
+def _counted_key(df: DataFrame, key: str) -> DataFrame:
+    """:func:`with_row_key` for plain columns: distinct rows with their number of
+    copies, each dealt out that many times."""
+    from vintner.session import materialize  # local: avoid a cycle
+
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    real = [a for a, f in zip(names, df.schema.fields) if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    plain = df.toDF(*names)
+    # grouping makes -0.0 a 0.0: its sign is a column of its own
+    sign = [F.coalesce((F.col(a) == 0) & (F.col(a).cast("string") == "-0.0"), F.lit(False)).alias(f"{a}_neg") for a in real]
+    counted = materialize(plain.select("*", *sign).groupBy(*names, *(f"{a}_neg" for a in real)).agg(F.count(F.lit(1)).alias("_n")), "row-counts")
+    back = [F.when(F.col(f"{a}_neg"), F.lit("-0.0").cast(plain.schema[a].dataType)).otherwise(F.col(a)).alias(a) if a in real else F.col(a)
+            for a in names]
+    counted = counted.select(*back, "_n", F.lit(1).cast("long").alias("_from"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = counted.where(F.col("_n") > _FEW).withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(_PIECE).cast("long")))) \
+        .repartition(parts, *names, "_from")
+    dealt = counted.where(F.col("_n") <= _FEW).unionByName(pieces)
+    rows = dealt.select(*[F.col(a).alias(c) for a, c in zip(names, df.columns)], "_n", "_from")
+    content = content_hash(rows.select(*map(col_of, df.columns)))
+    rows = rows.withColumn("_content", content).withColumn("_copy", F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + (_PIECE - 1)))))
+    return rows.select(*map(col_of, df.columns), F.concat_ws(":", "_content", F.col("_copy").cast("string")).alias(key))
+
+
 def random_split(df: DataFrame, test_fraction: float = TEST_FRACTION,
                  seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
     """L1, quick form: ``randomSplit``. Map-only and needs no key, but sizes
