@@ -141,6 +141,37 @@ def test_connected_components(spark):  # noqa: F811
     assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_lone_counts_pack_the_classes_of_a_range():
+    """A range of hashes answers with a row for each part of the classes, however
+    many classes have hashes in it; the parts add up to the exact counts."""
+    import pyarrow as pa
+    r, n_buckets, n_parts = random.Random(6), 7, 3
+    classes = [r.getrandbits(64) - (1 << 63) for _ in range(300)]
+    some = [r.getrandbits(64) for _ in range(900)]
+    held = {c: {r.choice(some) for _ in range(6)} | {r.getrandbits(64) for _ in range(r.randint(0, 5))} for c in classes}
+    held[classes[0]] = set(some)
+    rows = {k: [] for k in ("bucket", "hashes", "owners", "ids")}
+    for a in range(0, 300, 100):  # as three tasks file them
+        pairs = [(h, c) for c in classes[a:a + 100] for h in sorted(held[c])]
+        for k, v in jaccard_join.by_bucket(np.array([h for h, _ in pairs], np.uint64), np.array([c for _, c in pairs], np.int64), n_buckets).items():
+            rows[k] += v
+    table = pa.table({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()})
+    made = [jaccard_join.lone_counts(table.filter(pa.array([b == x for b in rows["bucket"]])), n_parts) for x in range(n_buckets)]
+    assert all(len(set(m.column("part").to_pylist())) == m.num_rows <= n_parts for m in made)
+    made, got = pa.concat_tables(made), {}
+    for p in range(n_parts):
+        part = jaccard_join.added_counts(made.filter(pa.array([p == x for x in made.column("part").to_pylist()])))
+        assert not got.keys() & set(part.column("fa").to_pylist())
+        got |= dict(zip(part.column("fa").to_pylist(), part.column("lone").to_pylist()))
+    holders = collections.Counter(h for s in held.values() for h in s)
+    want = {c: sum(holders[h] == 1 for h in s) for c, s in held.items()}
+    assert got == {c: n for c, n in want.items() if n}
+    nothing = {"bucket": [0], "hashes": rows["hashes"][:1], "owners": rows["owners"][:1], "ids": rows["ids"][:1]}
+    twice = pa.concat_tables([pa.table(nothing), pa.table(nothing | {"ids": [jaccard_join.pack_sorted(
+        jaccard_join.unpack_sorted(rows["ids"][0], np.int64) // 2)]})])
+    assert jaccard_join.lone_counts(twice, n_parts).num_rows == 0  # every hash has two holders
+
+
 def test_pieces_equal_the_library():
     import sentencepiece
     path = pieces.model_path()

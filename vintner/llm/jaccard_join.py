@@ -136,6 +136,29 @@ def from_buckets(table) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], ids[order]
 
 
+def lone_counts(table, n_parts: int):
+    """(part, classes, lone): for each class how many hashes of this range only
+    it holds, packed, a row for each part of the classes. A class has hashes in
+    most ranges, so a row for each would make ranges times classes."""
+    keys, own = from_buckets(table)
+    at = cuts(keys)
+    only = own[at][own[at] == np.maximum.reduceat(own, at)]
+    fa, n = np.unique(only, return_counts=True)
+    part = (fa.view(np.uint64) % np.uint64(n_parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    parts = np.split(order, cuts(part[order])[1:]) if len(order) else []
+    return pa.table({"part": pa.array([int(part[x[0]]) for x in parts], pa.int32()), "classes": pa.array([pack_sorted(fa[x]) for x in parts], pa.binary()),
+                     "lone": pa.array([pack(n[x].astype(np.uint32)) for x in parts], pa.binary())})
+
+
+def added_counts(table):
+    """(fa, lone): the counts of a part of the classes, added up over all ranges."""
+    fa = np.concatenate([unpack_sorted(c, np.int64) for c in table.column("classes").to_pylist()])
+    n = np.concatenate([unpack(c, np.uint32) for c in table.column("lone").to_pylist()])
+    fa, at = np.unique(fa, return_inverse=True)
+    return pa.table({"fa": pa.array(fa, pa.int64()), "lone": pa.array(np.bincount(at, n).astype(np.int64), pa.int64())})
+
+
 class _RTree:
     """Packed R-tree over count vectors, sorted by size, then tiled by the
     coordinates; level 0 are the leaves."""
@@ -293,12 +316,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         pa.default_memory_pool().release_unused()
 
     def lone(table):
-        """(fa, lone): for each class how many hashes of this range only it holds."""
-        keys, own = from_buckets(table)
-        at = cuts(keys)
-        only = own[at][own[at] == np.maximum.reduceat(own, at)]
-        fa, n = np.unique(only, return_counts=True)
-        return pa.table({"fa": pa.array(fa, pa.int64()), "lone": pa.array(n, pa.int64())})
+        return lone_counts(table, n_probes)
 
     with arrow_rows(spark, 1000):
         made = materialize(rows.mapInArrow(features, "id long, n long, fa long, fb long, " + key_ddl), "shingles")
@@ -308,7 +326,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
                          .select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
     # shingles that no linked partner can have: more of them than a link leaves room for, and the class has no link
     lonely = made.where("bucket IS NOT NULL").select("bucket", "hashes", "owners", "ids") \
-        .groupBy("bucket").applyInArrow(lone, "fa long, lone long").groupBy("fa").agg(F.sum("lone").alias("lone"))
+        .groupBy("bucket").applyInArrow(lone, "part int, classes binary, lone binary") \
+        .groupBy("part").applyInArrow(added_counts, "fa long, lone long")
     reps = materialize(classes.where("rep IS NOT NULL").join(lonely, "fa", "left")
                        .where(F.coalesce("lone", F.lit(0)) * den <= (den - num) * F.col("n")).select(F.col("rep").alias("id"), "fa", "n"), "open")
 
