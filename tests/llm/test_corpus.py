@@ -141,6 +141,31 @@ def test_connected_components(spark):  # noqa: F811
     assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_hold_one_edge_a_node(spark, monkeypatch):  # noqa: F811
+    """Many tasks that each hold a star over the same nodes: a round writes about
+    one edge for each node, not one for each node and task."""
+    r, nodes, written = random.Random(8), list(range(100, 500)), []
+    edges = [(u, low) for low in range(40) for u in r.sample(nodes, 300)] + [(50, 499), (600, 601)]
+    write = common.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(common, "materialize", counted)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("16", "false")):
+            spark.conf.set(k, v)
+        got = common.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(40, "v")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    ends = {x for e in edges for x in e}
+    assert sorted(map(tuple, got)) == sorted((x, 600 if x >= 600 else 0) for x in ends)
+    assert max(written) <= 2 * len(ends)
+
+
 def test_lone_counts_pack_the_classes_of_a_range():
     """A range of hashes answers with a row for each part of the classes, however
     many classes have hashes in it; the parts add up to the exact counts."""

@@ -175,7 +175,7 @@ class Union:
 
 def contracted(batches):
     """Edges (u, v) of one task as stars: every node with the smallest node that
-    the task's edges reach from it. A task holds one shuffle partition."""
+    the task's edges reach from it. A task holds one partition."""
     parts = [np.stack([np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64)]) for b in batches if b.num_rows]
     if not parts:
         return
@@ -203,33 +203,24 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
     """(node, root): the smallest node reachable over ``edges`` (u, v), for every
     node that has an edge to another one.
 
-    Alternating large-star and small-star steps over edges that each task has
-    contracted to stars; each round is written to the
+    Large-star steps by a join, small-star steps by dealing the edges by their
+    larger end to tasks that contract them to stars; tasks contract what they
+    read before they deal it, so a hub sends one edge a task and a round holds
+    about one edge for each node. Each round is written to the
     shared checkpoint folder, so the lineage stays short and a lost executor
     costs one round. A hub's rows are joined, not collected, so adaptive skew
     joins can split them. The number of rounds grows with the logarithm of the
     longest path; more than ``rounds`` raise an error, nothing is dropped.
     """
     def write(pairs: DataFrame) -> DataFrame:
-        return materialize(pairs.distinct().mapInArrow(contracted, "u long, v long"), name)
+        return materialize(pairs.mapInArrow(contracted, "u long, v long").repartition("u")
+                           .mapInArrow(contracted, "u long, v long"), name)
 
     cur = write(edges.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v"))
-
-    def star(pairs: DataFrame) -> DataFrame:
-        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
-
-    before = None
     for _ in range(rounds):
-        both = cur.unionByName(cur.selectExpr("v u", "u v"))
-        lows = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(lows, "u").where("v > u").selectExpr("v u", "m v").distinct()
-        linked = star(large)
-        small = (linked.where("v <> m").selectExpr("v u", "m v")
-                 .unionByName(linked.selectExpr("u", "m v")))
-        cur = write(small)
-        state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            roots = cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            return cur.selectExpr("u node", "v root").unionByName(roots)
-        before = state
+        lows = cur.selectExpr("u node", "v").unionByName(cur.selectExpr("v node", "v")) \
+            .groupBy("node").agg(F.min("v").alias("root"), F.max("v").alias("most"))
+        if not lows.where("root <> most").limit(1).count():  # stars: no node has two roots or a root above its own
+            return lows.select("node", "root")
+        cur = write(cur.join(lows.select("node", "root"), F.col("v") == F.col("node")).selectExpr("u", "root v"))
     raise RuntimeError(f"connected_components did not settle in {rounds} rounds")

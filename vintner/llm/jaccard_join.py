@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vintner.session import materialize
 
-from .common import (Union, arrow_rows, connected_components, contracted, cuts, hash_words, mix, pack, pack_sorted,
+from .common import (Union, arrow_rows, connected_components, cuts, hash_words, mix, pack, pack_sorted,
                      quoted, read, text_bytes, text_slices, unpack, unpack_sorted, word_codes)
 
 _AXES = 64          # coordinates of a count vector
@@ -379,9 +379,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     texts = made.where("bucket IS NULL").select("id", "text")
     shared = materialize(made.where("bucket IS NOT NULL").select("bucket", "hashes", "owners", "ids")
                          .groupBy("bucket").applyInArrow(share, "key long, id long, low long"), "shared")
-    # stars of each task first: a document has one edge a task, not one for each smallest holder of its keys
-    edges = shared.where("id <> low").selectExpr("id u", "low v").mapInArrow(contracted, "u long, v long")
-    near = connected_components(edges, "candidates")
+    near = connected_components(shared.where("id <> low").selectExpr("id u", "low v"), "candidates")
     counts = near.groupBy("root").agg(F.count("*").alias("docs"))
     near = materialize(near.join(counts, "root"), "candidates")
     n_near = max(1, near.count())
