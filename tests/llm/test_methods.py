@@ -165,6 +165,23 @@ def test_texts_with_shingles_of_their_own_file_no_keys(spark, monkeypatch):  # n
     assert {x.id for x in made["shared"].select("id").distinct().collect()} == {7, 100}  # the passage alone makes no candidates
 
 
+def test_unsettled_components_make_no_pairs(spark, monkeypatch):  # noqa: F811
+    from vintner.llm import jaccard_join
+    r, made, n = random.Random(5), {}, 150
+    base = [" ".join(f"w{r.randrange(10**6)}" for _ in range(7)) for _ in range(250)]
+    rows = [(i, " ".join(b + f" v{r.randrange(4)}" for b in base)) for i in range(n)]  # long texts, half of each two alike, none linked
+    rows += [(n + k, rows[7 * k][1] + " end") for k in range(1, 6)]
+
+    def kept(df, name, write=jaccard_join.materialize):
+        made[name] = write(df, name)
+        return made[name]
+    monkeypatch.setattr(jaccard_join, "materialize", kept)
+    out = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), block_docs=20).collect()
+    assert {x.id: x.component for x in out} == {i: i if i < n else 7 * (i - n) for i, _ in rows}
+    assert made["unsettled"].count() >= 100
+    assert max(made[x].count() for x in ("pairs", "met") if x in made) < 30 * n  # of n * n / 2 pairs
+
+
 def test_no_tree_node_has_a_child_per_row():
     x = np.random.default_rng(8).normal(size=(3000, 64)) * 40  # many dimensions: no row is near another
     tree = topk.CoverTree(np.floor(x))

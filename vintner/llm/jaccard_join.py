@@ -15,10 +15,13 @@ r"""N-gram Jaccard join over a count-vector R-tree.
    verifies surviving pairs on the shingle sets. Pairs already connected are
    skipped: the result is the components, so copies are never all paired up.
 3. A component larger than a block is dealt twice into random blocks. Where
-   that leaves more than one part, the documents meet again by shared key: an
-   R-tree over the count vectors of a key's documents gives the pairs of
-   different parts whose bound holds, and those are verified. Keys that many
-   documents share are cut into sub-blocks that meet two at a time.
+   that leaves more than one part, the documents meet again by rare shingles:
+   in one order of all shingles, those with the fewest holders first, two linked
+   sets share one of their first shingles (so many that the others are fewer
+   than a link has in common): no link is lost. The holders of a shingle meet at
+   the smallest of them, a document once however many shingles it shares there,
+   and a group is verified like a block: it gives at most a link a document.
+   Groups beyond a block are cut into sub-blocks that meet two at a time.
 
 Exact copies are one class from the start; a class is represented by its
 smallest doc_id.
@@ -159,6 +162,62 @@ def added_counts(table):
     return pa.table({"fa": pa.array(fa, pa.int64()), "lone": pa.array(np.bincount(at, n).astype(np.int64), pa.int64())})
 
 
+def held_ranges(sets: list[np.ndarray], n_buckets: int) -> dict[str, list]:
+    """Hashes of a batch of sets and how many sets hold each, packed, a row for
+    each bucket of hashes."""
+    hashes, held = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+    bucket = (hashes % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    parts = np.split(order, cuts(bucket[order])[1:]) if len(order) else []
+    return {"bucket": [int(bucket[x[0]]) for x in parts], "hashes": [pack_sorted(hashes[x]) for x in parts],
+            "held": [pack(held[x].astype(np.uint32)) for x in parts]}
+
+
+def total_holders(table):
+    """(batch, hashes, held): for each batch those of its hashes of this range
+    that several sets of all batches hold, and how many do."""
+    lists = [unpack_sorted(h, np.uint64) for h in table.column("hashes").to_pylist()]
+    every, at = np.unique(np.concatenate(lists), return_inverse=True)
+    held = np.bincount(at, np.concatenate([unpack(n, np.uint32) for n in table.column("held").to_pylist()])).astype(np.int64)[at]
+    out, end = {"batch": table.column("batch"), "hashes": [], "held": []}, 0
+    for hashes in lists:
+        n, end = held[end:end + len(hashes)], end + len(hashes)
+        out["hashes"].append(pack_sorted(hashes[n > 1]))
+        out["held"].append(pack(n[n > 1]))
+    return pa.table({"batch": out["batch"], "hashes": pa.array(out["hashes"], pa.binary()), "held": pa.array(out["held"], pa.binary())})
+
+
+def first_shingles(sets: list[np.ndarray], hashes: np.ndarray, held: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position of its set) of the first shingles of each set, rarest
+    first (then by hash), that other sets hold too: without these the rest is
+    smaller than the overlap of a link. ``hashes`` holds, sorted, all that
+    several sets hold, ``held`` how many do."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, own = np.concatenate([np.empty(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+    times = np.ones(len(flat), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
+        times = np.where(hashes[at] == flat, held[at], times)
+    order = np.lexsort((flat, times, own))
+    rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = order[(rank < np.repeat(sizes + 1 - -(-num * sizes // den), sizes)) & (times[order] > 1)]
+    return flat[first], own[first]
+
+
+def meetings(table):
+    """(low, id) once for the first shingles of this range that documents of
+    several parts hold: low is the smallest holder."""
+    keys, ids = from_buckets(table)
+    every = np.concatenate([unpack_sorted(i, np.int64) for i in table.column("ids").to_pylist()])
+    every, at = np.unique(every, return_index=True)
+    part = np.concatenate([unpack(p, np.int64) for p in table.column("parts").to_pylist()])[at][np.searchsorted(every, ids)]
+    at = cuts(keys)
+    n = np.diff(np.append(at, len(ids)))
+    apart = np.repeat(np.minimum.reduceat(part, at) != np.maximum.reduceat(part, at), n)
+    met = np.unique(np.stack([np.repeat(ids[at], n), ids], axis=1)[apart], axis=0)
+    return pa.table({"low": pa.array(met[:, 0], pa.int64()), "id": pa.array(met[:, 1], pa.int64())})
+
+
 class _RTree:
     """Packed R-tree over count vectors, sorted by size, then tiled by the
     coordinates; level 0 are the leaves."""
@@ -333,7 +392,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
 
     # 2. block keys of the classes that may have a link
     n_buckets = max(1, math.ceil((reps.agg(F.sum("n")).first()[0] or 0) * (100 - percent) / 50 / bucket_keys))
-    open_fields = [("id", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("counts", pa.binary()), *key_fields]
+    open_fields = [("id", pa.int64()), ("text", pa.string()), ("n", pa.int64()), *key_fields]
     open_schema = pa.schema(open_fields)
 
     def filed(batches):
@@ -342,7 +401,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         def flush():
             made = by_bucket(np.concatenate(held), np.repeat(np.array(owner, np.int64), [len(h) for h in held]), n_buckets)
             held.clear(), owner.clear()
-            return pa.RecordBatch.from_pydict({k: [None] * len(made["bucket"]) for k, _ in open_fields[:4]} | made, schema=open_schema)
+            return pa.RecordBatch.from_pydict({k: [None] * len(made["bucket"]) for k, _ in open_fields[:3]} | made, schema=open_schema)
 
         for batch in batches:
             out = {k: [] for k, _ in open_fields}
@@ -354,7 +413,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
                 held.append(block_keys(s, num, den, memo))
                 owner.append(i)
                 n_held += len(held[-1])
-                for k, v in zip(out, (i, text, len(s), pack(count_vector(s)), None, None, None, None)):
+                for k, v in zip(out, (i, text, len(s), None, None, None, None)):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=open_schema)
             if n_held > task_keys:
@@ -375,8 +434,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
 
     with arrow_rows(spark, 1000):
         made = materialize(rows.join(reps.select("id", "fa").hint("merge"), "id").select("id", "text", "fa")
-                           .mapInArrow(filed, "id long, text string, n long, counts binary, " + key_ddl), "keys")
-    texts = made.where("bucket IS NULL").select("id", "text")
+                           .mapInArrow(filed, "id long, text string, n long, " + key_ddl), "keys")
+    texts = made.where("bucket IS NULL").select("id", "text", "n")
     shared = materialize(made.where("bucket IS NOT NULL").select("bucket", "hashes", "owners", "ids")
                          .groupBy("bucket").applyInArrow(share, "key long, id long, low long"), "shared")
     near = connected_components(shared.where("id <> low").selectExpr("id u", "low v"), "candidates")
@@ -384,13 +443,16 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     near = materialize(near.join(counts, "root"), "candidates")
     n_near = max(1, near.count())
 
-    def check(table):
+    def with_sets(table):
+        """(sets, ids, labels) of rows (id, text, label)."""
         texts = table.column("text").combine_chunks()
         sets = [s for a, b in text_slices(texts, _SLICE) for s in shingle_sets(texts.slice(a, b - a), width)]
-        ids = np.asarray(table.column("id").combine_chunks(), np.int64)
-        label = np.asarray(table.column("label").combine_chunks(), np.int64)
         ok = np.array([s is not None for s in sets], bool)
-        sets, ids, label = [s for s in sets if s is not None], ids[ok], label[ok]
+        ids, label = (np.asarray(table.column(c).combine_chunks(), np.int64)[ok] for c in ("id", "label"))
+        return [s for s in sets if s is not None], ids, label
+
+    def check(table):
+        sets, ids, label = with_sets(table)
         if not sets:
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         root = linked(sets, label, num, den)
@@ -411,53 +473,49 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     links = materialize(verified(blocks), "links")
     parts = connected_components(links, "parts")
 
-    # components beyond one block that are still in parts: all pairs of sub-blocks
+    # components beyond one block that are still in parts: documents that share a rare shingle
     state = near.where(F.col("docs") > block_docs).join(parts.toDF("node", "part"), "node", "left") \
         .withColumn("part", F.coalesce("part", "node"))
     open_ = state.groupBy("root").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("root")
-    left = materialize(state.join(open_, "root").select("node", "part"), "unsettled")
-    if left.limit(1).count():
-        vectors = made.where("counts IS NOT NULL").select(F.col("id").alias("v"), "n", "counts")
-        met = shared.selectExpr("key", "id node").distinct().join(left.hint("merge"), "node")
-        met = materialize(met, "shared_keys")
-        met_rows = max(1, met.count())
-        mixed = met.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / key_docs).alias("subs")) \
-            .where("lo <> hi").select("key", "subs")
-        mine = F.pmod(F.xxhash64("node", "key"), F.col("subs"))
-        met = met.join(mixed.hint("merge"), "key").withColumn("mine", mine) \
+    left = materialize(texts.join(state.join(open_, "root").selectExpr("node id", "part label").hint("merge"), "id"), "unsettled")
+    n_left, n_shingles = left.agg(F.count("*"), F.sum("n")).first()
+    if n_left:
+        n_batches = max(math.ceil(n_shingles / task_keys), math.ceil(n_left / task_rows))
+        n_ranges = max(1, math.ceil(n_shingles / bucket_keys))
+        dealt = left.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(n_batches))).select("batch", "id", "text", "label")
+
+        def held(table):
+            """(batch, bucket, hashes, held) of a batch."""
+            made = held_ranges(with_sets(table)[0], n_ranges)
+            batch = pa.array([table.column("batch")[0].as_py()] * len(made["bucket"]), pa.int64())
+            return pa.table({"batch": batch, "bucket": pa.array(made["bucket"], pa.int32()),
+                             "hashes": pa.array(made["hashes"], pa.binary()), "held": pa.array(made["held"], pa.binary())})
+
+        def first(table, totals):
+            """First shingles of the documents of a batch, packed by range, with
+            the parts of their holders."""
+            sets, ids, label = with_sets(table)
+            hashes, held = ([unpack_sorted(x, np.uint64) for x in totals.column("hashes").to_pylist()],
+                            [unpack(x, np.int64) for x in totals.column("held").to_pylist()])
+            hashes, held = np.concatenate([np.empty(0, np.uint64), *hashes]), np.concatenate([np.empty(0, np.int64), *held])
+            order = np.argsort(hashes)
+            keys, own = first_shingles(sets, hashes[order], held[order], num, den)
+            made = by_bucket(keys, ids[own], n_ranges)
+            every, at = np.unique(ids, return_index=True)
+            made["parts"] = [pack(label[at][np.searchsorted(every, unpack_sorted(i, np.int64))]) for i in made["ids"]]
+            return pa.table({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in made.items()})
+
+        totals = dealt.groupBy("batch").applyInArrow(held, "batch long, bucket int, hashes binary, held binary") \
+            .groupBy("bucket").applyInArrow(total_holders, "batch long, hashes binary, held binary")
+        met = dealt.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(first, key_ddl + ", parts binary") \
+            .groupBy("bucket").applyInArrow(meetings, "low long, id long").distinct()
+        met = materialize(met, "met")
+        subs = met.groupBy("low").agg(F.count("*").alias("docs")) \
+            .select("low", F.when(F.col("docs") <= key_docs, 1).otherwise(F.ceil(2 * F.col("docs") / key_docs)).alias("subs"))
+        met = met.join(subs.hint("merge"), "low").withColumn("mine", F.pmod(F.xxhash64("id", "low"), F.col("subs"))) \
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))) \
-            .select("node", "part", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
-        met = met.join(vectors.hint("merge"), F.col("node") == F.col("v")).dropDuplicates(["key", "node"]) \
-            .select("key", F.col("node").alias("id"), "part", "n", "counts", F.pmod("key", F.lit(math.ceil(met_rows / task_rows))).alias("task"))
-
-        def bounded(table):
-            """Pairs of different parts that share a key and pass the bound."""
-            table = table.sort_by("key")
-            keys, ids, part, n = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("key", "id", "part", "n"))
-            points = np.stack([unpack(c, np.int32) for c in table.column("counts").to_pylist()])
-            out = [np.empty((0, 2), np.int64)]
-            at = cuts(keys)
-            for a, b in zip(at, [*at[1:], len(keys)]):
-                label = part[a:b]
-                if (label != label[0]).any():
-                    for i, j in surviving(points[a:b], n[a:b], num, den, lambda i, j, label=label: label[i] != label[j]):
-                        out.append(np.stack([ids[a:b][i], ids[a:b][j]], axis=1))
-            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-            return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
-
-        pairs = materialize(met.groupBy("task").applyInArrow(bounded, "u long, v long").distinct(), "pairs")
-        # a group of paired documents goes to one block; the pairs of a group
-        # beyond that go to the blocks of their first document
-        group = connected_components(pairs, "paired")
-        sizes = group.groupBy("root").agg(F.count("*").alias("docs"))
-        group = materialize(group.join(sizes, "root"), "paired")
-        small = F.col("docs") <= block_docs
-        paired_blocks = max(1, math.ceil(group.where(small).count() / block_docs))
-        sent = group.where(small).select(F.col("node").alias("id"), F.xxhash64(F.lit(0), F.pmod(F.xxhash64("root"), F.lit(paired_blocks))).alias("block"))
-        large = pairs.join(group.where(~small).select(F.col("node").alias("u"), "docs"), "u") \
-            .select("u", "v", F.xxhash64(F.lit(1), F.pmod(F.xxhash64("u"), F.ceil(2 * F.col("docs") / block_docs))).alias("block"))
-        sent = sent.union(large.select("u", "block")).union(large.select("v", "block")).distinct()
-        more = materialize(verified(sent.withColumn("label", F.col("id"))), "links")
+            .select("id", F.xxhash64("low", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"))
+        more = materialize(verified(met.join(left.select("id", "label").distinct().hint("merge"), "id")), "links")
         parts = connected_components(links.unionByName(more), "parts")
     return (member.join(parts.toDF("rep", "root"), "rep", "left")
             .select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component")))
